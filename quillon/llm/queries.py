@@ -32,8 +32,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error-correcting output codes over all documents, learnt from the training folds."""
+    from .language import identify
+
+    return identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pigeonring search over the fingerprints of all documents."""
+    from .simhash import as_hex, near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op6_packing": op6_packing}
+    return {"op3_quality_rules": op3_quality_rules, "op6_packing": op6_packing, "op9_language_id": op9_language_id, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
