@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """13-word passages of all documents that start in a document with a smaller id are removed."""
+    from .substring import remove_repeats
+
+    kept = remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with compression bands over all documents."""
     from .quality import judge
@@ -48,7 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op6_packing": op6_packing, "op9_language_id": op9_language_id, "op10_simhash": op10_simhash}
+    return {"op2_substring_dedup": op2_substring_dedup, "op3_quality_rules": op3_quality_rules, "op6_packing": op6_packing, "op9_language_id": op9_language_id, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
