@@ -19,6 +19,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    from .decontaminate import decontaminate
+
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word passages of all documents that start in a document with a smaller id are removed."""
     from .substring import remove_repeats
@@ -57,8 +66,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op3_quality_rules": op3_quality_rules, "op6_packing": op6_packing, "op9_language_id": op9_language_id, "op10_simhash": op10_simhash}
+    return {"op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op3_quality_rules": op3_quality_rules, "op6_packing": op6_packing, "op9_language_id": op9_language_id, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontaminate
+
+    return {"op1_decontamination": decontaminate.SQL.format(docs="documents")}
