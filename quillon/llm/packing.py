@@ -9,8 +9,9 @@ row, without a shuffle.
 
 Tokens: the vocabulary's pre-tokenizer never joins characters across ASCII white
 space, so a text's ids are those of its white-space-separated chunks, in order.
-Each distinct chunk is tokenized once per task (the table is emptied when it
-reaches `cache_chunks`), whole texts always.
+Each distinct chunk is tokenized once per Python worker (the table is emptied
+when it reaches `cache_chunks`), whole texts always. Chunks are told apart by
+64-bit hashes.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed each
 for itself; an empty table gives an empty result; other columns are ignored.
@@ -18,6 +19,7 @@ for itself; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .textbytes import pieces
+from .textbytes import LOWER, SPACE_WORDS, Words, pieces
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -40,58 +42,139 @@ def decompose(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[ord("A") : ord("Z") + 1] = _ASCII_LETTER[ord("a") : ord("z") + 1] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+
+
+def plainer(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words]:
+    """The piece's chunks, so spelt that fewer are distinct but the ids stay the same.
+
+    The vocabulary lower-cases and parts letters from marks itself, so A-Z may be
+    lowered here (unless a non-ASCII character follows, which may combine with it)
+    and a space may stand between a letter and a mark. Documents are parted by spaces.
+    """
+    follow = np.append(data[1:], np.uint8(0))
+    before = np.concatenate([np.zeros(1, np.uint8), data[:-1]])
+    two_before = np.concatenate([np.zeros(1, np.uint8), before[:-1]])
+    letter = _ASCII_LETTER[before] | ((two_before == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
+    insert = _STOP[data] & letter
+    if b"<|" in data.tobytes():  # names of special tokens are matched as they stand
+        lowered, insert = data, np.zeros(len(data), bool)
+    else:
+        lowered = np.where(follow < 0x80, LOWER[data], data)
+    begins = offsets[1:-1][offsets[1:-1] < len(data)]
+    insert[begins] = True
+    at = np.flatnonzero(insert)
+    own = np.ones(len(data) + len(at), bool)
+    own[at + np.arange(len(at))] = False
+    out = np.full(len(own), 0x20, np.uint8)
+    out[own] = lowered
+    return out, Words(out, offsets + np.searchsorted(at, offsets), SPACE_WORDS)
+
+
 class ChunkTokenizer:
-    """Token ids of texts by way of a table of the chunks met so far."""
+    """Token ids of texts by way of a table of the chunks met so far.
+
+    The table is an open-addressed array of 64-bit chunk hashes, so a whole piece is
+    looked up at once and the table has no Python objects.
+    """
 
     def __init__(self, path: str, cache_chunks: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache_chunks
+        self.slots = 1 << (2 * cache_chunks - 1).bit_length()
         self._empty()
 
     def _empty(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.keys, self.values = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
+        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.int32)
+        self.used = self.known = 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each chunk, -1 if it isn't known."""
+        mask = np.uint64(self.slots - 1)
+        slot = (h & mask).astype(np.int64)
+        found = self.values[slot]
+        again = np.flatnonzero((found >= 0) & (self.keys[slot] != h))
+        while len(again):
+            slot[again] = (slot[again] + 1) & (self.slots - 1)
+            s = slot[again]
+            found[again] = self.values[s]
+            again = again[(found[again] >= 0) & (self.keys[s] != h[again])]
+        return found
+
+    def _add(self, h: np.ndarray) -> None:
+        """Number new, distinct chunks from self.known on."""
+        number = np.arange(self.known, self.known + len(h), dtype=np.int32)
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.values[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = h[put], number[put]
+            rest = np.ones(len(h), bool)
+            rest[put] = False
+            left = left[rest[left]]
+            slot[left] = (slot[left] + 1) & (self.slots - 1)
+        self.known += len(h)
 
     def _room(self, name: str, size: int) -> np.ndarray:
         x = getattr(self, name)
         if len(x) < size:
-            setattr(self, name, np.concatenate([x, np.zeros(max(size, len(x)), x.dtype)]))
+            setattr(self, name, np.concatenate([x, np.zeros(max(size - len(x), len(x)), x.dtype)]))
         return getattr(self, name)
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _learn(self, h: np.ndarray, chunks: list[str]) -> None:
         for lo in range(0, len(chunks), 8192):
-            some = chunks[lo : lo + 8192]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False), strict=True):
-                ids, k = e.ids, len(self.index)
-                self._room("flat", self.used + len(ids))[self.used : self.used + len(ids)] = ids
-                self._room("starts", k + 1)[k] = self.used
-                self._room("lengths", k + 1)[k] = len(ids)
-                self.used += len(ids)
-                self.index[chunk] = k
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        chunks = text.split()
-        index = self.index
-        try:
-            which = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in index]
-            if len(index) + len(new) > self.most:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[lo : lo + 8192], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            total, k = int(lengths.sum()), self.known + lo
+            self._room("flat", self.used + total)[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.int64, total)
+            self._room("starts", k + len(ids))[k : k + len(ids)] = self.used + np.cumsum(lengths) - lengths
+            self._room("lengths", k + len(ids))[k : k + len(ids)] = lengths
+            self.used += total
+        self._add(h)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents of a piece, ids per document)."""
+        text, w = plainer(data, offsets)
+        h = w.hashes()
+        which = self._find(h)
+        if len(unknown := np.flatnonzero(which < 0)):
+            new, first = np.unique(h[unknown], return_index=True)
+            if self.known + len(new) > self.most:
+                self.slots = max(self.slots, 1 << (2 * len(h)).bit_length())
                 self._empty()
-                index, new = self.index, list(dict.fromkeys(chunks))
-            self._learn(new)
-            which = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
-        lengths = self.lengths[which]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(self.starts[which] - (ends - lengths), lengths)]
+                unknown = np.arange(len(h))
+                new, first = np.unique(h, return_index=True)
+            raw, at = text.tobytes(), unknown[first]
+            self._learn(new, [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+            which[unknown] = self._find(h[unknown])
+        lengths = self.lengths[which].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[which] - ends[:-1], lengths)]
+        return flat, np.diff(ends[w.at])
+
+
+#: One tokenizer with its table for each path in a Python worker, kept from task to task.
+_TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
+
+
+def tokenizer(path: str, cache_chunks: int) -> ChunkTokenizer:
+    key = (path, cache_chunks)
+    if key not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[key] = ChunkTokenizer(path, cache_chunks)
+    return _TOKENIZERS[key]
 
 
 def pack(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", most: int = 4096,
-    end_id: int = 2, batch_tokens: int = 1 << 20, cache_chunks: int = 1 << 19, keep_ids: bool = False,
+    end_id: int = 2, batch_tokens: int = 1 << 20, cache_chunks: int = 1_500_000, keep_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: its place in the document, its sequence and its batch; with keep_ids, the ids too."""
     if most & (most - 1):
@@ -99,17 +182,18 @@ def pack(
     schema = SCHEMA + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkTokenizer(tokenizer_path, cache_chunks)
+        encode = tokenizer(tokenizer_path, cache_chunks)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         seen = [0] * most.bit_length()
         first = sequence
         for batch in batches:
             keys = batch.column(0)
             for i, j, data, offsets in pieces(batch.column(1)):
-                raw = data.tobytes()
+                flat, sizes = encode(data, offsets)
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
                 rows, per_doc, kept = [], [], []
                 for d in range(j - i):
-                    ids = np.append(encode(raw[offsets[d] : offsets[d + 1]]), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(flat[bounds[d] : bounds[d + 1]].astype("<u4"), np.uint32(end_id)).astype("<u4")
                     cuts = decompose(len(ids), most)
                     view, start = memoryview(ids).cast("B"), 0
                     for n in cuts:
