@@ -43,6 +43,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each speaker's side."""
+    from .chat import rotate
+
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["from"].cast("string"), x["to"].cast("string"))), ",")
+    return rotate(_table(spark, sf_dir, "conversations")).withColumn("mask", spans).drop("spans")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of all documents."""
     from .packing import pack
@@ -66,10 +81,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op3_quality_rules": op3_quality_rules, "op6_packing": op6_packing, "op9_language_id": op9_language_id, "op10_simhash": op10_simhash}
+    return {"op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op3_quality_rules": op3_quality_rules, "op4_chat_rotation": op4_chat_rotation, "op6_packing": op6_packing, "op7_license_scan": op7_license_scan, "op9_language_id": op9_language_id, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate
+    from . import chat, decontaminate
 
-    return {"op1_decontamination": decontaminate.SQL.format(docs="documents")}
+    return {"op1_decontamination": decontaminate.SQL.format(docs="documents"), "op4_chat_rotation": chat.SQL}
