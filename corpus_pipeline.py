@@ -1,23 +1,88 @@
-"""A corpus pipeline of training-data operators (stages are added as they are built)."""
+"""From raw documents to packed training sequences, by five of the training-data operators.
+
+Each stage works on all rows that the stage before it kept; between stages the
+rows are written and read again by the caller, or simply passed on by run().
+
+1. language_id: documents whose language can't be told (no letters) go.
+2. simhash_near_dedup: of each group of near-duplicates the smallest id stays.
+3. benchmark_decontamination: documents contaminated by the benchmark go.
+4. secret_scan: secrets are replaced by a mark; every document stays.
+5. packing: documents become power-of-two sequences.
+
+A row with a null id can't be told from others by joins: stages 2 and 3 keep it.
+Rows that repeat an id are one document to stage 2: one of them stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from quillon.llm.packing import pack
+from quillon.llm import decontaminate, language, packing, secrets, simhash
 from quillon.llm.queries import tokenizer_path
+from quillon.llm.shared import cut, small_side
+
+#: Removed rows are broadcast up to this number (16 bytes each), and joined by a shuffle beyond.
+BROADCAST_IDS = 100_000
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is told."""
+    model = language.fit_on_training_folds(docs)
+    names = docs.columns
+    plain = docs.select("doc_id", "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
+    found = language.predict(plain, model, keep=tuple(f"_{i}" for i in range(len(names))))
+    kept = found.filter(F.col("lang_pred") != language.UNKNOWN)
+    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each group."""
+    groups = cut(simhash.near_duplicates(docs))
+    kept = groups.filter(F.col("doc_id") == F.col("component_id"))
+    sizes = kept.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    stay = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    if sizes[0] > sizes[1]:  # ids repeat
+        ranked = stay.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
+        stay = ranked.filter("_n = 1").drop("_n")
+    return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop contaminated documents."""
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = cut(found.filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
+    hit = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    return docs.join(small_side(bad, BROADCAST_IDS), hit, "left_anti")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the text; n_chars follows."""
+    found = secrets.scan(docs)
+    changed = {"text": F.col("redacted"), "n_chars": F.when(F.size("secrets") > 0, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer_path())
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Power-of-two sequences of all that is left."""
+    return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
+#: The language classifier has no SQL form; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

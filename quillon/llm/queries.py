@@ -58,6 +58,26 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: places, and a digest of the text without them."""
+    from .secrets import scan
+
+    found = scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    places = F.array_join(F.transform("secrets", lambda x: F.concat_ws("+", x["char_start"].cast("string"), F.length(x["value"]).cast("string"))), ",")
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), places.alias("places"), F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+#: The key of the registered query; a user of the operator gives their own.
+PSEUDONYM_KEY = b"quillon example key"
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with confirmed numbers, dates and addresses under pseudonyms."""
+    from .pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of all documents."""
     from .packing import pack
@@ -81,7 +101,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op3_quality_rules": op3_quality_rules, "op4_chat_rotation": op4_chat_rotation, "op6_packing": op6_packing, "op7_license_scan": op7_license_scan, "op9_language_id": op9_language_id, "op10_simhash": op10_simhash}
+    return {
+        f.__name__: f
+        for f in (
+            op1_decontamination, op2_substring_dedup, op3_quality_rules, op4_chat_rotation, op5_secret_scan, op6_packing,
+            op7_license_scan, op8_pii_pseudonyms, op9_language_id, op10_simhash,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
