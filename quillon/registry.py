@@ -12,9 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import conversations
+    from .plans import conversations, texts
 
-    return [conversations]
+    return [conversations, texts]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
