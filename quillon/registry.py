@@ -12,9 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import conversations, texts
+    from .plans import conversations, samples, texts
 
-    return [conversations, texts]
+    return [conversations, texts, samples]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
