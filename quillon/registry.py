@@ -12,9 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import conversations, samples, texts
+    from .plans import conversations, joins, samples, stats, texts
 
-    return [conversations, texts, samples]
+    return [conversations, texts, samples, joins, stats]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
