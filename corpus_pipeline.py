@@ -9,7 +9,7 @@ rows are written and read again by the caller, or simply passed on by run().
 4. secret_scan: secrets are replaced by a mark; every document stays.
 5. packing: documents become power-of-two sequences.
 
-A row with a null id can't be told from others by joins: stages 2 and 3 keep it.
+A row with a null id can't be named by a group: stage 2 keeps it.
 Rows that repeat an id are one document to stage 2: one of them stays.
 """
 
@@ -27,14 +27,17 @@ from quillon.llm.shared import cut, small_side
 BROADCAST_IDS = 100_000
 
 
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs less the rows named in bad (doc_id, key), key being the text's hash; null ids are matched too."""
+    gone = cut(bad.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
+    return docs.join(small_side(gone, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is told."""
     model = language.fit_on_training_folds(docs)
-    names = docs.columns
-    plain = docs.select("doc_id", "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
-    found = language.predict(plain, model, keep=tuple(f"_{i}" for i in range(len(names))))
-    kept = found.filter(F.col("lang_pred") != language.UNKNOWN)
-    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
+    found = language.predict(docs.withColumn("_key", F.xxhash64("text")), model, keep=("_key",))
+    return _without(docs, found.filter(F.col("lang_pred") == language.UNKNOWN).withColumnRenamed("_key", "key"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +55,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = cut(found.filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
-    hit = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(small_side(bad, BROADCAST_IDS), hit, "left_anti")
+    return _without(docs, found.filter("contaminated"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
