@@ -65,6 +65,8 @@ def word_hashes(words: list[str]) -> np.ndarray:
 @dataclass
 class Index:
     vocabulary: np.ndarray  # sorted word hashes
+    maybe: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, bool))  # low bits of those hashes
+    openings: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # first two words of each phrase, as one number
     postings: dict[int, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     templates: list[tuple[str, int, tuple[tuple[int, ...], ...]]] = field(default_factory=list)
     base: list[tuple[tuple[int, ...], str]] = field(default_factory=list)
@@ -84,15 +86,20 @@ def build() -> Index:
             index.postings[w].append((len(index.templates), at))
         index.templates.append((label, len(text.split()), tuple(map(code, keys))))
     index.base = [(code(p), label) for p, label in BASE.items()]
+    index.maybe[(index.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+    phrases = [p for p, _ in index.base] + [k for _, _, keys in index.templates for k in keys]
+    index.openings = np.unique([p[0] * len(names) + p[1] for p in phrases])
     return index
 
 
-def _vocabulary_words(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _vocabulary_words(w: Words, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """(word places, vocabulary numbers) of a piece's words that templates hold."""
     h = w.hashes()
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    where = np.flatnonzero(vocabulary[at] == h)
-    return where, at[where]
+    where = np.flatnonzero(index.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
+    h = h[where]
+    at = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
+    sure = index.vocabulary[at] == h
+    return where[sure], at[sure]
 
 
 def document_frequencies(docs: DataFrame, index: Index, text_col: str) -> tuple[int, np.ndarray]:
@@ -104,9 +111,13 @@ def document_frequencies(docs: DataFrame, index: Index, text_col: str) -> tuple[
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column(0)):
                 w = Words(data, offsets, ALNUM_WORDS, lower=True)
-                where, word = _vocabulary_words(w, vocabulary)
+                where, word = _vocabulary_words(w, index)
                 doc = np.searchsorted(w.at, where, "right") - 1
-                df += np.bincount(np.unique(doc * len(vocabulary) + word) % len(vocabulary), minlength=len(vocabulary))
+                for lo in range(0, j - i, 4096):
+                    held = np.zeros((min(4096, j - i - lo), len(vocabulary)), bool)
+                    some = slice(*np.searchsorted(doc, [lo, lo + 4096]))
+                    held[doc[some] - lo, word[some]] = True
+                    df += held.sum(0)
                 n += j - i
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df], pa.list_(pa.int64()))], ["n", "df"])
 
@@ -163,24 +174,19 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rar
     index = build()
     n, df = document_frequencies(docs, index, text_col)
     idf = np.log((n + 1) / (df + 0.5))
-    firsts = {p[0] for p, _ in index.base} | {k[0] for _, _, keys in index.templates for k in keys}
-    opens = np.isin(np.arange(len(index.vocabulary)), sorted(firsts))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column(1)):
                 w = Words(data, offsets, ALNUM_WORDS, lower=True)
-                where, word = _vocabulary_words(w, index.vocabulary)
+                where, word = _vocabulary_words(w, index)
                 doc = np.searchsorted(w.at, where, "right") - 1
-                # three template words in a row stand wherever a phrase may be found
-                near = np.zeros(len(where), bool)
+                # only where a base or key phrase opens can there be a place or a label
+                opens = np.zeros(len(where), bool)
                 if len(where) > 1:
-                    two = (where[1:] == where[:-1] + 1) & (doc[1:] == doc[:-1])
-                    near[1:] |= two
-                    near[:-1] |= two
+                    opens[:-1] = (where[1:] == where[:-1] + 1) & (doc[1:] == doc[:-1]) & np.isin(word[:-1] * len(index.vocabulary) + word[1:], index.openings)
                 bounds = np.searchsorted(where, w.at)
                 rows = [(0, None, None, "", "", 0.0)] * (j - i)
-                for d in np.unique(doc[near & opens[word]]).tolist():
+                for d in np.unique(doc[opens]).tolist():
                     mine = slice(bounds[d], bounds[d + 1])
                     found, base, labels, score = judge(where[mine] - w.at[d], word[mine], index, idf, rare_words, slack, agree)
                     rows[d] = (len(found), min(found, default=None), max(found, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), float(score))
