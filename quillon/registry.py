@@ -12,9 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import conversations, joins, logs, metrics, rewards, samples, stats, texts
+    from .plans import conversations, joins, logs, matrices, metrics, packs, rewards, samples, stats, texts
 
-    return [conversations, texts, samples, joins, stats, logs, rewards, metrics]
+    return [conversations, texts, samples, joins, stats, logs, rewards, metrics, matrices, packs]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
