@@ -30,7 +30,8 @@ BROADCAST_IDS = 100_000
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """docs less the rows named in bad (doc_id, key), key being the text's hash; null ids are matched too."""
     gone = cut(bad.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
-    return docs.join(small_side(gone, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    match = F.col("d.doc_id").eqNullSafe(F.col("g._id")) & (F.xxhash64("d.text") == F.col("g._key"))
+    return docs.alias("d").join(small_side(gone, BROADCAST_IDS).alias("g"), match, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     sizes = kept.agg(F.count("*"), F.countDistinct("doc_id")).first()
     stay = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
     if sizes[0] > sizes[1]:  # ids repeat
-        ranked = stay.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
-        stay = ranked.filter("_n = 1").drop("_n")
+        ranked = stay.withColumn("_row_of_id", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
+        stay = ranked.filter("_row_of_id = 1").drop("_row_of_id")
     return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
@@ -60,9 +61,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the text; n_chars follows."""
-    found = secrets.scan(docs)
-    changed = {"text": F.col("redacted"), "n_chars": F.when(F.size("secrets") > 0, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    found = secrets.scan(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "text"))
+    changed = {"text": F.col("redacted"), "n_chars": F.when(F.size("secrets") > 0, F.length("redacted").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

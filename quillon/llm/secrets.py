@@ -10,7 +10,8 @@ Every candidate of a text is judged within the row, so nothing is shuffled.
 
 Cases: a null text stays null without findings; an empty text stays empty; a text
 of candidates only, repeated rows and very long texts need no special care; an
-empty table gives an empty result; all other columns stay.
+empty table gives an empty result; all other columns stay, but for those named
+like the three results, which give way to them.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ SOME = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{16,}"
 BEFORE, AFTER = 48, 16
 MOST_FINDINGS = 20_000
 REDACTED = "[SECRET]"
+RESULTS = ("n_candidates", "secrets", "redacted")
 
 # Common English, code and licence words of three letters or more.
 WORDS = (
@@ -187,7 +189,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5, mod
     """docs with `n_candidates`, `secrets` array<struct<value, score, char_start>> and `redacted` in place of each secret."""
     model = model if model is not None else train()
     text = F.col("_scan.text")
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.struct(docs[text_col].cast("string").alias("text"), docs[text_col].rlike(SOME).alias("some")).alias("_scan"))
+    inner = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in RESULTS]).alias("_row"), F.struct(docs[text_col].cast("string").alias("text"), docs[text_col].rlike(SOME).alias("some")).alias("_scan"))
     cut = inner.select(
         "_row", "_scan",
         F.when(F.col("_scan.some"), F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))).alias("_found"),
