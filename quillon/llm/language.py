@@ -33,7 +33,7 @@ UNKNOWN = "und"
 LETTER = np.zeros(256, dtype=bool)
 LETTER[ord("a") : ord("z") + 1] = True
 #: Documents whose grams are counted at once.
-BLOCK = 512
+BLOCK = 256
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:

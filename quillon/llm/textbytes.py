@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _P1 = 0x9E3779B97F4A7C15 | 1
 _INV1 = pow(_P1, -1, 1 << 64)
