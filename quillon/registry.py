@@ -12,9 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import conversations, joins, logs, matrices, metrics, packs, rewards, samples, sources, stats, texts
+    from .plans import conversations, joins, logs, matrices, metrics, packs, rewards, rowfuncs, samples, sources, stats, texts
 
-    return [conversations, texts, samples, joins, stats, logs, rewards, metrics, matrices, packs, sources]
+    return [conversations, texts, samples, joins, stats, logs, rewards, metrics, matrices, packs, sources, rowfuncs]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
