@@ -39,7 +39,7 @@ from .textbytes import SPACE_WORDS, Words, pieces, windows
 
 K = 13
 #: Words of one lot at most (a longer document is a lot of its own).
-LOT_WORDS = 3_000_000
+LOT_WORDS = 2_000_000
 LOT_SCHEMA = "bucket long, lot long, ids binary, hashes binary, words binary, local binary"
 BACK_SCHEMA = "lot long, ids binary, repeated binary, local binary"
 PATH_SCHEMA = "doc_id long, paths binary"
@@ -229,7 +229,7 @@ def bucket_count(docs: DataFrame, text_col: str, edges_per_bucket: int, chars_pe
     return max(1, -(-chars // (chars_per_word * edges_per_bucket)))
 
 
-def repeated_paths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, edges_per_bucket: int = 1_500_000, lot_words: int = LOT_WORDS) -> DataFrame:
+def repeated_paths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, edges_per_bucket: int = 800_000, lot_words: int = LOT_WORDS) -> DataFrame:
     """(doc_id, paths): per document with repeated edges, packed (first words, edges in path, words in document)."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     buckets = bucket_count(own, "text", edges_per_bucket)
@@ -238,7 +238,7 @@ def repeated_paths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return back.groupBy("lot").applyInArrow(_paths, PATH_SCHEMA)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, edges_per_bucket: int = 1_500_000, lot_words: int = LOT_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, edges_per_bucket: int = 800_000, lot_words: int = LOT_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, text): each row's words less those in repeated edges, single-spaced."""
     paths = repeated_paths(docs, id_col=id_col, text_col=text_col, k=k, edges_per_bucket=edges_per_bucket, lot_words=lot_words)
     per_doc = paths.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("paths").alias("paths"))
