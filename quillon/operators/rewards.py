@@ -78,10 +78,10 @@ def varied_groups(df: DataFrame, group: str, reward: str) -> DataFrame:
     return df.join(ok, group, "left_semi")
 
 
-def cosine_length(length: Column, correct: Column, top: int, right: tuple[float, float] = (1.0, 0.5), wrong: tuple[float, float] = (0.0, -0.5)) -> Column:
+def cosine_length(length: Column, correct: Column, top: int, right: tuple[float, float] = (1.0, 0.5), wrong: tuple[float, float] = (-0.5, 0.0)) -> Column:
     """A reward that moves along a half cosine with length (I9): (at length 0, at the top length) for right and wrong answers."""
     cos = lambda lo, hi: F.lit(hi) - (hi - lo) * (1 - F.cos(length * math.pi / top)) / 2
-    return F.when(correct, cos(right[1], right[0])).otherwise(cos(wrong[0], wrong[1]))
+    return F.when(correct, cos(right[1], right[0])).otherwise(cos(wrong[1], wrong[0]))
 
 
 def soft_overlong(length: Column, most: int, cache: int) -> Column:
