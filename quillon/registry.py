@@ -12,9 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import agents, concepts, conversations, joins, logs, matrices, metrics, packs, rewards, rowfuncs, samples, sources, stats, streams, texts
+    from .plans import agents, concepts, conversations, joins, logs, matrices, metrics, packs, reports, rewards, rowfuncs, samples, sources, stats, streams, texts
 
-    return [conversations, texts, samples, joins, stats, logs, rewards, metrics, matrices, packs, sources, rowfuncs, concepts, streams, agents]
+    return [conversations, texts, samples, joins, stats, logs, rewards, metrics, matrices, packs, sources, rowfuncs, concepts, streams, agents, reports]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
