@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reach(spark: SparkSession) -> None:
+    """Let Python workers find this library where it is neither installed nor in their working folder."""
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([*parts, ROOT])
+
 
 def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """UTC, adaptive execution, Kryo left to Spark's defaults; further settings by keyword with `__` for dots."""
