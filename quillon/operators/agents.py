@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,26 +14,50 @@ from ..functions import text as T
 
 @dataclass(frozen=True)
 class Layout:
-    """How a format spells things: marks around a call and a result, and whether a call is one JSON object or a name and its input."""
-
-    call: tuple[str, str]
-    result: tuple[str, str]
-    json_call: bool = True
+    """How a format spells calls and results.
+
+    A call is `call[0]`, the name, `call[1]`, the arguments, `call[2]`; with `json_object` it is one JSON object between
+    call[0] and call[2]. Arguments are JSON, or with `param` one `param[0] key param[1] value param[2]` each.
+    """
+
+    call: tuple[str, str, str]
+    result: tuple[str, str] = ("", "")
+    json_object: bool = False
+    param: tuple[str, str, str] | None = None
+    block: tuple[str, str] = ("", "")
+    between: str = "\n"
     tools: tuple[str, str] = ("", "")
     arguments_key: str = "arguments"
 
 
-_REACT = Layout(("Action: ", ""), ("Observation: ", ""), False)
-_ZH = Layout(("行动: ", ""), ("观察: ", ""), False)
-_HERMES = Layout(("<tool_call>\n", "\n</tool_call>"), ("<tool_response>\n", "\n</tool_response>"), True, ("<tools>\n", "\n</tools>"))
+_TOOLS = ("<tools>\n", "\n</tools>")
+_REACT = Layout(("Action: ", "\nAction Input: ", ""), ("Observation: ", ""))
+_REACT_ZH = Layout(("行动: ", "\n行动输入: ", ""), ("观察: ", ""))
+_QWEN = Layout(("✿FUNCTION✿: ", "\n✿ARGS✿: ", ""), ("✿RESULT✿: ", ""))
+_HERMES = Layout(("<tool_call>\n", "", "\n</tool_call>"), ("<tool_response>\n", "\n</tool_response>"), True, tools=_TOOLS)
+_XML = Layout(("<tool_call>\n<function=", ">\n", "\n</function>\n</tool_call>"), ("<tool_response>\n", "\n</tool_response>"), param=("<parameter=", ">\n", "\n</parameter>"), tools=_TOOLS)
+_GLM4 = Layout(("", "\n", ""), ("", ""), between="<|assistant|>", block=("", "<|observation|>"))
+_KEYS = Layout(("<tool_call>", "\n", "\n</tool_call>"), ("<tool_response>\n", "\n</tool_response>"), param=("<arg_key>", "</arg_key>\n<arg_value>", "</arg_value>"), tools=_TOOLS)
+_KEYS_TIGHT = Layout(("<tool_call>", "", "</tool_call>"), ("<tool_response>", "</tool_response>"), param=("<arg_key>", "</arg_key><arg_value>", "</arg_value>"), between="", tools=_TOOLS)
+_HY = Layout(("<tool_call>", "<tool_sep>\n", "\n</tool_call>"), ("<tool_response>\n", "\n</tool_response>"), param=("<arg_key>", "</arg_key>\n<arg_value>", "</arg_value>"), block=("<tool_calls>\n", "\n</tool_calls>"), tools=_TOOLS)
+_INVOKE = Layout(('<invoke name="', '">\n', "\n</invoke>"), ("<response>", "</response>"), param=('<parameter name="', '">', "</parameter>"), block=("<minimax:tool_call>\n", "\n</minimax:tool_call>"), tools=_TOOLS)
 # The marks of known formats by key; formats that share marks share a layout.
 LAYOUTS: dict[str, Layout] = {
-    "react_en": _REACT, "react_zh": _ZH, "react_grpo": _REACT, "toolbench": _REACT,
-    "qwen_en": Layout(("✿FUNCTION✿: ", ""), ("✿RESULT✿: ", ""), False), "qwen_zh": Layout(("✿FUNCTION✿: ", ""), ("✿RESULT✿: ", ""), False),
-    "qwen_en_parallel": Layout(("✿FUNCTION✿: ", ""), ("✿RESULT✿: ", ""), False), "qwen_zh_parallel": Layout(("✿FUNCTION✿: ", ""), ("✿RESULT✿: ", ""), False),
+    "react_en": _REACT, "react_zh": _REACT_ZH, "react_grpo": _REACT, "toolbench": _REACT,
+    "qwen_en": _QWEN, "qwen_zh": _QWEN, "qwen_en_parallel": _QWEN, "qwen_zh_parallel": _QWEN,
+    "qwen3_coder": _XML, "qwen3_5": _XML,
     "hermes": _HERMES, "hunyuan_hermes": _HERMES, "youtu": _HERMES,
-    "llama3": Layout(("<|python_tag|>", ""), ("", ""), True, arguments_key="parameters"), "llama4": Layout(("", ""), ("", ""), True, arguments_key="parameters"),
-    "mistral": Layout(("[TOOL_CALLS] [", "]"), ("[TOOL_RESULTS] ", " [/TOOL_RESULTS]"), True, ("[AVAILABLE_TOOLS] [", "][/AVAILABLE_TOOLS]")),
+    "hy_v3_preview": _HY, "hy_v3": _HY,
+    "chatglm4": _GLM4, "glm4": _GLM4, "glm4_5": _KEYS, "glm4_7": _KEYS_TIGHT, "glm5_1": _KEYS_TIGHT,
+    "llama3": Layout(("", "", ""), json_object=True, arguments_key="parameters"), "llama4": Layout(("", "", ""), json_object=True, block=("", "<|eom|>"), arguments_key="parameters"),
+    "deepseek_v3_1": Layout(("<｜tool▁call▁begin｜>", "<｜tool▁sep｜>", "<｜tool▁call▁end｜>"), ("<｜tool▁output▁begin｜>", "<｜tool▁output▁end｜>"), block=("<｜tool▁calls▁begin｜>", "<｜tool▁calls▁end｜>"), between=""),
+    "deepseek_v4": Layout(('<｜DSML｜invoke name="', '">\n', "\n</｜DSML｜invoke>"), ("<tool_result>", "</tool_result>"), param=('<｜DSML｜parameter name="', '" string="true">', "</｜DSML｜parameter>"), block=("<｜DSML｜tool_calls>\n", "\n</｜DSML｜tool_calls>")),
+    "minimax_m2": _INVOKE, "minimax_m3": _INVOKE,
+    "seed_oss": Layout(("<seed:tool_call>\n<function=", ">\n", "\n</function>\n</seed:tool_call>"), ("<seed:bos>tool\n", "<seed:eos>"), param=("<parameter=", ">", "</parameter>")),
+    "gemma4": Layout(("<|tool_call>call:", "", "<tool_call|>"), ("<|tool_response>response:", "<tool_response|>"), between=""),
+    "mistral": Layout(("", "", ""), ("[TOOL_RESULTS]", "[/TOOL_RESULTS]"), True, block=("[TOOL_CALLS][\n", "\n]</s>"), tools=("[AVAILABLE_TOOLS][", "][/AVAILABLE_TOOLS]")),
+    "kimi_k25": Layout(("<|tool_call_begin|>", "<|tool_call_argument_begin|>", "<|tool_call_end|>"), ("<|im_system|>tool<|im_middle|>", "<|im_end|>"), block=("<|tool_calls_section_begin|>", "<|tool_calls_section_end|>"), between=""),
+    "minicpm5": Layout(('<function name="', '">', "</function>"), ("<tool_response>\n", "\n</tool_response>"), param=('<param name="', '">', "</param>"), tools=_TOOLS),
 }
 
 
@@ -53,10 +78,40 @@ def unwrap_tool(tool: Column) -> Column:
 
 
 def format_call(name: Column, arguments: Column, key: str) -> Column:
-    """A call as the format writes it."""
+    """One call as the format writes it; arguments are JSON."""
+    la = LAYOUTS[key]
+    if la.json_object:
+        body = F.concat(F.lit('{"name": "'), name, F.lit(f'", "{la.arguments_key}": '), arguments, F.lit("}"))
+        return F.concat(F.lit(la.call[0]), body, F.lit(la.call[2]))
+    if la.param:
+        each = F.transform(F.map_entries(F.from_json(arguments, "map<string,string>")), lambda e: F.concat(F.lit(la.param[0]), e["key"], F.lit(la.param[1]), F.coalesce(e["value"], F.lit("null")), F.lit(la.param[2])))
+        arguments = F.array_join(each, "\n" if "\n" in la.call[1] else "")
+    return F.concat(F.lit(la.call[0]), name, F.lit(la.call[1]), arguments, F.lit(la.call[2]))
+
+
+def format_calls(calls: Column, key: str) -> Column:
+    """All calls (array<struct<name, arguments>>) of a turn, within the format's block."""
+    la = LAYOUTS[key]
+    return F.concat(F.lit(la.block[0]), F.array_join(F.transform(calls, lambda c: format_call(c["name"], c["arguments"], key)), la.between), F.lit(la.block[1]))
+
+
+def parse_calls(text: Column, key: str) -> Column:
+    """array<struct<name, arguments>> of a text in the format; arguments as JSON (values of parameters as strings)."""
     la = LAYOUTS[key]
-    body = F.concat(F.lit('{"name": "'), name, F.lit(f'", "{la.arguments_key}": '), arguments, F.lit("}")) if la.json_call else F.concat(name, F.lit("\n"), F.lit(la.call[0].replace("Action", "Action Input").replace("行动", "行动输入").replace("FUNCTION", "ARGS")), arguments)
-    return F.concat(F.lit(la.call[0]), body, F.lit(la.call[1]))
+    if la.json_object:
+        inner = F.regexp_extract_all(text, F.lit(rf'(?s)(\{{"name": "[^"]*", "{la.arguments_key}": \{{.*?\}}\}})'), F.lit(1))
+        return F.transform(inner, lambda j: F.struct(F.get_json_object(j, "$.name").alias("name"), F.get_json_object(j, f"$.{la.arguments_key}").alias("arguments")))
+    body = F.substring(text, len(la.block[0]) + 1, 1 << 30) if la.block[0] else text
+    body = F.regexp_replace(body, re.escape(la.block[1]) + "$", "") if la.block[1] else body
+    end = re.escape(la.call[2]) if la.call[2] else f"(?:{re.escape(la.between)}|$)" if la.call[0] == "" else f"(?=\\s*{re.escape(la.call[0])}|$)"
+    head = re.escape(la.call[1]) if la.call[1] else r"(?=[{<])"
+    pattern = rf"(?s){re.escape(la.call[0])}([^\n{{<]*?){head}(.*?){end}"
+    both = F.arrays_zip(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(body, F.lit(pattern), F.lit(2)).alias("arguments"))
+    if not la.param:
+        return F.filter(F.transform(both, lambda c: F.struct(F.trim(c["name"]).alias("name"), F.trim(c["arguments"]).alias("arguments"))), lambda c: c["name"] != "")
+    one = rf"(?s){re.escape(la.param[0])}(.*?){re.escape(la.param[1])}(.*?){re.escape(la.param[2])}"
+    args = lambda a: F.to_json(F.map_from_arrays(F.regexp_extract_all(a, F.lit(one), F.lit(1)), F.regexp_extract_all(a, F.lit(one), F.lit(2))))
+    return F.transform(both, lambda c: F.struct(c["name"].alias("name"), args(c["arguments"]).alias("arguments")))
 
 
 def format_results(results: Column, key: str) -> Column:

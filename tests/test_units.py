@@ -391,3 +391,11 @@ def test_agent_round_trip(spark):
         assert (r.c[0].name, r.c[0].arguments) == ("f", '{"a":1}')
     with pytest.raises(ValueError):
         A.register("hermes", A.LAYOUTS["hermes"])
+
+
+@pytest.mark.parametrize("key", sorted(A.LAYOUTS))
+def test_agent_layouts(spark, key):
+    """What a format writes it reads: two calls with two arguments."""
+    calls = F.array(*[F.struct(F.lit(n).alias("name"), F.lit('{"a":"1","b":"two words"}').alias("arguments")) for n in ("find", "get_it")])
+    r = one(spark, t=A.format_calls(calls, key), c=A.parse_calls(A.format_calls(calls, key), key))
+    assert [(c.name, json.loads(c.arguments)) for c in r.c] == [(n, {"a": "1", "b": "two words"}) for n in ("find", "get_it")], r.t
