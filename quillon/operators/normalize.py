@@ -89,3 +89,61 @@ def canonical(df: DataFrame, tag: str | None = None) -> DataFrame:
     """Renamed by the alias table, and tagged."""
     out = rename_safely(df, alias_table())
     return out if tag is None else out.withColumn("dataset", F.lit(tag))
+
+
+STASH = "__@"
+
+
+def stash(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns put aside under a prefixed name, so that a row function may write their names."""
+    return df.withColumnsRenamed({c: STASH + c for c in columns if c in df.columns})
+
+
+def unstash(df: DataFrame) -> DataFrame:
+    """Stashed columns under their own names again, where no new column has taken them; else they go."""
+    taken = set(df.columns)
+    back = {c: c[len(STASH) :] for c in df.columns if c.startswith(STASH)}
+    return df.drop(*[c for c, own in back.items() if own in taken]).withColumnsRenamed({c: own for c, own in back.items() if own not in taken})
+
+
+def shape_of(columns: list[str]) -> str:
+    """Which row shape a table has: `messages`, `alpaca` or `response`."""
+    names = {c.lower() for c in columns}
+    if names & {"messages", "conversation", "conversations"}:
+        return "messages"
+    return "alpaca" if {"instruction", "input"} <= names else "response"
+
+
+def auto(df: DataFrame) -> DataFrame:
+    """Canonical messages of a table by its shape."""
+    from .conversation import ROLE_ALIASES, alpaca_query, from_response, rename_roles
+
+    null = F.lit(None).cast("string")
+    shape = shape_of(df.columns)
+    by_lower = {c.lower(): c for c in df.columns}
+    pick = lambda n: F.col(by_lower[n]) if n in by_lower else null
+    history = F.col(by_lower["history"]) if "history" in by_lower else F.lit(None).cast("array<array<string>>")
+    if shape == "alpaca":
+        out = from_response(pick("system"), history, alpaca_query(pick("instruction"), pick("input")), pick("output"))
+    elif shape == "messages":
+        name = next(n for n in ("messages", "conversation", "conversations") if n in by_lower)
+        field = df.schema[by_lower[name]].dataType.elementType.names
+        role, text = ("role" if "role" in field else "from"), next(n for n in ("content", "value", "text") if n in field)
+        out = rename_roles(F.transform(by_lower[name], lambda m: F.struct(m[role].alias("role"), m[text].alias("content"))), ROLE_ALIASES)
+    else:
+        df = rename_safely(df, alias_table())
+        have = lambda n: F.col(n) if n in df.columns else null
+        out = from_response(have("system"), history, have("query"), have("response"))
+    return df.select(out.alias("messages")).filter(F.size("messages") > 0)
+
+
+def canonical_json(columns: list[str]) -> Column:
+    """The columns as one JSON object with sorted keys: a text to hash."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Rows in hash order (F15): a range sort, not a buffer."""
+    from .sampling import hash_order
+
+    return df.orderBy(hash_order(seed, "shuffle", F.col(key)), key)

@@ -88,3 +88,26 @@ def member_is_safe(name: str) -> bool:
     """Whether an archive member stays inside the folder it is unpacked to."""
     parts = name.replace("\\", "/").split("/")
     return not (name.startswith(("/", "\\")) or ".." in parts or (len(name) > 1 and name[1] == ":"))
+
+
+def archive_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(path, fault) of zip archives: unreadable ones, members with a wrong checksum, members that would leave the folder."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def check(frames):
+        for f in frames:
+            out = []
+            for p, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        bad = z.testzip()
+                        out += [(p, f"checksum: {bad}")] if bad else []
+                        out += [(p, f"leaves the folder: {n}") for n in z.namelist() if not member_is_safe(n)]
+                except zipfile.BadZipFile:
+                    out.append((p, "unreadable"))
+            yield pd.DataFrame(out, columns=["path", "fault"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(check, "path string, fault string")

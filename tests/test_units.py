@@ -399,3 +399,25 @@ def test_agent_layouts(spark, key):
     calls = F.array(*[F.struct(F.lit(n).alias("name"), F.lit('{"a":"1","b":"two words"}').alias("arguments")) for n in ("find", "get_it")])
     r = one(spark, t=A.format_calls(calls, key), c=A.parse_calls(A.format_calls(calls, key), key))
     assert [(c.name, json.loads(c.arguments)) for c in r.c] == [(n, {"a": "1", "b": "two words"}) for n in ("find", "get_it")], r.t
+
+
+def test_shapes_and_stash(spark, tmp_path):
+    import zipfile
+
+    a = spark.createDataFrame([("do", "it", "done")], "instruction string, input string, output string")
+    r = spark.createDataFrame([("q", "r")], "Question string, answer string")
+    m = spark.createDataFrame([([("human", "q"), ("gpt", "r")],)], "conversations array<struct<from:string,value:string>>")
+    flat = lambda d: [(x.role, x.content) for x in N.auto(d).first().messages]
+    assert flat(a) == [("user", "do\nit"), ("assistant", "done")]
+    assert flat(r) == flat(m) == [("user", "q"), ("assistant", "r")]
+    s = N.stash(a, ["input"]).withColumn("input", F.lit("new"))
+    assert N.unstash(s).columns == ["instruction", "output", "input"] and N.unstash(N.stash(a, ["input"])).columns == a.columns
+    assert a.select(N.canonical_json(["output", "input"]).alias("j")).first().j == '{"input":"it","output":"done"}'
+    assert N.shuffled(spark.range(9), "id").count() == 9
+    with zipfile.ZipFile(tmp_path / "ok.zip", "w") as z:
+        z.writestr("a.txt", "x")
+    with zipfile.ZipFile(tmp_path / "out.zip", "w") as z:
+        z.writestr("../a.txt", "x")
+    (tmp_path / "bad.zip").write_bytes(b"no zip")
+    faults = {x.path.rsplit("/", 1)[1]: x.fault for x in readers.archive_faults(spark, str(tmp_path / "*.zip")).collect()}
+    assert set(faults) == {"out.zip", "bad.zip"} and faults["bad.zip"] == "unreadable"
