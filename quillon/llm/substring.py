@@ -1,23 +1,27 @@
 """Substring dedup over a De Bruijn graph of token k-mers.
 
 Every run of k words is an edge between its first and its last k - 1 words. An
-edge is repeated if its words also start in a document with a smaller id. Edges
-meet by hash range; consecutive repeated edges of a document are compacted to
-paths, and the words of a path are removed where its source coordinates are
-confirmed against the text.
+edge is repeated if its words also start in a document with a smaller id; that
+place is its source. Edges meet by hash range; consecutive repeated edges of a
+document whose sources are consecutive too form a nonbranching path, and the
+words of a path are removed once its words and its source's words are found equal.
 
 Steps. (1) Each task cuts its documents into lots of bounded size, and reduces
 each lot first: of the documents in a lot that share an edge, only the smallest
-id goes on, the others are repeated already. So an edge in a third of all
+id goes on, the others have their source in the lot. So an edge in a third of all
 documents travels once per lot. (2) Edges travel packed, sorted and delta-coded,
-to `edges_per_bucket`-sized hash ranges; the smallest id of each edge is found
-there, and the repeated edges go back to their lots as packed positions. (3) A
-lot's positions are compacted to paths (first word, edges, sum of edge hashes).
-(4) Paths join their documents, whose edges are hashed again: a path counts only
-if the sum agrees, so a path never lands on another text with the same id.
-
-Edges are compared by 64-bit hashes of word hashes; among n edges about
-n*n / 2**65 are expected to collide (0.0005 at 1.4e8 edges).
+to hash ranges of about `edges_per_bucket`; the smallest id of each edge is found
+there, and repeated edges go back to their lots with their sources' coordinates.
+(3) A lot's repeated edges are compacted to paths, those of a document with one
+source packed together. (4) They join their source documents, which give a
+128-bit digest of the words at the paths. A source of a third of all paths is a
+skewed join key, which adaptive execution splits; nothing is gathered by source.
+(5) They join their own documents: where the digest of the words there agrees,
+the words go. Both joins use one shuffle of the compressed texts.
+
+Edges meet by 64-bit hashes. Unequal edges that collide (about n*n / 2**65 pairs
+among n edges; 0.0005 at 1.4e8) fail the comparison of words, so a collision can
+leave a passage in place but never removes one.
 
 Cases: a null, empty or short text has no edge and keeps its words; repeated
 rows have equal ids and don't repeat each other; rows with a null id are cleaned
@@ -35,14 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import SPACE_WORDS, Words, pieces, windows
+from .textbytes import SPACE_WORDS, Words, mix, pieces, windows
 
 K = 13
+#: The lowest longs stand for null ids; so many, that these are dealt out too.
+NO_ID, NO_IDS = -(1 << 63), 1 << 20
 #: Words of one lot at most (a longer document is a lot of its own).
 LOT_WORDS = 2_000_000
 LOT_SCHEMA = "bucket long, lot long, ids binary, hashes binary, words binary, local binary"
-BACK_SCHEMA = "lot long, ids binary, repeated binary, local binary"
-PATH_SCHEMA = "doc_id long, paths binary"
+BACK_SCHEMA = "lot long, ids binary, digests binary, repeated binary"
+PATH_SCHEMA = "doc_id long, digest long, src long, paths binary"
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -89,20 +95,28 @@ def _unthree(x: bytes) -> np.ndarray:
     return wide.view("<u4").ravel().astype(np.int64)
 
 
-def _lot(docs: list[tuple[int, int]], where: list[np.ndarray], hashes: list[np.ndarray], buckets: int) -> Iterator[tuple]:
-    """Rows of LOT_SCHEMA of one lot. docs: (id, words) in order; where: word in the lot; hashes: of its edges."""
-    ids, sizes = np.array([d for d, _ in docs], np.int64), np.array([n for _, n in docs], np.int64)
+def _sources(hit: np.ndarray, docs: np.ndarray, places: np.ndarray) -> bytes:
+    """Repeated edges (word in the lot, source document, word in it), in order of the first."""
+    order = np.argsort(hit, kind="stable")
+    steps = np.diff(hit[order].astype(np.int64), prepend=0)
+    return _zip(np.concatenate([steps, docs[order].astype(np.int64), places[order].astype(np.int64)]))
+
+
+def _lot(docs: list[tuple[int, int, int]], where: list[np.ndarray], hashes: list[np.ndarray], buckets: int) -> Iterator[tuple]:
+    """Rows of LOT_SCHEMA of one lot. docs: (id, words, digest) in order; where: word in the lot; hashes: of its edges."""
+    ids, sizes, digests = (np.array([d[c] for d in docs], np.int64) for c in range(3))
     ends = np.cumsum(sizes)
     w, h = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((where, np.int64), (hashes, np.uint64)))
     order = np.argsort(h, kind="stable")
     h, w = h[order], w[order]
-    own = ids[np.searchsorted(ends, w, "right")]
-    begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    least = np.repeat(np.minimum.reduceat(own, begins), np.diff(np.append(begins, len(h)))) if len(h) else own
+    doc = np.searchsorted(ends, w, "right")
+    own = ids[doc]
+    least, source = _least(h, own)
     later = own > least
+    place = w - (ends - sizes)[doc]
     table = _zip(np.concatenate([ids[:1], np.diff(ids), sizes]))
-    lot = int.from_bytes(hashlib.blake2b(ids.tobytes() + sizes.tobytes() + h[:: max(1, len(h) // 4096)].tobytes(), digest_size=8).digest(), "little", signed=True)
-    yield -1 - (lot & 0x7FFFFFFFFFFF), lot, table, None, None, _zip(np.packbits(np.isin(np.arange(ends[-1] if len(ends) else 0), w[later])))
+    lot = int.from_bytes(hashlib.blake2b(ids.tobytes() + sizes.tobytes() + digests.tobytes(), digest_size=8).digest(), "little", signed=True)
+    yield -1 - (lot & 0x7FFFFFFFFFFF), lot, table, None, _zip(digests), _sources(w[later], least[later], place[source[later]])
     h, w = h[~later], w[~later]
     bounds = np.searchsorted(h, np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)) if buckets > 1 else np.zeros(0, np.int64)
     bounds = np.concatenate([[0], bounds, [len(h)]])
@@ -112,6 +126,17 @@ def _lot(docs: list[tuple[int, int]], where: list[np.ndarray], hashes: list[np.n
         yield int(b), lot, table, _deltas(h[lo:hi]), words, None
 
 
+def _least(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sorted hashes, the smallest id of its run and the first place in the run that has it."""
+    if not len(h):
+        return own, np.zeros(0, np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    runs = np.diff(np.append(begins, len(h)))
+    least = np.repeat(np.minimum.reduceat(own, begins), runs)
+    at = np.where(own == least, np.arange(len(h)), len(h))
+    return least, np.repeat(np.minimum.reduceat(at, begins), runs)
+
+
 def _words_of(x: bytes, total: int) -> np.ndarray:
     return _unthree(x) if total < 1 << 24 else np.frombuffer(x, np.int64, offset=1)
 
@@ -151,8 +176,9 @@ def lots(docs: DataFrame, k: int, buckets: int, lot_words: int) -> DataFrame:
                     for some in rows(docs, where, hashes):
                         yield packed(some)
                     docs, where, hashes, used = [], [], [], 0
-                at, h = windows(w.hashes(), w.at, k)
-                docs += zip(ids[i:j].tolist(), w.counts.tolist(), strict=True)
+                own = w.hashes()
+                at, h = windows(own, w.at, k)
+                docs += zip(ids[i:j].tolist(), w.counts.tolist(), word_digests(own, w).tolist(), strict=True)
                 where.append(at + used)
                 hashes.append(h)
                 used += len(w)
@@ -163,64 +189,90 @@ def lots(docs: DataFrame, k: int, buckets: int, lot_words: int) -> DataFrame:
     return docs.mapInArrow(run, LOT_SCHEMA)
 
 
+def word_digests(hashes: np.ndarray, w: Words) -> np.ndarray:
+    """A 64-bit digest of each document's words in order, as signed numbers: tells rows with one id apart."""
+    place = np.arange(len(hashes)) - np.repeat(w.at[:-1], w.counts)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))])
+    return (sums[w.at[1:]] - sums[w.at[:-1]]).view(np.int64)
+
+
 def _repeated(table: pa.Table) -> pa.Table:
-    """One bucket: the edges that another lot has under a smaller id, back to their lots."""
+    """One bucket: the edges that another lot has under a smaller id, back to their lots with their sources."""
     names = [f.split()[0] for f in BACK_SCHEMA.split(", ")]
     types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     if table.column("hashes").null_count:  # a lot's own row passes on
-        return pa.table([table["lot"], table["ids"], pa.nulls(len(table), pa.binary()), table["local"]], names=names)
+        return pa.table([table["lot"], table["ids"], table["words"], table["local"]], names=names)
     lot, ids, hs, ws = (table[c].to_pylist() for c in ("lot", "ids", "hashes", "words"))
     h = [_undeltas(x) for x in hs]
-    words, own = [], []
+    words, own, place = [], [], []
     for t, x in zip(ids, ws, strict=True):
-        names_, sizes = _table(t)
+        doc_ids, sizes = _table(t)
         ends = np.cumsum(sizes)
         at = _words_of(x, int(ends[-1]))
-        words.append(at.astype(np.uint32 if ends[-1] < 1 << 32 else np.int64))
-        own.append(names_[np.searchsorted(ends, at, "right")])
-    sizes = [len(x) for x in h]
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    h, own = np.concatenate(h), np.concatenate(own)
+        doc = np.searchsorted(ends, at, "right")
+        words.append(at)
+        own.append(doc_ids[doc])
+        place.append(at - (ends - sizes)[doc])
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in h])])
+    h, own, place = np.concatenate(h), np.concatenate(own), np.concatenate(place)
     order = np.argsort(h, kind="stable")
-    sorted_h = h[order]
-    begins = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
-    del sorted_h, h
-    least = np.minimum.reduceat(own[order], begins)
-    later = np.empty(len(own), bool)
-    later[order] = own[order] > np.repeat(least, np.diff(np.append(begins, len(own))))
+    low, source = _least(h[order], own[order])
+    least, origin = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+    least[order], origin[order] = low, order[source]
+    later = own > least
     out = []
     for n in range(len(lot)):
-        hit = words[n][later[bounds[n] : bounds[n + 1]]]
-        if len(hit):
-            out.append((lot[n], None, _zip(np.diff(np.sort(hit).astype(np.int64), prepend=0).astype(np.uint32)), None))
+        mine = slice(bounds[n], bounds[n + 1])
+        hit = later[mine]
+        if hit.any():
+            out.append((lot[n], None, None, _sources(words[n][hit], least[mine][hit], place[origin[mine][hit]])))
     columns = list(zip(*out, strict=True)) if out else [[]] * 4
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def _paths(table: pa.Table) -> pa.Table:
-    """One lot: the repeated edges of each document as paths of consecutive edges (first word, edges)."""
-    own = next(r for r in table.select(["ids", "local"]).to_pylist() if r["local"] is not None)
+    """One lot: its repeated edges as nonbranching paths; a path ends where the document or the run of sources does."""
+    rows = table.to_pylist()
+    own = next(r for r in rows if r["ids"] is not None)
     ids, sizes = _table(own["ids"])
-    ends = np.cumsum(sizes)
-    total = int(ends[-1])
-    hit = np.unpackbits(_unzip(own["local"], np.uint8), count=total).astype(bool) if total else np.zeros(0, bool)
-    for x in table["repeated"].to_pylist():
-        if x is not None:
-            hit[np.cumsum(_unzip(x, np.uint32).astype(np.int64))] = True
-    begins = ends - sizes
-    breaks = np.zeros(total + 1, bool)
-    breaks[begins[begins < total]] = True
-    first = hit & (np.concatenate([[True], ~hit[:-1]]) | breaks[:total]) if total else hit
-    starts = np.flatnonzero(first)
-    run = np.cumsum(first)[hit] - 1
-    lengths = np.bincount(run, minlength=len(starts))
-    doc = np.searchsorted(ends, starts, "right")
-    out_ids, out = [], []
-    for d in np.unique(doc):
-        mine = doc == d if len(starts) < 64 else slice(*np.searchsorted(doc, [d, d + 1]))
-        out_ids.append(int(ids[d]))
-        out.append(np.stack([starts[mine] - begins[d], lengths[mine], np.full(len(starts[mine]), sizes[d])]).astype("<u4").tobytes())
-    return pa.table([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "paths"])
+    digests, ends = _unzip(own["digests"], np.int64), np.cumsum(sizes)
+    parts = [_unzip(r["repeated"], np.int64).reshape(3, -1) for r in rows if r["repeated"] is not None]
+    word = np.concatenate([np.cumsum(p[0]) for p in parts])
+    src, place = (np.concatenate([p[c] for p in parts]) for c in (1, 2))
+    order = np.argsort(word, kind="stable")
+    word, src, place = word[order], src[order], place[order]
+    doc = np.searchsorted(ends, word, "right")
+    new = np.ones(len(word), bool)
+    if len(word):
+        new[1:] = (word[1:] != word[:-1] + 1) | (doc[1:] != doc[:-1]) | (src[1:] != src[:-1]) | (place[1:] != place[:-1] + 1)
+    at = np.flatnonzero(new)
+    edges = np.diff(np.append(at, len(word)))
+    d = doc[at]
+    spans = np.stack([word[at] - (ends - sizes)[d], edges, place[at]]).astype("<u4") if len(at) else np.zeros((3, 0), "<u4")
+    order = np.lexsort((spans[0], src[at], d)) if len(at) else at
+    d, s, spans = d[order], src[at][order], spans[:, order]
+    cuts = np.flatnonzero((d[1:] != d[:-1]) | (s[1:] != s[:-1])) + 1 if len(d) else np.zeros(0, np.int64)
+    lo = np.concatenate([[0], cuts]).astype(np.int64) if len(d) else cuts
+    hi = np.append(cuts, len(d)) if len(d) else cuts
+    packed = [spans[:, a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    columns = [pa.array(c.astype(np.int64)) for c in (ids[d[lo]], digests[d[lo]], s[lo])]
+    return pa.table([*columns, pa.array(packed, pa.binary())], names=[f.split()[0] for f in PATH_SCHEMA.split(", ")])
+
+
+def unpack(paths: bytes) -> np.ndarray:
+    """(3, n): first word, edges and first word at the source of each path."""
+    return np.frombuffer(paths, "<u4").reshape(3, -1).astype(np.int64)
+
+
+def proof(words: list[bytes], starts: np.ndarray, lengths: np.ndarray) -> bytes | None:
+    """A digest of the words in the spans, null if a span reaches beyond them."""
+    if len(starts) and int((starts + lengths).max()) > len(words):
+        return None
+    h = hashlib.blake2b(digest_size=16)
+    for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+        h.update(b" ".join(words[a : a + n]))
+        h.update(b"\n")
+    return h.digest()
 
 
 def bucket_count(docs: DataFrame, text_col: str, edges_per_bucket: int, chars_per_word: int = 6) -> int:
@@ -230,7 +282,7 @@ def bucket_count(docs: DataFrame, text_col: str, edges_per_bucket: int, chars_pe
 
 
 def repeated_paths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, edges_per_bucket: int = 800_000, lot_words: int = LOT_WORDS) -> DataFrame:
-    """(doc_id, paths): per document with repeated edges, packed (first words, edges in path, words in document)."""
+    """PATH_SCHEMA: per document and source the nonbranching paths with both coordinates, not yet confirmed by their words."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     buckets = bucket_count(own, "text", edges_per_bucket)
     sent = lots(own.filter("doc_id is not null and text is not null"), k, buckets, lot_words)
@@ -238,47 +290,83 @@ def repeated_paths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return back.groupBy("lot").applyInArrow(_paths, PATH_SCHEMA)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, edges_per_bucket: int = 800_000, lot_words: int = LOT_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_removed, text): each row's words less those in repeated edges, single-spaced."""
-    paths = repeated_paths(docs, id_col=id_col, text_col=text_col, k=k, edges_per_bucket=edges_per_bucket, lot_words=lot_words)
-    per_doc = paths.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("paths").alias("paths"))
+def _zipped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, zipped): compressed texts with the digest of their words, for the joins."""
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column(1)):
+                w = Words(data, offsets, SPACE_WORDS)
                 raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([z.compress(raw[offsets[d] : offsets[d + 1]]) for d in range(j - i)], pa.binary())], ["doc_id", "zipped"])
+                packed = [z.compress(raw[offsets[d] : offsets[d + 1]]) for d in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(word_digests(w.hashes(), w)), pa.array(packed, pa.binary())], ["doc_id", "digest", "zipped"])
+
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    # a key that is never null, and the same columns, let both joins use one shuffle of the texts; null ids get keys that no path has
+    packed = own.mapInArrow(run, "doc_id long, digest long, zipped binary")
+    return packed.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.pmod("digest", F.lit(NO_IDS)), F.lit(NO_ID)).alias("id"), "digest", "zipped")
+
+
+def with_proofs(paths: DataFrame, zipped: DataFrame, k: int) -> DataFrame:
+    """(of, row, paths, proof): paths with the digest of the words at their source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            last, words, proofs = None, [], []
+            for text, packed in zip(batch.column(3), batch.column(2), strict=True):
+                text = text.as_py()
+                if text != last:
+                    last, words = text, z.decompress(text).split()
+                p = unpack(packed.as_py())
+                proofs.append(proof(words, p[2], p[1] + (k - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(proofs, pa.binary())], ["of", "row", "paths", "proof"])
+
+    met = paths.select(F.col("doc_id").alias("of"), F.col("digest").alias("row"), "src", "paths").join(zipped, F.col("src") == F.col("id"))
+    return met.select("of", "row", "paths", "zipped", "digest").mapInArrow(run, "of long, row long, paths binary, proof binary").filter("proof is not null")
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, edges_per_bucket: int = 800_000, lot_words: int = LOT_WORDS) -> DataFrame:
+    """(doc_id, n_words, n_removed, text): each row's words less those in repeated edges, single-spaced."""
+    paths = repeated_paths(docs, id_col=id_col, text_col=text_col, k=k, edges_per_bucket=edges_per_bucket, lot_words=lot_words)
+    zipped = _zipped(docs, id_col, text_col)
+    # a document's paths are at most its words; it is gathered by its own id, never by a source's
+    per_doc = with_proofs(paths, zipped, k).repartition("of").groupBy("of", "row").agg(F.collect_list(F.struct("paths", "proof")).alias("paths"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, rows, size = [], [], 0
+            rows, size, start = [], 0, 0
             for r in range(batch.num_rows):
                 words = z.decompress(batch.column(1)[r].as_py()).split()
-                n, gone = len(words), 0
-                for packed in batch.column(2)[r].as_py() or ():
-                    at, edges, sizes = np.frombuffer(packed, "<u4").reshape(3, -1).astype(np.int64)
-                    if sizes[0] == n:
-                        gone = gone | paths_cover(n, at, edges, k)
-                if isinstance(gone, np.ndarray):
+                n = len(words)
+                sure = []
+                for x in batch.column(2)[r].as_py() or ():
+                    p = unpack(x["paths"])
+                    if proof(words, p[0], p[1] + (k - 1)) == x["proof"]:
+                        sure.append(p[:2])
+                if sure:
+                    gone = paths_cover(n, *np.concatenate(sure, axis=1), k)
                     words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
-                ids.append(r)
                 rows.append((n, n - len(words), b" ".join(words)))
                 size += len(rows[-1][2])
                 if size > 4 << 20 or r + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(ids)), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary()).cast(pa.string())],
+                        [batch.column(0).slice(start, len(rows)), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary()).cast(pa.string())],
                         ["doc_id", "n_words", "n_removed", "text"],
                     )
-                    ids, rows, size = [], [], 0
+                    rows, size, start = [], 0, r + 1
 
-    small = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(shrink, "doc_id long, zipped binary")
-    both = small.join(per_doc, F.col("doc_id") == F.col("of"), "left").select("doc_id", "zipped", "paths")
+    # digests are compared beside the key, so that the texts stay dealt by id alone
+    same_row = (F.col("id") == F.col("of")) & (F.col("digest").bitwiseXOR(F.col("row")) == 0)
+    both = zipped.join(per_doc, same_row, "left").select(F.when(F.col("id") >= NO_ID + NO_IDS, F.col("id")).alias("doc_id"), "zipped", "paths")
     return both.mapInArrow(clean, "doc_id long, n_words long, n_removed long, text string")
 
 
@@ -288,3 +376,15 @@ def paths_cover(n: int, at: np.ndarray, edges: np.ndarray, k: int) -> np.ndarray
     np.add.at(step, at, 1)
     np.add.at(step, np.minimum(at + edges + k - 1, n), -1)
     return np.cumsum(step)[:n] > 0
+
+
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13),
+e as (select doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) h from p),
+m as (select h, min(doc_id) lo from e group by h having min(doc_id) < max(doc_id)),
+g as (select distinct doc_id, unnest(range(i, i + 13)) q from e join m using (h) where lo < doc_id),
+x as (select doc_id, unnest(w) word, generate_subscripts(w, 1) q from d),
+k as (select doc_id, count(*) n, sha256(string_agg(word, ' ' order by q)) s from x anti join g using (doc_id, q) group by doc_id)
+select d.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, coalesce(s, sha256('')) kept_sha256 from d left join k using (doc_id)
+"""
