@@ -33,9 +33,18 @@ def union_ragged(frames: list[DataFrame]) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of text files. Numbers come from the position in the file's single read, one task a file."""
-    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n").alias("v"))
-    return t.select("file", F.posexplode("v").alias("line", "value")).withColumn("line", F.col("line").cast("long"))
+    """(file, line, value) of text files, lines numbered from 0 in each file.
+
+    Files are read in splits; lines are numbered within their split and the counts of the
+    file's earlier splits added, so a very large file is no single task. A byte order mark goes.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"), "value")
+    counts = raw.groupBy("file", "_b").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("file").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("file", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    own = raw.withColumn("_r", F.row_number().over(W.partitionBy("file", "_b").orderBy("_m")) - 1)
+    numbered = own.join(offsets, ["file", "_b"]).select("file", (F.col("_r") + F.col("_o")).cast("long").alias("line"), "value")
+    return numbered.withColumn("value", F.when(F.col("line") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
 
 
 def parse_strict(rows: DataFrame, schema: T.StructType | str, fail: bool = True) -> DataFrame:

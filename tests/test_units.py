@@ -447,3 +447,15 @@ def test_resumed_stream_reads_only_what_is_new(spark, tmp_path):
     seen = []
     L.each_batch(L.read_files(spark, str(tmp_path / "in"), d.schema), lambda b, i: seen.append(b.count()), str(tmp_path / "state2"))
     assert sum(seen) == 20
+
+
+def test_lines_of_a_split_file(spark, tmp_path):
+    n = 40_000
+    (tmp_path / "big.txt").write_text("".join(f"line {i}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        d = readers.lines(spark, str(tmp_path / "big.txt"))
+        assert d.filter(F.col("value") != F.concat(F.lit("line "), F.col("line").cast("string"))).count() == 0 and d.select("line").distinct().count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
