@@ -111,6 +111,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, decontaminate, substring
+    from . import chat, decontaminate, secrets, substring
 
-    return {"op1_decontamination": decontaminate.SQL.format(docs="documents"), "op2_substring_dedup": substring.SQL, "op4_chat_rotation": chat.SQL}
+    return {"op1_decontamination": decontaminate.SQL.format(docs="documents"), "op2_substring_dedup": substring.SQL, "op4_chat_rotation": chat.SQL, "op5_secret_scan": secrets.sql(secrets.train())}

@@ -36,20 +36,14 @@ RESULTS = ("n_candidates", "secrets", "redacted")
 
 # Common English, code and licence words of three letters or more.
 WORDS = (
-    "the and for with from that this have not are was you all can has her his one our out day get use man new now old see two way who "
-    "able about after again also back because been before between both call change class client code config content control copy count create "
-    "current data date default delete description development device directory document domain down element email enable end engine error "
-    "event example export external factory false field file filter find first folder form format function general generate group handle "
-    "header height hidden home host http image import index info init input insert install instance interface internal item java join json "
-    "key label language large last layout length level library license like line link list load local location log login long main manager "
-    "map master match max media member message method min mode model module name native network next node note null number object offset "
-    "open option order other output over package page panel param parent path pattern people permission phone photo place plugin point port "
-    "position post price private process product profile project property provider proxy public query queue random range read record region "
-    "release remote remove render report request reset resource response result return root route rule sample save scale schema screen script "
-    "search section select send sequence server service session set setting share show simple size skip small sort source space spec split "
-    "stack start state static status step stop storage store stream string style submit sum support switch system table tag target task "
-    "template test text theme time title token tool total track transaction transform tree trigger true type unit update upload url user util "
-    "valid value variable vector version video view visible web width window work world write year"
+    "the and for with from that this have not are get use man new call change class client code config content control copy count create current data date "
+    "default delete description development device directory document domain down element email enable end engine error event example export false field "
+    "file find first folder form format function generate host http image import index info init input insert install interface item join json key label "
+    "language length license like line link list load local location log login long main map master match member message method model name network number "
+    "open option order other output over package page path permission plugin point port position post process project property provider query range read "
+    "remote request reset resource response result return route search section select send sequence server service session set setting share start store "
+    "string style table tag target task template test text time title token tool total transaction true type update url user util value variable version "
+    "window work world write"
 ).split()
 KEYWORDS = r"(secret|token|passw|pwd|api.?key|access.?key|auth|credential|private|bearer|client.?key|signing)"
 LOOKALIKE = r"(commit|sha.?1|sha.?256|md5|checksum|uuid|guid|digest|example|integrity|revision|fingerprint|etag|hash|blob|image|href|src|url|http)"
@@ -74,14 +68,14 @@ def features(c: Column, before: Column, after: Column) -> Column:
         F.when(n_letters > 0, (n_letters - left) / n_letters).otherwise(F.lit(0.0)).alias("dictionary"),
         (F.size(F.array_distinct(F.split(c, ""))).cast("double") / n).alias("distinct"),
         (F.length(F.regexp_replace(c, "[^0-9]", "")).cast("double") / n).alias("digits"),
-        c.rlike("^[0-9a-fA-F]+$").cast("double").alias("hex"),
+        c.rlike(r"^[0-9a-fA-F]+\z").cast("double").alias("hex"),
         (F.length(F.regexp_replace(c, "[^/_-]", "")).cast("double") / n).alias("joints"),
-        _in(r"[./\\]$|[./\\][\w.-]*$", before).alias("path"),
+        _in(r"[./\\]\z|[./\\][\w.-]*\z", before).alias("path"),
         after.rlike(r"^[./\\]").cast("double").alias("path_after"),
-        _in(KEYWORDS + r"[^\n]{0,24}$", before).alias("keyword"),
-        _in(LOOKALIKE + r"[^\n]{0,24}$", before).alias("lookalike"),
-        _in(r"[=:]\s*[\"']?$", before).alias("assigned"),
-        (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("double").alias("quoted"),
+        _in(KEYWORDS + r"[^\n]{0,24}\z", before).alias("keyword"),
+        _in(LOOKALIKE + r"[^\n]{0,24}\z", before).alias("lookalike"),
+        _in(r"[=:]\s*[\"']?\z", before).alias("assigned"),
+        (before.rlike("[\"'`]\\z") & after.rlike("^[\"'`]")).cast("double").alias("quoted"),
         c.rlike(r"^(AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk_live|sk-|AIza|glpat-|eyJ)").cast("double").alias("prefix"),
     )
 
@@ -221,3 +215,49 @@ def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5, mod
         F.coalesce(secrets, none).alias("secrets"),
         F.when(F.size("_hit") > 0, glued).otherwise(text).alias("redacted"),
     ).withColumn("n_candidates", F.greatest("n_candidates", F.lit(0).cast("long")))
+
+
+def sql(model: list[RF.Node] | None = None, threshold: float = 0.5) -> str:
+    """DuckDB SQL of op5's registered query: (doc_id, n_candidates, n_secrets, places, redacted_sha256)."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    flag = lambda c: f"({c})::int::double"
+    words = "(" + "|".join(sorted(WORDS, key=lambda w: (-len(w), w))) + ")"
+    letters = "length(regexp_replace(lower(c), '[^a-z]', '', 'g'))"
+    left = f"length(regexp_replace(regexp_replace(lower(c), {quoted(words)}, '', 'g'), '[^a-z]', '', 'g'))"
+    kinds = "regexp_replace(regexp_replace(regexp_replace(c, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '0', 'g')"
+    has = lambda p, of="b": flag(f"regexp_matches({of}, {quoted(p)})")
+    exprs = {
+        "length": "length(c)::double",
+        "changes": "len(list_filter(range(1, length(c)), lambda j: k[j] <> k[j + 1]))::double / length(c)",
+        "dictionary": f"case when {letters} > 0 then ({letters}::double - {left}) / {letters} else 0.0 end",
+        "distinct": "len(list_distinct(string_split(c, '')))::double / length(c)",
+        "digits": "length(regexp_replace(c, '[^0-9]', '', 'g'))::double / length(c)",
+        "hex": has(r"^[0-9a-fA-F]+\z", "c"),
+        "joints": "length(regexp_replace(c, '[^/_-]', '', 'g'))::double / length(c)",
+        "path": has(r"(?i)[./\\]\z|[./\\][\w.-]*\z"),
+        "path_after": has(r"^[./\\]", "a"),
+        "keyword": has("(?i)" + KEYWORDS + r"[^\n]{0,24}\z"),
+        "lookalike": has("(?i)" + LOOKALIKE + r"[^\n]{0,24}\z"),
+        "assigned": has(r"(?i)[=:]\s*[\"']?\z"),
+        "quoted": flag("""regexp_matches(b, '["''`]\\z') and regexp_matches(a, '^["''`]')"""),
+        "prefix": has(r"^(AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk_live|sk-|AIza|glpat-|eyJ)", "c"),
+    }
+
+    def tree(n: RF.Node) -> str:
+        return f"{n.share!r}::double" if n.feature is None else f'case when "f_{n.feature}" <= {n.most!r}::double then {tree(n.low)} else {tree(n.high)} end'
+
+    model = model if model is not None else train()
+    forest = "(" + " + ".join(map(tree, model)) + f") / {float(len(model))!r}::double"
+    columns = ", ".join(f'{e} "f_{name}"' for name, e in exprs.items())
+    return f"""
+with d as (select doc_id, text, regexp_extract_all(text, {quoted(CANDIDATE)}) f, regexp_split_to_array(text, {quoted(CANDIDATE)}) p from documents),
+i as (select doc_id, f, p, unnest(range(1, len(f) + 1)) i from d where len(f) > 0),
+c as (select doc_id, i, f[i] c, right(p[i], {BEFORE}) b, left(p[i + 1], {AFTER}) a, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) at0 from i where regexp_matches(f[i], '[0-9]')),
+k as (select *, string_split({kinds}, '') k from c),
+x as (select doc_id, i, c, at0, {columns} from k),
+s as (select *, {forest} s from x),
+h as (select doc_id, count(*) n, count(*) filter (s >= {threshold!r}) m, string_agg(at0::bigint::varchar || '+' || length(c)::varchar, ',' order by i) filter (s >= {threshold!r}) places, list(i order by i) filter (s >= {threshold!r}) hit from s group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint n_candidates, coalesce(m, 0)::bigint n_secrets, coalesce(places, '') places,
+       sha256(case when coalesce(m, 0) = 0 then text else array_to_string(list_transform(range(1, len(p) + 1), lambda j: p[j] || case when list_contains(hit, j) then {quoted(REDACTED)} else coalesce(f[j], '') end), '') end) redacted_sha256
+from d left join h using (doc_id)
+"""
