@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .textbytes import SPACE_WORDS, Words, covered, mix, pieces, windows
 
 #: (from so many bytes, least ratio, greatest ratio) for whole texts.
-BANDS = ((256, 0.30, 0.90), (1024, 0.25, 0.80), (4096, 0.20, 0.72), (16384, 0.15, 0.68), (65536, 0.12, 0.66))
+BANDS = ((256, 0.36, 0.90), (1024, 0.28, 0.80), (4096, 0.20, 0.72), (16384, 0.15, 0.68), (65536, 0.12, 0.66))
 #: Chunk length in bytes, the band of a full chunk, and the share of chunks that may lie outside it.
 CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (0.15, 0.74), 0.5
 SYMBOLS = np.zeros(256, dtype=bool)
