@@ -98,14 +98,14 @@ def titles(df: DataFrame) -> DataFrame:
 
 @rowfunc
 def query_response(df: DataFrame) -> DataFrame:
-    """Query and response only."""
+    """Query and response only."""
     return _keep(df, pair(F.col("query"), F.col("response")))
 
 
 @rowfunc
 def blossom_math(df: DataFrame) -> DataFrame:
     """The output, a blank line and the answer."""
-    return _keep(df, pair(F.col("input"), F.concat("output", F.lit("\n\nAnswer: "), "answer")))
+    return _keep(df, pair(F.col("query"), F.concat("output", F.lit("\n\nAnswer: "), "answer")))
 
 
 @rowfunc
