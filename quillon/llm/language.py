@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import LOWER, pieces
+from .shared import small_batches
+from .textbytes import LOWER, pieces, task_batches
 
 GRAMS = 1 << 13
 UNKNOWN = "und"
@@ -94,7 +95,7 @@ class Model:
 
 def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_per_lang: int, alpha: float = 0.5) -> Model:
     """Learn from rows with a language, at most about sample_per_lang of each (documented bound, chosen by hash)."""
-    rows = docs.select(docs[id_col].alias("k"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
+    rows = small_batches(docs).select(docs[id_col].alias("k"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
@@ -107,7 +108,7 @@ def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_pe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(langs), GRAMS), np.int64)
-        for batch in batches:
+        for batch in task_batches(batches):
             lang = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
             for i, j, counts, _, _ in counted(batch.column(0)):
                 np.add.at(sums, lang[i:j], counts)
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_pe
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, seen = np.zeros(code.shape, np.int64), np.zeros(len(langs), np.int64)
-        for batch in batches:
+        for batch in task_batches(batches):
             lang = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
             for i, j, counts, _, _ in counted(batch.column(0)):
                 np.add.at(right, lang[i:j], model.margins(counts) * code[lang[i:j]] > 0)
@@ -147,7 +148,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     langs = np.array([*model.langs, UNKNOWN], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in task_batches(batches):
             for i, j, counts, data, offsets in counted(batch.column(1)):
                 letters = np.concatenate([[0], np.cumsum(LETTER[LOWER[data]])])
                 known = letters[offsets[1:]] > letters[offsets[:-1]]
@@ -169,7 +170,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                     ["doc_id", "lang_pred", "score", "ambiguous", *keep],
                 )
 
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c] for c in keep])
+    own = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c] for c in keep])
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[2:])
     return own.mapInArrow(run, f"doc_id long, lang_pred string, score double, ambiguous boolean{extra}")
 

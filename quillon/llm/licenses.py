@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import ALNUM_WORDS, Words, buffers, pieces
+from .shared import small_batches
+from .textbytes import ALNUM_WORDS, Words, buffers, pieces, task_batches
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -108,7 +109,7 @@ def document_frequencies(docs: DataFrame, index: Index, text_col: str) -> tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(vocabulary), np.int64), 0
-        for batch in batches:
+        for batch in task_batches(batches):
             for i, j, data, offsets in pieces(batch.column(0)):
                 w = Words(data, offsets, ALNUM_WORDS, lower=True)
                 where, word = _vocabulary_words(w, index)
@@ -122,7 +123,7 @@ def document_frequencies(docs: DataFrame, index: Index, text_col: str) -> tuple[
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df], pa.list_(pa.int64()))], ["n", "df"])
 
     # one row of the vocabulary's fixed length a task
-    got = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "n long, df array<long>")
+    got = small_batches(docs).select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "n long, df array<long>")
     total = got.agg(F.sum("n").alias("n"), *[F.sum(F.get("df", F.lit(i))).alias(f"w{i}") for i in range(len(vocabulary))]).first()
     return total["n"] or 0, np.array([total[f"w{i}"] or 0 for i in range(len(vocabulary))])
 
@@ -175,7 +176,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rar
     n, df = document_frequencies(docs, index, text_col)
     idf = np.log((n + 1) / (df + 0.5))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in task_batches(batches):
             for i, j, data, offsets in pieces(batch.column(1)):
                 w = Words(data, offsets, ALNUM_WORDS, lower=True)
                 where, word = _vocabulary_words(w, index)
@@ -194,4 +195,4 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rar
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(w.counts.astype(np.int64)), *columns], [f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)

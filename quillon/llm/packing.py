@@ -20,6 +20,7 @@ for itself; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .textbytes import LOWER, SPACE_WORDS, Words, pieces
+from .shared import small_batches
+from .textbytes import LOWER, SPACE_WORDS, Words, pieces, task_batches
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -82,6 +84,7 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str, cache_chunks: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache_chunks
@@ -90,7 +93,8 @@ class ChunkTokenizer:
 
     def _empty(self) -> None:
         self.keys, self.values = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
-        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.int32)
+        narrow = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint16 if narrow else np.uint32), np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.int32)
         self.used = self.known = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -174,7 +178,7 @@ def tokenizer(path: str, cache_chunks: int) -> ChunkTokenizer:
 
 def pack(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", most: int = 4096,
-    end_id: int = 2, batch_tokens: int = 1 << 20, cache_chunks: int = 1_500_000, keep_ids: bool = False,
+    end_id: int = 2, batch_tokens: int = 1 << 20, cache_chunks: int = 1_000_000, keep_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: its place in the document, its sequence and its batch; with keep_ids, the ids too."""
     if most & (most - 1):
@@ -186,7 +190,7 @@ def pack(
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         seen = [0] * most.bit_length()
         first = sequence
-        for batch in batches:
+        for batch in task_batches(batches):
             keys = batch.column(0)
             for i, j, data, offsets in pieces(batch.column(1)):
                 flat, sizes = encode(data, offsets)
@@ -211,4 +215,4 @@ def pack(
                 names = [f.split()[0] for f in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)

@@ -25,6 +25,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+from .textbytes import task_batches
+
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 ROUNDS = 10
 #: Dates are permuted within these years.
@@ -289,7 +292,7 @@ def pseudonymise(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = Pseudonymiser(key, forward)
         digit = re.compile(r"\d")
-        for batch in batches:
+        for batch in task_batches(batches):
             texts, rows, size, first = [], [], 0, 0
             for r in range(batch.num_rows):
                 t = batch.column(1)[r].as_py()
@@ -304,4 +307,4 @@ def pseudonymise(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), *numbers, pa.array(texts, pa.string())], ["doc_id", *[f"n_{k}" for k in KINDS], "text"])
                     texts, rows, size, first = [], [], 0, r + 1
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)

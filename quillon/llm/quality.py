@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbytes import SPACE_WORDS, Words, covered, mix, pieces, windows
+from .shared import small_batches
+from .textbytes import SPACE_WORDS, Words, covered, mix, pieces, task_batches, windows
 
 #: (from so many bytes, least ratio, greatest ratio) for whole texts.
 BANDS = ((256, 0.36, 0.90), (1024, 0.28, 0.80), (4096, 0.20, 0.72), (16384, 0.15, 0.68), (65536, 0.12, 0.66))
@@ -70,7 +71,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
         import zstandard
 
         compressor = zstandard.ZstdCompressor(level=level)
-        for batch in batches:
+        for batch in task_batches(batches):
             for i, j, data, offsets in pieces(batch.column(1)):
                 n = j - i
                 w = Words(data, offsets, SPACE_WORDS)
@@ -100,4 +101,4 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                     [f.split()[0] for f in SCHEMA.split(", ")],
                 )
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -17,6 +17,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
 
 
+#: Rows of an Arrow batch at most: texts are long, and both sides of the socket hold a batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to Arrow batches of BATCH_ROWS rows at most; a smaller setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from the files."""
     ensure_checkpoint_dir(df.sparkSession)

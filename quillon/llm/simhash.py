@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut
-from .textbytes import LOWER, SPACE_WORDS, Words, pieces
+from .shared import components, cut, small_batches
+from .textbytes import LOWER, SPACE_WORDS, Words, pieces, task_batches
 
 BITS = 64
 
@@ -99,12 +99,12 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp): the fingerprint of each row as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in task_batches(batches):
             for i, j, data, offsets in pieces(batch.column(1)):
                 fp = _fold(*_shingle_hashes(data, offsets, k))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _near(x: np.ndarray, chain: list[tuple[int, int]]) -> np.ndarray:
@@ -182,7 +182,7 @@ def links(fps: DataFrame, *, radius: int = 4, dense: int = 2048) -> DataFrame:
             a, b = np.array(edges_a, np.uint64).view(np.int64), np.array(edges_b, np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        for batch in batches:
+        for batch in task_batches(batches):
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
             now[2] = now[2].view(np.uint64)
             if kept:
