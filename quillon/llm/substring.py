@@ -39,13 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import SPACE_WORDS, Words, mix, pieces, windows
+from .shared import small_batches
+from .textbytes import SPACE_WORDS, Words, mix, pieces, task_batches, windows
 
 K = 13
 #: The lowest longs stand for null ids; so many, that these are dealt out too.
 NO_ID, NO_IDS = -(1 << 63), 1 << 20
 #: Words of one lot at most (a longer document is a lot of its own).
 LOT_WORDS = 2_000_000
+#: Edges that a lot sends to one hash range at least, on average.
+LEAST_EDGES = 64
 LOT_SCHEMA = "bucket long, lot long, ids binary, hashes binary, words binary, local binary"
 BACK_SCHEMA = "lot long, ids binary, digests binary, repeated binary"
 PATH_SCHEMA = "doc_id long, digest long, src long, paths binary"
@@ -85,21 +88,37 @@ def _undeltas(x: bytes) -> np.ndarray:
     return h
 
 
-def _three(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers in two or four bytes each; the first byte tells which."""
+    kind = "<u2" if not len(x) or int(x.max()) < 1 << 16 else "<u4"
+    return bytes([int(kind[2])]) + x.astype(kind).tobytes()
 
 
-def _unthree(x: bytes) -> np.ndarray:
-    wide = np.zeros((len(x) // 3, 4), np.uint8)
-    wide[:, :3] = np.frombuffer(x, np.uint8).reshape(-1, 3)
-    return wide.view("<u4").ravel().astype(np.int64)
+def _places(docs: np.ndarray, places: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
+    """(documents met, edges): the numbers and ids of the lot's documents that occur, and each edge's document and place in it.
 
+    All documents are named where most occur, as their steps compress best; else only those that do, so a
+    row of few edges never carries its lot's whole list.
+    """
+    met = np.unique(docs)
+    if 2 * len(met) > len(ids):
+        met = np.arange(len(ids))
+    one = _narrow(np.searchsorted(met, docs))
+    return _zip(np.concatenate([np.diff(met, prepend=0), np.diff(ids[met], prepend=0)])), len(one).to_bytes(4, "little") + one + _narrow(places)
 
-def _sources(hit: np.ndarray, docs: np.ndarray, places: np.ndarray) -> bytes:
-    """Repeated edges (word in the lot, source document, word in it), in order of the first."""
-    order = np.argsort(hit, kind="stable")
-    steps = np.diff(hit[order].astype(np.int64), prepend=0)
-    return _zip(np.concatenate([steps, docs[order].astype(np.int64), places[order].astype(np.int64)]))
+
+def _unplaces(met: bytes, edges: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number in the lot, id, place) of each edge's document."""
+    both = _unzip(met, np.int64).reshape(2, -1)
+    n = int.from_bytes(edges[:4], "little")
+    which, place = (np.frombuffer(x[1:], f"<u{x[0]}").astype(np.int64) for x in (edges[4 : 4 + n], edges[4 + n :]))
+    return np.cumsum(both[0])[which], np.cumsum(both[1])[which], place
+
+
+def _sources(docs: np.ndarray, places: np.ndarray, src: np.ndarray, src_places: np.ndarray) -> bytes:
+    """Repeated edges (document's number in the lot, place in it) with their sources (id, place), in order of the first two."""
+    order = np.lexsort((places, docs))
+    return _zip(np.stack([np.diff(docs[order], prepend=0), places[order], src[order], src_places[order]]).astype(np.int64))
 
 
 def _lot(docs: list[tuple[int, int, int]], where: list[np.ndarray], hashes: list[np.ndarray], buckets: int) -> Iterator[tuple]:
@@ -110,20 +129,20 @@ def _lot(docs: list[tuple[int, int, int]], where: list[np.ndarray], hashes: list
     order = np.argsort(h, kind="stable")
     h, w = h[order], w[order]
     doc = np.searchsorted(ends, w, "right")
+    place = w - (ends - sizes)[doc]
     own = ids[doc]
     least, source = _least(h, own)
     later = own > least
-    place = w - (ends - sizes)[doc]
-    table = _zip(np.concatenate([ids[:1], np.diff(ids), sizes]))
     lot = int.from_bytes(hashlib.blake2b(ids.tobytes() + sizes.tobytes() + digests.tobytes(), digest_size=8).digest(), "little", signed=True)
-    yield -1 - (lot & 0x7FFFFFFFFFFF), lot, table, None, _zip(digests), _sources(w[later], least[later], place[source[later]])
-    h, w = h[~later], w[~later]
+    table = _zip(np.concatenate([np.diff(ids, prepend=0), sizes]))
+    yield -1 - (lot & 0x7FFFFFFFFFFF), lot, table, None, _zip(digests), _sources(doc[later], place[later], least[later], place[source[later]])
+    h, doc, place = h[~later], doc[~later], place[~later]
     bounds = np.searchsorted(h, np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)) if buckets > 1 else np.zeros(0, np.int64)
     bounds = np.concatenate([[0], bounds, [len(h)]])
     for b in np.flatnonzero(np.diff(bounds)):
-        lo, hi = bounds[b], bounds[b + 1]
-        words = _three(w[lo:hi]) if ends[-1] < 1 << 24 else b"L" + w[lo:hi].tobytes()
-        yield int(b), lot, table, _deltas(h[lo:hi]), words, None
+        mine = slice(bounds[b], bounds[b + 1])
+        met, edges = _places(doc[mine], place[mine], ids)
+        yield int(b), lot, met, _deltas(h[mine]), edges, None
 
 
 def _least(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,16 +156,6 @@ def _least(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least, np.repeat(np.minimum.reduceat(at, begins), runs)
 
 
-def _words_of(x: bytes, total: int) -> np.ndarray:
-    return _unthree(x) if total < 1 << 24 else np.frombuffer(x, np.int64, offset=1)
-
-
-def _table(x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = _unzip(x, np.int64)
-    n = len(both) // 2
-    return np.cumsum(both[:n]), both[n:]
-
-
 def lots(docs: DataFrame, k: int, buckets: int, lot_words: int) -> DataFrame:
     """Each task's documents as lots: reduced edges by bucket, and what is repeated within the lot."""
 
@@ -168,7 +177,7 @@ def lots(docs: DataFrame, k: int, buckets: int, lot_words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names)
 
         docs, where, hashes, used = [], [], [], 0
-        for batch in batches:
+        for batch in task_batches(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in pieces(batch.column(1)):
                 w = Words(data, offsets, SPACE_WORDS)
@@ -202,19 +211,11 @@ def _repeated(table: pa.Table) -> pa.Table:
     types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     if table.column("hashes").null_count:  # a lot's own row passes on
         return pa.table([table["lot"], table["ids"], table["words"], table["local"]], names=names)
-    lot, ids, hs, ws = (table[c].to_pylist() for c in ("lot", "ids", "hashes", "words"))
+    lot, met, hs, ws = (table[c].to_pylist() for c in ("lot", "ids", "hashes", "words"))
     h = [_undeltas(x) for x in hs]
-    words, own, place = [], [], []
-    for t, x in zip(ids, ws, strict=True):
-        doc_ids, sizes = _table(t)
-        ends = np.cumsum(sizes)
-        at = _words_of(x, int(ends[-1]))
-        doc = np.searchsorted(ends, at, "right")
-        words.append(at)
-        own.append(doc_ids[doc])
-        place.append(at - (ends - sizes)[doc])
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in h])])
-    h, own, place = np.concatenate(h), np.concatenate(own), np.concatenate(place)
+    doc, own, place = (np.concatenate(x) for x in zip(*map(_unplaces, met, ws), strict=True))
+    h = np.concatenate(h)
     order = np.argsort(h, kind="stable")
     low, source = _least(h[order], own[order])
     least, origin = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
@@ -225,7 +226,7 @@ def _repeated(table: pa.Table) -> pa.Table:
         mine = slice(bounds[n], bounds[n + 1])
         hit = later[mine]
         if hit.any():
-            out.append((lot[n], None, None, _sources(words[n][hit], least[mine][hit], place[origin[mine][hit]])))
+            out.append((lot[n], None, None, _sources(doc[mine][hit], place[mine][hit], least[mine][hit], place[origin[mine][hit]])))
     columns = list(zip(*out, strict=True)) if out else [[]] * 4
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -234,21 +235,20 @@ def _paths(table: pa.Table) -> pa.Table:
     """One lot: its repeated edges as nonbranching paths; a path ends where the document or the run of sources does."""
     rows = table.to_pylist()
     own = next(r for r in rows if r["ids"] is not None)
-    ids, sizes = _table(own["ids"])
-    digests, ends = _unzip(own["digests"], np.int64), np.cumsum(sizes)
-    parts = [_unzip(r["repeated"], np.int64).reshape(3, -1) for r in rows if r["repeated"] is not None]
-    word = np.concatenate([np.cumsum(p[0]) for p in parts])
-    src, place = (np.concatenate([p[c] for p in parts]) for c in (1, 2))
-    order = np.argsort(word, kind="stable")
-    word, src, place = word[order], src[order], place[order]
-    doc = np.searchsorted(ends, word, "right")
+    both = _unzip(own["ids"], np.int64).reshape(2, -1)
+    ids, digests = np.cumsum(both[0]), _unzip(own["digests"], np.int64)
+    parts = [_unzip(r["repeated"], np.int64).reshape(4, -1) for r in rows if r["repeated"] is not None]
+    doc = np.concatenate([np.cumsum(p[0]) for p in parts])
+    word, src, place = (np.concatenate([p[c] for p in parts]) for c in (1, 2, 3))
+    order = np.lexsort((word, doc))
+    doc, word, src, place = doc[order], word[order], src[order], place[order]
     new = np.ones(len(word), bool)
     if len(word):
         new[1:] = (word[1:] != word[:-1] + 1) | (doc[1:] != doc[:-1]) | (src[1:] != src[:-1]) | (place[1:] != place[:-1] + 1)
     at = np.flatnonzero(new)
     edges = np.diff(np.append(at, len(word)))
     d = doc[at]
-    spans = np.stack([word[at] - (ends - sizes)[d], edges, place[at]]).astype("<u4") if len(at) else np.zeros((3, 0), "<u4")
+    spans = np.stack([word[at], edges, place[at]]).astype("<u4") if len(at) else np.zeros((3, 0), "<u4")
     order = np.lexsort((spans[0], src[at], d)) if len(at) else at
     d, s, spans = d[order], src[at][order], spans[:, order]
     cuts = np.flatnonzero((d[1:] != d[:-1]) | (s[1:] != s[:-1])) + 1 if len(d) else np.zeros(0, np.int64)
@@ -275,16 +275,20 @@ def proof(words: list[bytes], starts: np.ndarray, lengths: np.ndarray) -> bytes
     return h.digest()
 
 
-def bucket_count(docs: DataFrame, text_col: str, edges_per_bucket: int, chars_per_word: int = 6) -> int:
-    """Hash ranges, in proportion to the text."""
+def bucket_count(docs: DataFrame, text_col: str, edges_per_bucket: int, lot_words: int, chars_per_word: int = 6) -> int:
+    """Hash ranges, in proportion to the text; at most so many that a lot's row for one still holds about `LEAST_EDGES` edges.
+
+    That bound is reached at lot_words * edges_per_bucket / LEAST_EDGES edges (2.5e10 by default). Beyond it ranges grow with
+    the input; larger lots and ranges, with executors to match, move it (32e6 words a lot: 1.6e13 edges in ranges of 3e7).
+    """
     chars = docs.agg(F.sum(F.length(docs[text_col]).cast("long"))).first()[0] or 0
-    return max(1, -(-chars // (chars_per_word * edges_per_bucket)))
+    return max(1, min(-(-chars // (chars_per_word * edges_per_bucket)), max(lot_words // LEAST_EDGES, 1)))
 
 
 def repeated_paths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, edges_per_bucket: int = 800_000, lot_words: int = LOT_WORDS) -> DataFrame:
     """PATH_SCHEMA: per document and source the nonbranching paths with both coordinates, not yet confirmed by their words."""
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    buckets = bucket_count(own, "text", edges_per_bucket)
+    own = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    buckets = bucket_count(own, "text", edges_per_bucket, lot_words)
     sent = lots(own.filter("doc_id is not null and text is not null"), k, buckets, lot_words)
     back = sent.groupBy("bucket").applyInArrow(_repeated, BACK_SCHEMA)
     return back.groupBy("lot").applyInArrow(_paths, PATH_SCHEMA)
@@ -297,14 +301,14 @@ def _zipped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in task_batches(batches):
             for i, j, data, offsets in pieces(batch.column(1)):
                 w = Words(data, offsets, SPACE_WORDS)
                 raw = data.tobytes()
                 packed = [z.compress(raw[offsets[d] : offsets[d + 1]]) for d in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(word_digests(w.hashes(), w)), pa.array(packed, pa.binary())], ["doc_id", "digest", "zipped"])
 
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    own = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     # a key that is never null, and the same columns, let both joins use one shuffle of the texts; null ids get keys that no path has
     packed = own.mapInArrow(run, "doc_id long, digest long, zipped binary")
     return packed.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.pmod("digest", F.lit(NO_IDS)), F.lit(NO_ID)).alias("id"), "digest", "zipped")
@@ -317,7 +321,7 @@ def with_proofs(paths: DataFrame, zipped: DataFrame, k: int) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in task_batches(batches):
             last, words, proofs = None, [], []
             for text, packed in zip(batch.column(3), batch.column(2), strict=True):
                 text = text.as_py()
@@ -342,7 +346,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in task_batches(batches):
             rows, size, start = [], 0, 0
             for r in range(batch.num_rows):
                 words = z.decompress(batch.column(1)[r].as_py()).split()
