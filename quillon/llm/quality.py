@@ -5,6 +5,9 @@ whole text. The method's verdict comes from zstandard: the ratio of compressed t
 raw bytes of the whole text, and of each fixed chunk of it, must lie in a band
 that depends on the length, as short texts compress less. A text far below its
 band is repetitive, one above it is noise (random characters, encoded data).
+The last chunk is judged by its own length; one too short for a band is judged
+together with the chunk before it. Texts of mostly three-byte characters (CJK)
+compress less than others of their length and have bands of their own.
 
 Cases: a null or empty text has no words and fails the base rule; texts shorter
 than the shortest band are judged by the base rules alone; repeated rows are
@@ -23,10 +26,16 @@ from pyspark.sql import DataFrame
 from .shared import small_batches
 from .textbytes import SPACE_WORDS, Words, covered, mix, pieces, task_batches, windows
 
-#: (from so many bytes, least ratio, greatest ratio) for whole texts.
-BANDS = ((256, 0.36, 0.90), (1024, 0.28, 0.80), (4096, 0.20, 0.72), (16384, 0.15, 0.68), (65536, 0.12, 0.66))
-#: Chunk length in bytes, the band of a full chunk, and the share of chunks that may lie outside it.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (0.15, 0.74), 0.5
+#: (from so many bytes, least ratio, greatest ratio). The greatest lie just above prose and below random letters and digits.
+BANDS = (
+    (256, 0.36, 0.84), (384, 0.36, 0.80), (512, 0.36, 0.76), (768, 0.36, 0.72), (1024, 0.28, 0.68), (1536, 0.28, 0.64),
+    (2048, 0.28, 0.61), (3072, 0.28, 0.58), (4096, 0.20, 0.56), (16384, 0.15, 0.50), (65536, 0.12, 0.46),
+)
+#: The same where three-byte characters hold at least half of the bytes.
+WIDE_BANDS = ((256, 0.36, 1.05), (512, 0.36, 0.94), (1024, 0.28, 0.84), (2048, 0.28, 0.76), (4096, 0.20, 0.70), (16384, 0.15, 0.68), (65536, 0.12, 0.66))
+#: Chunk length in bytes, and the share of a text's bytes that may stand in chunks outside their bands.
+CHUNK, CHUNK_SHARE = 4096, 0.05
+WIDE = bytes(range(0xE0, 0xF0))
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SCHEMA = (
@@ -35,25 +44,36 @@ SCHEMA = (
 )
 
 
-def band(n_bytes: int) -> tuple[float, float]:
-    """The limits of the compression ratio of a text of n_bytes; (0, inf) if it is too short to tell."""
+def band(raw: bytes) -> tuple[float, float]:
+    """The limits of the compression ratio of a text; (0, inf) if it is too short to tell."""
     found = (0.0, float("inf"))
-    for least, low, high in BANDS:
-        if n_bytes >= least:
+    wide = 6 * (len(raw) - len(raw.translate(None, WIDE))) >= len(raw)
+    for least, low, high in WIDE_BANDS if wide else BANDS:
+        if len(raw) >= least:
             found = (low, high)
     return found
 
 
+def chunks(raw: bytes) -> list[bytes]:
+    """The text in chunks of CHUNK bytes; the rest is the last, or part of it if no band is so short."""
+    ends = list(range(CHUNK, len(raw) + 1, CHUNK))
+    if not ends or len(raw) - ends[-1] >= BANDS[0][0]:
+        ends.append(len(raw))
+    ends[-1] = len(raw)
+    return [raw[i:j] for i, j in zip([0, *ends], ends)]
+
+
 def compression(raw: bytes, compressor) -> tuple[float | None, float]:
-    """(ratio of the whole text, share of full chunks outside the chunk band)."""
+    """(ratio of the whole text, share of its bytes in chunks outside their bands)."""
     if not raw:
         return None, 0.0
     whole = len(compressor.compress(raw)) / len(raw)
-    full = len(raw) // CHUNK
-    if full < 2:
-        return whole, 0.0
-    ratios = [len(compressor.compress(raw[c * CHUNK : (c + 1) * CHUNK])) / CHUNK for c in range(full)]
-    return whole, sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in ratios) / full
+    out = 0
+    for part in chunks(raw):
+        low, high = band(part)
+        ratio = whole if len(part) == len(raw) else len(compressor.compress(part)) / len(part)
+        out += 0 if low <= ratio <= high else len(part)
+    return whole, out / len(raw)
 
 
 def duplicate_lines(raw: bytes) -> int:
@@ -90,7 +110,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                 parts = [raw[offsets[d] : offsets[d + 1]] for d in range(n)]
                 zipped = [compression(x, compressor) for x in parts]
                 base = (n_words < 20) | (100 * n_repeat > 30 * n_words)
-                fits = np.array([r is None or (lambda b: b[0] <= r <= b[1])(band(len(x))) and out <= CHUNK_SHARE for x, (r, out) in zip(parts, zipped, strict=True)], dtype=bool)
+                fits = np.array([r is None or (lambda b: b[0] <= r <= b[1])(band(x)) and out <= CHUNK_SHARE for x, (r, out) in zip(parts, zipped, strict=True)], dtype=bool)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, n), pa.array(n_words.astype(np.int64)), pa.array(sums[offsets[1:]] - sums[offsets[:-1]]),

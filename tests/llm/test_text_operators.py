@@ -134,6 +134,26 @@ def test_quality_bands(spark):
     assert got[1] and not got[2]
 
 
+def test_quality_rejects_noise_of_any_length_and_part(spark):
+    import base64
+    import random
+
+    r = random.Random(2)
+
+    def noise(n):
+        return " ".join(base64.b64encode(r.randbytes(6)).decode() for _ in range(n // 9 + 1))[:n]
+
+    def prose(n):
+        return " ".join("".join(r.choice(("th", "er", "on", "an", "re", "in", "ed", "st", "en", "tion")) for _ in range(r.randint(1, 4))) for _ in range(n // 3 + 1))[:n]
+
+    bad = [noise(n) for n in (300, 500, 1000, 1500, 3000, 4096, 8000)]
+    bad += [noise(4096) + prose(4096), prose(4096) + noise(4096), prose(4096) + noise(900), "".join((prose, noise)[i % 2](4096) for i in range(16)), prose(15 * 4096) + noise(4096)]
+    good = [prose(n) for n in (300, 500, 1000, 1500, 3000, 4096, 4200, 8000, 65536)]
+    got = {x["doc_id"]: x["kept"] for x in plain(quality.judge(spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")))}
+    assert [i for i in range(len(bad)) if got[i]] == []
+    assert all(got[i] for i in range(len(bad), len(bad + good)))
+
+
 # ---- packing
 
 
