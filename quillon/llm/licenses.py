@@ -2,9 +2,9 @@
 
 Templates (short license notices) are kept as words with positions. Document
 frequencies of the template words are counted over all documents. For each file
-the `rare_words` highest-IDF template words that occur in it are looked up; each
-occurrence votes, in every template that holds the word, for the place where that
-template would begin. A template whose looked-up words agree on a place, within
+and template, the template's `rare_words` highest-IDF words that occur in the file
+are looked up; each occurrence votes for the place where that template would
+begin. So no template takes another's words away, whatever else a file holds. A template whose looked-up words agree on a place, within
 `slack` words, is a candidate; it is reported if one of its mandatory key phrases
 stands within the span it claims.
 
@@ -19,6 +19,7 @@ are ignored. One pass counts, one judges; neither shuffles texts.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -68,7 +69,7 @@ class Index:
     vocabulary: np.ndarray  # sorted word hashes
     maybe: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, bool))  # low bits of those hashes
     openings: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # first two words of each phrase, as one number
-    postings: dict[int, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
+    words: list[dict[int, list[int]]] = field(default_factory=list)  # of each template: word, places in it
     templates: list[tuple[str, int, tuple[tuple[int, ...], ...]]] = field(default_factory=list)
     base: list[tuple[tuple[int, ...], str]] = field(default_factory=list)
 
@@ -83,8 +84,10 @@ def build() -> Index:
     code = lambda t: tuple(number[w] for w in t.split())
     index = Index(hashes[order])
     for label, text, keys in TEMPLATES:
+        places = defaultdict(list)
         for at, w in enumerate(code(text)):
-            index.postings[w].append((len(index.templates), at))
+            places[w].append(at)
+        index.words.append(dict(places))
         index.templates.append((label, len(text.split()), tuple(map(code, keys))))
     index.base = [(code(p), label) for p, label in BASE.items()]
     index.maybe[(index.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -146,24 +149,23 @@ def judge(where: np.ndarray, word: np.ndarray, index: Index, idf: np.ndarray, ra
             base.add(label)
             found += places
     labels = set(base)
-    rare = sorted(by_word, key=lambda w: (-idf[w], w))[:rare_words]
-    votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for w in rare:
-        for t, at in index.postings[w]:
-            for p in by_word[w]:
-                votes[t, p - at].add(w)
-    chosen = set(rare)
     for t, (label, n, keys) in enumerate(index.templates):
-        held = {w for w in chosen if any(x == t for x, _ in index.postings[w])}
-        if not held or label in labels:
+        if label in labels:
             continue
-        starts = [s for (x, s) in votes if x == t]
-        for s in starts:
-            together = set().union(*(votes.get((t, s + d), set()) for d in range(-slack, slack + 1)))
+        said = [_places(sequence, k, by_word.get(k[0], [])) for k in keys]
+        if not any(said):
+            continue
+        held = set(sorted((w for w in index.words[t] if w in by_word), key=lambda w: (-idf[w], w))[:rare_words])
+        votes: dict[int, set[int]] = defaultdict(set)
+        for w in held:
+            for at in index.words[t][w]:
+                for p in by_word[w]:
+                    votes[p - at].add(w)
+        for s in votes:
+            together = set().union(*(votes.get(s + d, set()) for d in range(-slack, slack + 1)))
             if sum(idf[w] for w in together) < agree * sum(idf[w] for w in held):
                 continue
-            span = range(s - slack, s + n + slack + 1)
-            if any(_places(sequence, k, [p for p in by_word.get(k[0], []) if p in span]) for k in keys):
+            if any(bisect_left(places, s - slack) < bisect_right(places, s + n + slack) for places in said):
                 labels.add(label)
                 score = max(score, min(1.0, sum(idf[w] for w in together) / max(sum(idf[w] for w in held), 1e-9)))
                 break

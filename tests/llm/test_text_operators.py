@@ -217,6 +217,21 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_a_file_that_holds_all_templates(spark):
+    every = [t for _, t, _ in licenses.TEMPLATES]
+    filler = " lorem ipsum dolor sit amet consectetur adipiscing elit "
+    table = [(1, filler.join(every)), (2, filler.join(reversed(every))), (3, filler.join(every * 3))]
+    # all but one long text: the widespread short notices stand beside the rare words of the others
+    first = {x: t for x, t, _ in reversed(licenses.TEMPLATES)}
+    table += [(10 + i, filler.join([*(first[x] for x in ("mit", "bsd-3", "mpl-2", "cc0")), every[i]])) for i in range(len(every))]
+    table += [(100 + i, "licensed under the gnu general public license version 2 all rights reserved") for i in range(40)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in plain(licenses.scan(spark.createDataFrame(table, "doc_id long, text string")))}
+    labels = {x for x, _, _ in licenses.TEMPLATES}
+    assert got[1] == got[2] == got[3] == labels
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert {"mit", "bsd-3", "mpl-2", "cc0", label} <= got[10 + i]
+
+
 # ---- personal data
 
 
