@@ -5,8 +5,8 @@ frequencies of the template words are counted over all documents. For each file
 and template, the template's `rare_words` highest-IDF words that occur in the file
 are looked up; each occurrence votes for the place where that template would
 begin. So no template takes another's words away, whatever else a file holds. A template whose looked-up words agree on a place, within
-`slack` words, is a candidate; it is reported if one of its mandatory key phrases
-stands within the span it claims.
+`slack` words, is a candidate; it is reported if all of its mandatory key phrases
+stand within the span it claims.
 
 Base places (fixed phrases) are counted on every text whatever the index says.
 
@@ -41,7 +41,8 @@ TEMPLATES = (
     ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("you may not use this file except in compliance",)),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3", ("gnu general public license", "free software foundation")),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3", ("gnu general public license", "free software foundation", "either version 3")),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2", ("gnu general public license", "free software foundation", "either version 2")),
     ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
@@ -153,7 +154,7 @@ def judge(where: np.ndarray, word: np.ndarray, index: Index, idf: np.ndarray, ra
         if label in labels:
             continue
         said = [_places(sequence, k, by_word.get(k[0], [])) for k in keys]
-        if not any(said):
+        if not all(said):
             continue
         held = set(sorted((w for w in index.words[t] if w in by_word), key=lambda w: (-idf[w], w))[:rare_words])
         votes: dict[int, set[int]] = defaultdict(set)
@@ -165,7 +166,7 @@ def judge(where: np.ndarray, word: np.ndarray, index: Index, idf: np.ndarray, ra
             together = set().union(*(votes.get(s + d, set()) for d in range(-slack, slack + 1)))
             if sum(idf[w] for w in together) < agree * sum(idf[w] for w in held):
                 continue
-            if any(bisect_left(places, s - slack) < bisect_right(places, s + n + slack) for places in said):
+            if all(bisect_left(places, s - slack) < bisect_right(places, s + n + slack) for places in said):
                 labels.add(label)
                 score = max(score, min(1.0, sum(idf[w] for w in together) / max(sum(idf[w] for w in held), 1e-9)))
                 break

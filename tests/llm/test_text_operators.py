@@ -232,6 +232,13 @@ def test_licenses_of_a_file_that_holds_all_templates(spark):
         assert {"mit", "bsd-3", "mpl-2", "cc0", label} <= got[10 + i]
 
 
+def test_license_versions_are_told_apart(spark):
+    header = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    table = [(1, header.format("", 2)), (2, header.format("", 3)), (3, header.format("Lesser ", 3)), (4, header.format("", 2) + " " + header.format("", 3))]
+    got = {r["doc_id"]: r["labels"] for r in plain(licenses.scan(spark.createDataFrame(table, "doc_id long, text string")))}
+    assert got == {1: "gpl-2", 2: "gpl-3", 3: "lgpl", 4: "gpl-2,gpl-3"}
+
+
 # ---- personal data
 
 
