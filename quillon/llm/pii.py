@@ -43,6 +43,18 @@ _IN_RUN = re.compile(
 )
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])([A-Za-z0-9._%+\-]+)@((?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,})")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of each country's IBAN.
+_IBAN_LENGTH = {
+    cc: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for cc in countries.split()
+}
+#: An IBAN with its spaces is shorter than this.
+_IBAN_REACH = 80
 
 
 class Cipher:
@@ -203,9 +215,28 @@ def _email(c: Cipher, s: str) -> str | None:
     return c.characters(local, b"email") + "@" + host
 
 
+def _iban_ok(plain: str) -> bool:
+    return 15 <= len(plain) <= 34 and _mod97(plain[4:] + plain[:4]) == 1
+
+
+def _next_iban(text: str, at: int) -> tuple[int, int] | None:
+    """The first confirmed IBAN from `at` on. The pattern takes in upper-case words and numbers that follow:
+    the country's own length counts first, then the whole match, and shorter ends for countries not listed."""
+    while m := _IBAN.search(text, at):
+        ends = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]
+        size = _IBAN_LENGTH.get(m[0][:2])
+        if size:
+            ends = [e for e in ends if len(text[m.start() : e].replace(" ", "")) == size] + ends[:1]
+        for e in ends:
+            if _iban_ok(text[m.start() : e].replace(" ", "")):
+                return m.start(), e
+        at = m.start() + 1
+    return None
+
+
 def _iban(c: Cipher, s: str) -> str | None:
     plain = s.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
+    if not _iban_ok(plain):
         return None
     body = c.characters(plain[4:], b"iban" + plain[:2].encode())
     new = plain[:2] + str(98 - _mod97(body + plain[:2] + "00")).zfill(2) + body
@@ -269,15 +300,26 @@ class Pseudonymiser:
             return "".join([*parts, self._numbers(text[at:], counts)]), counts
         return self._numbers(text, counts), counts
 
-    def _numbers(self, text: str, counts: dict[str, int]) -> str:
-        held: list[tuple[int, int]] = []
-        if _IBAN.search(text):
-            text = self._sub(_IBAN, "iban", text, counts)
-            held = [m.span() for m in _IBAN.finditer(text) if _mod97((p := m[0].replace(" ", ""))[4:] + p[:4]) == 1]
+    def _put_iban(self, text: str, at: int, span: tuple[int, int]) -> str:
+        """The pseudonym of an IBAN, permuted on until the same place is found in the new text."""
+        start, end = span
+        low = max(at, start - _IBAN_REACH)
+        left, right = text[max(low - 1, 0) : start], text[end : end + _IBAN_REACH]
+        first, new = low - max(low - 1, 0), self.value("iban", text[start:end])
+        while _next_iban(left + new + right, first) != (len(left), len(left) + len(new)):
+            new = self.value("iban", new)
+        return new
 
+    def _numbers(self, text: str, counts: dict[str, int]) -> str:
+        parts, at = [], 0
+        while span := _next_iban(text, at):  # other numbers are looked for between IBANs only
+            parts += [self._plain_numbers(text[at : span[0]], counts), self._put_iban(text, at, span)]
+            counts["iban"] += 1
+            at = span[1]
+        return "".join([*parts, self._plain_numbers(text[at:], counts)])
+
+    def _plain_numbers(self, text: str, counts: dict[str, int]) -> str:
         def put(m: re.Match) -> str:
-            if any(a <= m.start() < b for a, b in held):
-                return m[0]
             return self._run(m[0], m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in "._"), counts)
 
         return _RUN.sub(put, text)
