@@ -102,7 +102,7 @@ def conv_rank_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("messages")
     ask = F.transform(F.filter(m, lambda x: x["role"] == "user"), lambda x: x["content"])
     ans = F.transform(F.filter(m, lambda x: x["role"] == "assistant"), lambda x: x["content"])
-    r = C.ranking_records(F.get(ask, 0), F.slice(ans, 1, 1), F.slice(ask, 2, 100))
+    r = C.ranking_records(F.get(ask, 0), F.slice(ans, 1, 1), F.slice(ask, F.lit(2), F.greatest(F.size(ask) - 1, F.lit(0))))
     out = _conv(spark, sf_dir).select("conv_id", F.posexplode(r).alias("i", "r"))
     return out.select("conv_id", F.col("i").cast("long").alias("i"), F.col("r.label").alias("label"), F.col("r.messages")[1]["content"].alias("doc"))
 

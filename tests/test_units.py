@@ -459,3 +459,17 @@ def test_lines_of_a_split_file(spark, tmp_path):
         assert d.filter(F.col("value") != F.concat(F.lit("line "), F.col("line").cast("string"))).count() == 0 and d.select("line").distinct().count() == n
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_rank_records_of_long_conversations(spark, tmp_path):
+    import duckdb
+
+    from quillon import registry
+
+    turns = [(1, 2 * i + j, role, f"{role} {i}") for i in range(130) for j, role in enumerate(("user", "assistant"))] + [(2, 0, "user", "only"), (3, 0, "assistant", "no question"), (4, 0, "system", "s")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, registry.queries()["conv_rank_records"](spark, str(tmp_path)).select("conv_id", "i", "label", "doc").collect()))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"select conv_id, i, label, doc from ({registry.oracle_sql()['conv_rank_records']})").fetchall())
+    assert sum(x[0] == 1 for x in got) == 130
