@@ -3,7 +3,8 @@
 Each stage works on all rows that the stage before it kept; between stages the
 rows are written and read again by the caller, or simply passed on by run().
 
-1. language_id: documents whose language can't be told (no letters) go.
+1. language_id: documents whose text is null or has no letters go. Where no
+   language could be learnt, those with letters stay.
 2. simhash_near_dedup: of each group of near-duplicates the smallest id stays.
 3. benchmark_decontamination: documents contaminated by the benchmark go.
 4. secret_scan: secrets are replaced by a mark; every document stays.
@@ -35,10 +36,10 @@ def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is told."""
+    """Keep the documents whose text has letters, whatever language the model tells."""
     model = language.fit_on_training_folds(docs)
-    found = language.predict(docs.withColumn("_key", F.xxhash64("text")), model, keep=("_key",))
-    return _without(docs, found.filter(F.col("lang_pred") == language.UNKNOWN).withColumnRenamed("_key", "key"))
+    found = language.predict(docs.withColumn("_key", F.xxhash64("text")), model, keep=("_key",), with_letters=True)
+    return _without(docs, found.filter(~F.col("has_letters")).withColumnRenamed("_key", "key"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,8 +143,8 @@ def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_pe
     return model
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lead: float = 0.02, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous) of every row, and the columns named in keep."""
+def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lead: float = 0.02, keep: tuple[str, ...] = (), with_letters: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score, ambiguous) of every row, and the columns named in keep; has_letters on request."""
     langs = np.array([*model.langs, UNKNOWN], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +166,12 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 best, score = np.where(known, best, len(model.langs)), np.where(known, score, 0.0)
                 same = [c.slice(i, n) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays(
-                    [same[0], pa.array(langs[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(close & known), *same[2:]],
-                    ["doc_id", "lang_pred", "score", "ambiguous", *keep],
+                    [same[0], pa.array(langs[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(close & known), *same[2:], *[pa.array(known)][: int(with_letters)]],
+                    ["doc_id", "lang_pred", "score", "ambiguous", *keep, *["has_letters"][: int(with_letters)]],
                 )
 
     own = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c] for c in keep])
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[2:])
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[2:]) + (", has_letters boolean" if with_letters else "")
     return own.mapInArrow(run, f"doc_id long, lang_pred string, score double, ambiguous boolean{extra}")
 
 

@@ -6,8 +6,10 @@ import re
 import subprocess
 import sys
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quillon.llm import chat
+from quillon.llm import chat, language
 
 from .conftest import plain
 
@@ -96,6 +98,17 @@ def test_pipeline_empty(spark, empty, tmp_path):
     assert now.count() == 0
 
 
+def test_pipeline_keeps_texts_where_no_language_is_learnt(spark, docs):
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = [r["doc_id"] for r in corpus_pipeline.language_id(spark, base.withColumn("lang", F.lit(None).cast("string")), "").collect()]
+    told = [r["doc_id"] for r in corpus_pipeline.language_id(spark, base, "").collect()]
+    assert collections.Counter(kept) == collections.Counter(told) == collections.Counter([1, 5, 6, 6, None, 8, 9, 10, 12, 13, 14])
+    held = base.filter("doc_id is not null").withColumn("lang", F.when(language.held_out("doc_id"), F.col("lang")))
+    assert collections.Counter(r["doc_id"] for r in corpus_pipeline.language_id(spark, held, "").collect()) == collections.Counter(kept) - collections.Counter([None])
+    # a label that reads like the mark of texts without letters
+    assert collections.Counter(r["doc_id"] for r in corpus_pipeline.language_id(spark, base.withColumn("lang", F.lit(language.UNKNOWN)), "").collect()) == collections.Counter(kept)
+
+
 def counter(df, cols):
     return collections.Counter(tuple(r) for r in df.select(*cols).collect())
 
