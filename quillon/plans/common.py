@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,3 +19,13 @@ def cut(df: DataFrame) -> DataFrame:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def halves(text: str) -> tuple[Column, Column]:
+    """The first and the second half of a text's characters."""
+    n = F.floor(F.length(text) / 2).cast("int")
+    return F.substring(text, 1, n), F.substring(text, n + 1, F.length(text))
+
+
+#: The halves in SQL.
+HALVES_SQL = ("substring(text, 1, length(text) // 2)", "substring(text, length(text) // 2 + 1)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matrix as X
 from ..operators import rewards as R
-from .common import table
+from .common import HALVES_SQL, halves, table
 
 TASKS = 5
 
@@ -75,6 +75,15 @@ def sel_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight").cast("double").alias("weight"))
 
 
+def sel_support_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold and false atoms of first halves against second halves, weighed by quality."""
+    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1)))
+    a, b = halves("text")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", w(a).alias("gold"), w(b).alias("pred"), F.col("quality"))
+    led = X.support_ledger(d.filter("quality is not null"), "doc_id", "gold", "pred", "quality")
+    return led.groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight").cast("double").alias("weight"))
+
+
 def sel_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned lines whose discount exceeds their tax by 0.03."""
     li = table(spark, sf_dir, "lineitem").withColumn("right", F.col("l_returnflag") == "R")
@@ -97,3 +106,4 @@ QUERIES = {
         select 'gold' kind, sum(len(g))::bigint n, sum(len(g) * (2 - q))::double weight from d union all select 'false', sum(len(list_filter(p, lambda x: not list_contains(g, x))))::bigint, sum(len(list_filter(p, lambda x: not list_contains(g, x))) * q)::double from d"""),
     "sel_witnesses": (sel_witnesses, "select l_linestatus, count(*) n from lineitem where l_returnflag = 'R' and round(l_discount - l_tax, 6) > 0.03 group by 1"),
 }
+QUERIES["sel_support_whole"] = (sel_support_whole, QUERIES["sel_support"][1].replace("substring(text, 1, 60)", HALVES_SQL[0]).replace("substring(text, 31, 60)", HALVES_SQL[1]))

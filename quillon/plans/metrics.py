@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import stats as S
-from .common import table
+from .common import halves, table
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,17 @@ def rank_listwise_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: word lengths as labels, every fifth ignored; the previous word's length capped at 6 is the prediction."""
-    w = F.transform(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)), 1, 30), lambda x: F.length(x))
+    """M1: word lengths as labels, every fifth ignored; the previous word's length capped at 6 is the prediction. A text's first 30 words, as its SQL."""
+    return _token_accuracy(spark, sf_dir, F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)), 1, 30))
+
+
+def doc_token_accuracy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: the same over all words."""
+    return _token_accuracy(spark, sf_dir, F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))
+
+
+def _token_accuracy(spark: SparkSession, sf_dir: str, words: Column) -> DataFrame:
+    w = F.transform(words, lambda x: F.length(x))
     d = table(spark, sf_dir, "documents").select("lang", w.alias("w"))
     t = M.token_accuracy(F.transform("w", lambda x: F.least(x, F.lit(6))), F.transform("w", lambda x, i: F.when(i % 5 == 0, -100).otherwise(x)))
     s = d.select("lang", t.alias("t")).groupBy("lang").agg(F.sum("t.right").alias("n_right"), F.sum("t.n").alias("n"), F.sum(F.col("t.all").cast("long")).alias("n_all"))
@@ -118,8 +127,9 @@ def box_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3, M4: a text's first 200 characters against the next 200."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring("text", 1, 200)).alias("a"), F.lower(F.substring("text", 201, 200)).alias("b"))
+    """M3, M4: a text's first half against its second half."""
+    a, b = halves("text")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower(a).alias("a"), F.lower(b).alias("b"))
     return d.select("doc_id", F.round(M.rouge_l("a", "b"), 6).alias("rouge_l"), M.text_scores("a", "b").alias("s")).select("doc_id", "rouge_l", "s.*")
 
 
@@ -150,3 +160,4 @@ QUERIES = {
     "box_matching": (box_matching, None),
     "doc_rouge": (doc_rouge, None),
 }
+QUERIES["doc_token_accuracy_whole"] = (doc_token_accuracy_whole, QUERIES["doc_token_accuracy"][1].replace("[1:30]", ""))

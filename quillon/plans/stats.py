@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
-from .common import table
+from .common import HALVES_SQL, halves, table
 
 
 def _r(df: DataFrame, *cols: str, d: int = 6) -> DataFrame:
@@ -57,6 +57,22 @@ def doc_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(d.groupBy("source").agg(F.avg(S.jaccard(F.col("a"), F.col("b"))).alias("jaccard")), "jaccard")
 
 
+def label_micro_f1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-line words as prediction of the words of all the rest, by language."""
+    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1)))
+    first = F.substring_index("text", "\n", 1)
+    d = table(spark, sf_dir, "documents").select("lang", w(F.substring("text", F.length(first) + 2, F.length("text"))).alias("gold"), w(first).alias("pred"))
+    return _r(S.micro_f1(d, ["lang"], "gold", "pred"), "f1")
+
+
+def doc_jaccard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean Jaccard of the words of a text's first and second half, by source."""
+    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1)))
+    a, b = halves("text")
+    d = table(spark, sf_dir, "documents").select("source", w(a).alias("a"), w(b).alias("b"))
+    return _r(d.groupBy("source").agg(F.avg(S.jaccard(F.col("a"), F.col("b"))).alias("jaccard")), "jaccard")
+
+
 def label_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths overall and by language, quality and toxicity."""
     j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -149,3 +165,5 @@ QUERIES = {
     "sel_ledger": (sel_ledger, "select l_linestatus, round(sum(l_quantity * l_discount), 6) gain, round(sum(l_quantity) * sum(l_quantity) / sum(l_quantity * l_quantity), 6) ess, round(max(l_quantity) / sum(l_quantity), 6) max_share from lineitem group by 1"),
     "event_throughput": (event_throughput, "with l as (select event_type, user_id, arg_max(value, event_id) v from events group by all) select event_type, count(*) n, round(sum(v), 4) total, round(sum(v) / 60.0::double, 4) per_second from l group by 1"),
 }
+QUERIES["label_micro_f1_whole"] = (label_micro_f1_whole, QUERIES["label_micro_f1"][1].replace("substring(text, 1, 120)", "substring(text, length(string_split(text, chr(10))[1]) + 2)"))
+QUERIES["doc_jaccard_whole"] = (doc_jaccard_whole, QUERIES["doc_jaccard"][1].replace("substring(text, 1, 100)", HALVES_SQL[0]).replace("substring(text, 101, 100)", HALVES_SQL[1]))

@@ -473,3 +473,20 @@ def test_rank_records_of_long_conversations(spark, tmp_path):
     con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert got == sorted(con.sql(f"select conv_id, i, label, doc from ({registry.oracle_sql()['conv_rank_records']})").fetchall())
     assert sum(x[0] == 1 for x in got) == 130
+
+
+def test_rouge_query_takes_whole_texts(spark, tmp_path):
+    from quillon import registry
+
+    words = [f"w{i}" for i in range(400)]
+    spark.createDataFrame([(1, " ".join(words + words)), (2, " ".join(words + ["y"] * 400))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["rouge_l"] for r in registry.queries()["doc_rouge"](spark, str(tmp_path)).collect()}
+    for i, t in ((1, " ".join(words + words)), (2, " ".join(words + ["y"] * 400))):
+        a, b = t[: len(t) // 2].split(), t[len(t) // 2 :].split()
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+        assert got[i] == pytest.approx(2 * row[-1] / (len(a) + len(b)), abs=1e-6)
+    assert got[1] > 0.99
