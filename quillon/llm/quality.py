@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import small_batches
-from .textbytes import SPACE_WORDS, Words, covered, mix, pieces, task_batches, windows
+from .textbytes import SPACE_WORDS, Words, covered, pieces, repeated_windows, task_batches, word_numbers
 
 #: (from so many bytes, least ratio, greatest ratio). The greatest lie just above prose and below random letters and digits.
 BANDS = (
@@ -97,14 +97,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                 w = Words(data, offsets, SPACE_WORDS)
                 sums = np.concatenate([[0], np.cumsum(((data & 0xC0) != 0x80) & SPACE_WORDS[data])])
                 symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
-                where, h = windows(w.hashes(), w.at, k)
-                doc = np.repeat(np.arange(n), w.counts)
-                key = h ^ mix(doc[where].astype(np.uint64) + np.uint64(1))
-                order = np.argsort(key, kind="stable")
-                same = key[order][1:] == key[order][:-1]
-                twice = np.zeros(len(key), dtype=bool)
-                twice[order[1:][same]] = twice[order[:-1][same]] = True
-                repeated = np.concatenate([[0], np.cumsum(covered(len(w), where[twice], k))])
+                repeated = np.concatenate([[0], np.cumsum(covered(len(w), repeated_windows(word_numbers(w), w.at, k), k))])
                 n_words, n_repeat = w.counts, repeated[w.at[1:]] - repeated[w.at[:-1]]
                 raw = data.tobytes()
                 parts = [raw[offsets[d] : offsets[d + 1]] for d in range(n)]

@@ -16,9 +16,9 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer single text is handled alone.
 PIECE_BYTES = 1 << 20
 
-_P1 = 0x9E3779B97F4A7C15 | 1
-_INV1 = pow(_P1, -1, 1 << 64)
 _Q = 0xD6E8FEB86659FD93
+#: Spans up to this many bytes are hashed and compared eight bytes at a time, all at once; longer ones one by one.
+SHORT_SPAN = 64
 
 
 def _table(word: str) -> np.ndarray:
@@ -116,29 +116,6 @@ class Words:
         return span_hashes(self.data, self.starts, self.ends)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, at least n of each."""
-    if _powers and next(iter(_powers)) >= n:
-        return next(iter(_powers.values()))
-    size = max(n, PIECE_BYTES + 1)
-    both = []
-    for base in (_P1, _INV1):
-        x = np.ones(size, dtype=np.uint64)
-        done = 1
-        while done < size:
-            more = min(done, size - done)
-            x[done : done + more] = x[:more] * np.uint64(pow(base, done, 1 << 64))
-            done += more
-        both.append(x)
-    if size <= 4 * PIECE_BYTES:
-        _powers.clear()
-        _powers[size] = (both[0], both[1])
-    return both[0], both[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(31))
@@ -149,16 +126,94 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; the end is padded with zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def _lane(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The numbers at the places `at`, only their first `left` bytes where fewer than eight are left."""
+    unused = (np.maximum(8 - left, 0) * 8).astype(np.uint64)
+    return lanes[at] << unused
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges, from prefix sums of a polynomial modulo 2**64."""
+    """64-bit hashes of the byte ranges: eight bytes at a time are scrambled in; long ranges take XXH3."""
+    lengths = ends - starts
+    h = mix(lengths.astype(np.uint64) * np.uint64(_Q) + np.uint64(1))
     if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(_Q))
+        return h
+    lanes = _lanes(data)
+    which = np.flatnonzero(lengths <= SHORT_SPAN) if int(lengths.max()) > SHORT_SPAN else np.arange(len(starts))
+    step = 0
+    while len(which):
+        h[which] = mix(h[which] ^ _lane(lanes, starts[which] + step, lengths[which] - step))
+        step += 8
+        which = which[lengths[which] > step]
+    long = np.flatnonzero(lengths > SHORT_SPAN)
+    if len(long):
+        from xxhash import xxh3_64_intdigest
+
+        view = memoryview(np.ascontiguousarray(data))
+        h[long] = mix(h[long] ^ np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], np.uint64))
+    return h
+
+
+def same_spans(x: np.ndarray, x_starts: np.ndarray, y: np.ndarray, y_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether byte ranges of equal lengths in x and in y hold the same bytes, pair by pair."""
+    same = np.ones(len(lengths), bool)
+    if not len(lengths):
+        return same
+    x_lanes, y_lanes = _lanes(x), _lanes(y)
+    which, step = np.flatnonzero((lengths > 0) & (lengths <= SHORT_SPAN)), 0
+    while len(which):
+        left = lengths[which] - step
+        equal = _lane(x_lanes, x_starts[which] + step, left) == _lane(y_lanes, y_starts[which] + step, left)
+        same[which[~equal]] = False
+        step += 8
+        which = which[equal & (left > 8)]
+    for i in np.flatnonzero(lengths > SHORT_SPAN).tolist():
+        n = int(lengths[i])
+        same[i] = np.array_equal(x[x_starts[i] : x_starts[i] + n], y[y_starts[i] : y_starts[i] + n])
+    return same
+
+
+def word_numbers(w: Words) -> np.ndarray:
+    """A number for each word, the same for two words of the piece if and only if their bytes are the same."""
+    h = w.hashes()
+    order = np.argsort(h, kind="stable")
+    size = w.ends - w.starts
+    alike = h[order][1:] == h[order][:-1]
+    a, b = order[1:][alike], order[:-1][alike]
+    if not np.all(size[a] == size[b]) or not np.all(same_spans(w.data, w.starts[a], w.data, w.starts[b], size[a])):
+        raw, known = w.data.tobytes(), {}  # unequal words of equal hash: tell them apart by their bytes
+        return np.array([known.setdefault(raw[i:j], len(known)) for i, j in zip(w.starts.tolist(), w.ends.tolist(), strict=True)], np.int64)
+    numbers = np.empty(len(h), np.int64)
+    numbers[order] = np.cumsum(np.concatenate([np.zeros(min(len(h), 1), np.int64), ~alike]))
+    return numbers
+
+
+def repeated_windows(numbers: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The first words of the runs of k words that stand twice or more in their document; words are compared, not hashes."""
+    where, h = windows(mix(numbers.astype(np.uint64)), at, k)
+    doc = np.searchsorted(at, where, "right") - 1
+    h = h ^ mix(doc.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(h, kind="stable")
+    alike = h[order][1:] == h[order][:-1]
+    a, b = where[order[1:][alike]], where[order[:-1][alike]]
+    true = doc[order[1:][alike]] == doc[order[:-1][alike]]
+    for j in range(k):
+        true &= numbers[a + j] == numbers[b + j]
+    if not true.all():  # unequal runs of equal hash: sort by the words themselves
+        columns = [doc, *(numbers[where + j] for j in range(k))]
+        order = np.lexsort(columns)
+        alike = np.ones(max(len(order) - 1, 0), bool)
+        for c in columns:
+            alike &= c[order][1:] == c[order][:-1]
+    twice = np.zeros(len(where), bool)
+    twice[order[1:][alike]] = twice[order[:-1][alike]] = True
+    return where[twice]
 
 
 def windows(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
