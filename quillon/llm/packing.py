@@ -7,11 +7,15 @@ documents and, its length being a power of two, none is padded. Sequences of
 equal length form batches (`bucket`, `batch_id`). Everything is decided row by
 row, without a shuffle.
 
-Tokens: the vocabulary's pre-tokenizer never joins characters across ASCII white
-space, so a text's ids are those of its white-space-separated chunks, in order.
-Each distinct chunk is tokenized once per Python worker (the table is emptied
-when it reaches `cache_chunks`), whole texts always. Chunks are told apart by
-64-bit hashes.
+Tokens: where a vocabulary's own rules are those of `CHUNKED`, it never joins
+characters across ASCII white space, so a text's ids are those of its
+white-space-separated chunks, in order. Chunks of up to 64 bytes are kept with
+their ids in a table of the Python worker (emptied when it reaches
+`cache_chunks`); each hit is compared byte by byte, so the ids are always the
+tokenizer's. Longer chunks are tokenized where they stand. With any other
+vocabulary whole texts are given to the tokenizer.
+
+Names of special tokens in a text become those tokens, as the library does by default.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed each
 for itself; an empty table gives an empty result; other columns are ignored.
@@ -20,6 +24,7 @@ for itself; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .shared import small_batches
-from .textbytes import LOWER, SPACE_WORDS, Words, pieces, task_batches
+from .textbytes import LOWER, SHORT_SPAN, SPACE_WORDS, Words, pieces, same_spans, span_hashes, task_batches
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -44,6 +49,14 @@ def decompose(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+# The normalizer and pre-tokenizer for which chunks and `plainer` are proved to keep the ids.
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[ord("A") : ord("Z") + 1] = _ASCII_LETTER[ord("a") : ord("z") + 1] = True
 _STOP = np.zeros(256, bool)
@@ -51,9 +64,9 @@ _STOP[list(b".,;:!?")] = True
 
 
 def plainer(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words]:
-    """The piece's chunks, so spelt that fewer are distinct but the ids stay the same.
+    """The piece's chunks, so spelt that fewer are distinct but the ids of a `CHUNKED` vocabulary stay the same.
 
-    The vocabulary lower-cases and parts letters from marks itself, so A-Z may be
+    Such a vocabulary lower-cases and parts letters from marks itself, so A-Z may be
     lowered here (unless a non-ASCII character follows, which may combine with it)
     and a space may stand between a letter and a mark. Documents are parted by spaces.
     """
@@ -76,18 +89,35 @@ def plainer(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words]:
     return out, Words(out, offsets + np.searchsorted(at, offsets), SPACE_WORDS)
 
 
+def chunked(tokenizer) -> bool:
+    """Whether a tokenizer's rules are those of `CHUNKED`, with special names that hold no white space and begin with `<|`."""
+    own = json.loads(tokenizer.to_str())
+    plain = all(a["content"].startswith("<|") and not any(map(str.isspace, a["content"])) and not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) for a in own["added_tokens"])
+    return plain and own["model"].get("type") == "BPE" and not own["model"].get("dropout") and own["post_processor"] is None and all(own[k] == v for k, v in CHUNKED.items())
+
+
+class TextTokenizer:
+    """Token ids of whole texts, for any vocabulary."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents of a piece, ids per document)."""
+        raw, at = data.tobytes(), offsets.tolist()
+        ids = [self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids for a, b in zip(at[:-1], at[1:], strict=True)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64), np.array([len(x) for x in ids], np.int64)
+
+
 class ChunkTokenizer:
-    """Token ids of texts by way of a table of the chunks met so far.
+    """Token ids of texts by way of a table of the short chunks met so far, for `CHUNKED` vocabularies.
 
-    The table is an open-addressed array of 64-bit chunk hashes, so a whole piece is
-    looked up at once and the table has no Python objects.
+    The table is an open-addressed array of 64-bit chunk hashes with the chunks' bytes beside it, so a
+    whole piece is looked up and compared at once and the table has no Python objects.
     """
 
-    def __init__(self, path: str, cache_chunks: int):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), cache_chunks
+    def __init__(self, tokenizer, cache_chunks: int):
+        self.tokenizer, self.most = tokenizer, cache_chunks
         self.slots = 1 << (2 * cache_chunks - 1).bit_length()
         self._empty()
 
@@ -95,10 +125,11 @@ class ChunkTokenizer:
         self.keys, self.values = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
         narrow = self.tokenizer.get_vocab_size() <= 1 << 16
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint16 if narrow else np.uint32), np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.int32)
-        self.used = self.known = 0
+        self.text, self.text_starts, self.text_sizes = np.zeros(1 << 17, np.uint8), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.used = self.known = self.text_used = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each chunk, -1 if it isn't known."""
+        """The number of the chunk of each hash, -1 if there is none."""
         mask = np.uint64(self.slots - 1)
         slot = (h & mask).astype(np.int64)
         found = self.values[slot]
@@ -111,7 +142,7 @@ class ChunkTokenizer:
         return found
 
     def _add(self, h: np.ndarray) -> None:
-        """Number new, distinct chunks from self.known on."""
+        """Number new, distinct hashes from self.known on."""
         number = np.arange(self.known, self.known + len(h), dtype=np.int32)
         slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
         left = np.arange(len(h))
@@ -126,53 +157,85 @@ class ChunkTokenizer:
             slot[left] = (slot[left] + 1) & (self.slots - 1)
         self.known += len(h)
 
-    def _room(self, name: str, size: int) -> np.ndarray:
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write values into an array from a place on, which grows as needed."""
         x = getattr(self, name)
-        if len(x) < size:
-            setattr(self, name, np.concatenate([x, np.zeros(max(size - len(x), len(x)), x.dtype)]))
-        return getattr(self, name)
-
-    def _learn(self, h: np.ndarray, chunks: list[str]) -> None:
-        for lo in range(0, len(chunks), 8192):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[lo : lo + 8192], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, k = int(lengths.sum()), self.known + lo
-            self._room("flat", self.used + total)[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.int64, total)
-            self._room("starts", k + len(ids))[k : k + len(ids)] = self.used + np.cumsum(lengths) - lengths
-            self._room("lengths", k + len(ids))[k : k + len(ids)] = lengths
-            self.used += total
+        if len(x) < at + len(values):
+            x = np.concatenate([x, np.zeros(max(at + len(values) - len(x), len(x)), x.dtype)])
+            setattr(self, name, x)
+        x[at : at + len(values)] = values
+
+    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
+        return [e.ids for lo in range(0, len(chunks), 8192) for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in chunks[lo : lo + 8192]], add_special_tokens=False)]
+
+    def _learn(self, h: np.ndarray, chunks: list[bytes]) -> None:
+        """Take chunks of distinct hashes into the table."""
+        ids = self._encode(chunks)
+        lengths, sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, chunks))
+        self._put("flat", self.used, np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(lengths.sum())))
+        self._put("starts", self.known, self.used + np.cumsum(lengths) - lengths)
+        self._put("lengths", self.known, lengths)
+        self._put("text", self.text_used, np.frombuffer(b"".join(chunks), np.uint8))
+        self._put("text_starts", self.known, self.text_used + np.cumsum(sizes) - sizes)
+        self._put("text_sizes", self.known, sizes)
+        self.used += int(lengths.sum())
+        self.text_used += int(sizes.sum())
         self._add(h)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of a piece, ids per document)."""
         text, w = plainer(data, offsets)
-        h = w.hashes()
-        which = self._find(h)
-        if len(unknown := np.flatnonzero(which < 0)):
+        sizes, raw = w.ends - w.starts, text.tobytes()
+        short = np.flatnonzero(sizes <= SHORT_SPAN)
+        h = span_hashes(text, w.starts[short], w.ends[short])
+        which = np.full(len(w), -1, np.int64)
+        found = self._find(h)
+        if len(unknown := np.flatnonzero(found < 0)):
             new, first = np.unique(h[unknown], return_index=True)
             if self.known + len(new) > self.most:
                 self.slots = max(self.slots, 1 << (2 * len(h)).bit_length())
                 self._empty()
                 unknown = np.arange(len(h))
                 new, first = np.unique(h, return_index=True)
-            raw, at = text.tobytes(), unknown[first]
-            self._learn(new, [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
-            which[unknown] = self._find(h[unknown])
-        lengths = self.lengths[which].astype(np.int64)
+            at = short[unknown[first]]
+            self._learn(new, [raw[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+            found[unknown] = self._find(h[unknown])
+        sure = self.text_sizes[found] == sizes[short]
+        sure[sure] = same_spans(text, w.starts[short[sure]], self.text, self.text_starts[found[sure]], sizes[short[sure]])
+        which[short[sure]] = found[sure]
+        lengths = np.where(which >= 0, self.lengths[which], 0).astype(np.int64)
+        other = np.flatnonzero(which < 0)  # long chunks, and those whose hash another chunk has
+        own = [raw[a:b] for a, b in zip(w.starts[other].tolist(), w.ends[other].tolist(), strict=True)]
+        distinct = list(dict.fromkeys(own))
+        ids = dict(zip(distinct, self._encode(distinct), strict=True))
+        lengths[other] = [len(ids[x]) for x in own]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[which] - ends[:-1], lengths)]
+        known = np.flatnonzero(which >= 0)
+        n = lengths[known]
+        rest = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        values = self.flat[rest + np.repeat(self.starts[which[known]].astype(np.int64), n)]
+        if not len(other):
+            return values, np.diff(ends[w.at])
+        flat = np.empty(ends[-1], self.flat.dtype)
+        flat[rest + np.repeat(ends[known], n)] = values
+        for i, x in zip(other.tolist(), own, strict=True):
+            flat[ends[i] : ends[i + 1]] = ids[x]
         return flat, np.diff(ends[w.at])
 
 
 #: One tokenizer with its table for each path in a Python worker, kept from task to task.
-_TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], ChunkTokenizer | TextTokenizer] = {}
 
 
-def tokenizer(path: str, cache_chunks: int) -> ChunkTokenizer:
+def tokenizer(path: str, cache_chunks: int) -> ChunkTokenizer | TextTokenizer:
     key = (path, cache_chunks)
     if key not in _TOKENIZERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's
+        from tokenizers import Tokenizer
+
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = ChunkTokenizer(path, cache_chunks)
+        own = Tokenizer.from_file(path)
+        _TOKENIZERS[key] = ChunkTokenizer(own, cache_chunks) if chunked(own) else TextTokenizer(own)
     return _TOKENIZERS[key]
 
 

@@ -186,20 +186,73 @@ def test_decompose():
         assert sum(packing.decompose(n, 4096)) == n
 
 
-def test_chunk_tokens_are_text_tokens():
-    """Odd texts: contractions, special names, combining marks, other white space; and a table that overflows."""
+def thue_morse(n):
+    """Two words of n letters that fool hashes by a polynomial modulo a power of two."""
+    return ["".join(x[i.bit_count() & 1] for i in range(n)) for x in ("ab", "ba")]
+
+
+ODD = ["It's I'm. we'll, x'. a.'s <|endoftext|> b.", "<|ENDOFTEXT|>,a", "H̱ello. Éx. ×. a—. —.b 12.5,3 don’t.", "", "  ", "a\x1cb c\x85d", "...?! wow!!! 'S 'T", "x" * 9000, "\x00\x01a.", "ﬁ. ①. x²."]
+ODD += [" ".join(thue_morse(n)) for n in (32, 64, 1024, 4096)] + ["Hello World. The Quick fox, jumps!", "y" * 64 + " " + "y" * 65 + " " + "z" * 64]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("hashes", ["own", "poor"])
+def test_chunk_tokens_are_text_tokens(name, hashes, monkeypatch):
+    """Odd texts: contractions, special names, combining marks, other white space; a table that overflows; hashes that collide."""
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    from quillon.llm.textbytes import pieces
+    from quillon.llm.textbytes import pieces, span_hashes
 
-    odd = ["It's I'm. we'll, x'. a.'s <|endoftext|> b.", "<|ENDOFTEXT|>,a", "H̱ello. Éx. ×. a—. —.b 12.5,3 don’t.", "", "  ", "a\x1cb c\x85d", "...?! wow!!! 'S 'T", "x" * 9000, "\x00\x01a.", "ﬁ. ①. x²."]
-    whole = Tokenizer.from_file(tokenizer_path())
+    if hashes == "poor":
+        monkeypatch.setattr(packing, "span_hashes", lambda *x: span_hashes(*x) & 3)
+    whole = Tokenizer.from_file(tokenizer_path(name))
+    packing._TOKENIZERS.clear()
     for most in (1 << 16, 3):
-        enc = packing.ChunkTokenizer(tokenizer_path(), most)
-        for o in [*odd, *odd]:
-            _, _, data, off = next(iter(pieces(pa.array([o]))))
-            assert enc(data, off)[0].tolist() == whole.encode(o, add_special_tokens=False).ids
+        enc = packing.tokenizer(tokenizer_path(name), most)
+        assert isinstance(enc, packing.ChunkTokenizer) == name.startswith("word")
+        for o in [[x] for x in ODD] * 2 + [ODD]:
+            for _, _, data, off in pieces(pa.array(o)):
+                flat, sizes = enc(data, off)
+                want = [whole.encode(x, add_special_tokens=False).ids for x in o]
+                assert flat.tolist() == [i for x in want for i in x] and sizes.tolist() == list(map(len, want))
+    packing._TOKENIZERS.clear()
+
+
+def test_equal_hashes_are_not_equal_words(spark):
+    """Thue-Morse words: repeated windows and passages are those of the words themselves."""
+    a, b = thue_morse(1024)
+    filler = [f"w{i}" for i in range(12)]
+    table = [(1, " ".join([a, *filler])), (2, " ".join([b, *filler])), (3, " ".join([a, *filler, b, *filler])), (4, " ".join(([a, *filler[:7]] + [b, *filler[:7]]) * 2))]
+    own = spark.createDataFrame(table, "doc_id long, text string")
+    assert counted(plain(substring.remove_repeats(own)), "doc_id", "n_words", "n_removed", "text") == removed(table)
+    repeats = {r["doc_id"]: r["n_repeat_words"] for r in plain(quality.judge(own))}
+    assert repeats == {i: repeat_words(t) for i, t in table}
+
+
+def repeat_words(t, k=8):
+    w = re.findall(WS, t or "")
+    c = collections.Counter(tuple(w[p : p + k]) for p in range(len(w) - k + 1))
+    return len({q for p in range(len(w) - k + 1) if c[tuple(w[p : p + k])] > 1 for q in range(p, p + k)})
+
+
+def test_colliding_word_hashes_do_not_count(monkeypatch):
+    """With hashes of three bits the numbers of words and the repeated windows stay those of the words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.llm import textbytes
+
+    texts = [t for _, t, *_ in rows() if t and len(t) < 5000] + ["a b a b a b a b a b a b c d e"]
+    scramble = textbytes.mix
+    for poor in (False, True):
+        if poor:
+            monkeypatch.setattr(textbytes, "mix", lambda x: scramble(x) & np.uint64(7))
+        for _, _, data, off in textbytes.pieces(pa.array(texts)):
+            w = textbytes.Words(data, off, textbytes.SPACE_WORDS)
+            at = textbytes.repeated_windows(textbytes.word_numbers(w), w.at, 8)
+            hit = textbytes.covered(len(w), at, 8)
+            assert [int(hit[i:j].sum()) for i, j in zip(w.at[:-1], w.at[1:])] == [repeat_words(t) for t in texts]
 
 
 # ---- licences
