@@ -23,6 +23,7 @@ group but never names it.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, small_batches
-from .textbytes import LOWER, SPACE_WORDS, Words, pieces, task_batches
+from .shared import components, cut, spread_join
+from .textbytes import task_batches
 
 BITS = 64
+#: Parts words.
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -59,52 +62,31 @@ def chain_masks(radius: int) -> list[list[tuple[int, int]]]:
     return found
 
 
-def _shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, hashes per document) of the k-word shingles of a piece."""
-    import xxhash
-
-    w = Words(data, offsets, SPACE_WORDS, lower=True)
-    # single-spaced copy: each word's bytes and one separator after it
-    keep = SPACE_WORDS[data]
-    after = w.ends[w.ends < len(data)]
-    keep[after] = True
-    place = np.concatenate([[0], np.cumsum(keep)])
-    flat = w.data.copy()
-    # a word that ends where the next document begins has no separator, and needs none
-    flat[after[~SPACE_WORDS[data[after]]]] = 0x20
-    text = flat[keep].tobytes()
-    starts, ends, n = place[w.starts], place[w.ends], w.counts
-    take = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
-    doc = np.repeat(np.arange(len(n)), take)
-    first = np.arange(len(doc)) - np.repeat(np.cumsum(take) - take, take) + w.at[:-1][doc]
-    last = np.minimum(first + k, w.at[1:][doc]) - 1
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(text[a:b], 42) for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(first))
-    return h, take
-
-
-def _fold(h: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
-    """Majority bits of each document's hashes."""
-    out = np.zeros(len(per_doc), dtype=np.uint64)
-    full = np.flatnonzero(per_doc)
-    if len(full):
-        begins = (np.cumsum(per_doc) - per_doc)[full]
-        for b in range(BITS):
-            counts = np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype(np.int32), begins)
-            out[full] |= (2 * counts > per_doc[full]).astype(np.uint64) << np.uint64(b)
-    return out
-
-
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed long."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in task_batches(batches):
-            for i, j, data, offsets in pieces(batch.column(1)):
-                fp = _fold(*_shingle_hashes(data, offsets, k))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
-
-    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    """(doc_id, key, fp): the fingerprint of each row as a signed long; key is the text's hash.
+
+    Places of words are exploded, hashed and voted on in one generated stage. Each of 32 sums
+    counts two bits, one in either half of a long. Rows of one id and text come out as often as they went in.
+    """
+    text = docs[text_col].cast("string")
+    w = F.array_remove(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), SPACES), "")
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.coalesce(w, F.array().cast("array<string>")).alias("w"))
+    p = F.col("p")
+    placed = own.select("doc_id", "key", "w", F.posexplode_outer("w").alias("p", "_word")).filter(p.isNull() | (p == 0) | (p + k <= F.size("w")))
+    shingle = F.concat_ws(" ", *[F.get("w", p + i) for i in range(k)])
+    hashed = placed.select("doc_id", "key", "p", F.when(p.isNotNull(), F.xxhash64(shingle)).alias("h"))
+    half = (1 << BITS // 2) - 1
+    pairs = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND((1 << BITS // 2) + 1)).alias(f"s{i}") for i in range(BITS // 2)]
+    votes = hashed.groupBy("doc_id", "key").agg(F.count("p").alias("shingles"), F.count(F.when(p.isNull() | (p == 0), 1)).alias("copies"), *pairs)
+    fp = F.lit(0).cast("long")
+    for b in range(BITS):
+        s = F.col(f"s{b % 32}")
+        ones = s.bitwiseAND(half) if b < 32 else F.shiftrightunsigned(s, 32)
+        fp = fp.bitwiseOR(F.when(2 * ones > F.col("shingles"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(0))
+    folded = votes.select("doc_id", "key", fp.alias("fp"), "copies")
+    # copies in two steps, so that no list is long
+    blocks = folded.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 4096))))
+    return blocks.select("doc_id", "key", "fp", F.explode(F.array_repeat(F.lit(0), F.least(F.col("copies") - F.col("i") * 4096, F.lit(4096)).cast("int"))).alias("_")).drop("_")
 
 
 def _near(x: np.ndarray, chain: list[tuple[int, int]]) -> np.ndarray:
@@ -201,14 +183,17 @@ def links(fps: DataFrame, *, radius: int = 4, dense: int = 2048) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, k: int = 4, dense: int = 2048) -> DataFrame:
-    """(doc_id, fp, component_id): each document's group, named by its smallest id."""
+    """(doc_id, key, fp, group, component_id) of each row: its text's hash, fingerprint and group; component_id is the group's smallest id.
+
+    `group` tells groups apart even where ids repeat with different texts, so that two groups have the same smallest id.
+    """
     own = cut(fingerprints(docs, id_col=id_col, text_col=text_col, k=k))
-    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")))
     roots = components(links(fps.select("fp"), radius=radius, dense=dense), "a", "b")
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_fp = placed.join(names, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    placed = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", "n", F.coalesce("root", "fp").alias("group")))
+    names = cut(placed.groupBy("group").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("members")))
+    by_fp = cut(spread_join(placed, names, "group", "members").select("fp", "n", "group", "component_id"))
+    return spread_join(own, by_fp, "fp", "n").select("doc_id", "key", "fp", "group", "component_id")
 
 
 def as_hex(fp) -> F.Column:

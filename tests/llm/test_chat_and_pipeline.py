@@ -80,6 +80,15 @@ def test_pipeline_stages_keep_their_promises(spark, docs, tmp_path):
     assert {r["doc_id"] for r in seen["packing"].select("doc_id").collect()} == clean
 
 
+def test_pipeline_near_dedup_tells_rows_by_text(spark):
+    """Repeated ids with different texts, null ids and repeated rows: one row of each group stays, and no other group loses one."""
+    t = [" ".join(f"{c}{i}" for i in range(40)) for c in "wxyz"]
+    table = [(5, t[0], "a"), (5, t[1], "a"), (7, t[0], "b"), (8, t[1], "b"), (9, t[2], "a"), (9, t[2], "b"), (None, t[2], "a"), (None, t[3], "a"), (None, t[3], "b"), (3, t[0], None)]
+    got = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(table, "doc_id long, text string, source string"), "")
+    assert got.columns == ["doc_id", "text", "source"]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in plain(got)) == collections.Counter([(3, t[0]), (5, t[1]), (9, t[2]), (None, t[3])])
+
+
 def test_pipeline_run_equals_its_stages(spark):
     sf = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, sf)

@@ -7,8 +7,9 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, language, licenses, packing, pii, quality, secrets, simhash, substring
+from quillon.llm import decontaminate, language, licenses, packing, pii, quality, secrets, shared, simhash, substring
 from quillon.llm.queries import tokenizer_path
 
 from .conftest import SHARED, plain, rows
@@ -376,7 +377,7 @@ def test_codewords():
 # ---- SimHash
 
 
-def test_simhash(docs, empty):
+def test_simhash(docs, empty, monkeypatch):
     import xxhash
 
     def fp(t):
@@ -394,12 +395,37 @@ def test_simhash(docs, empty):
                 group = [new if g == old else g for g in group]
     least = {g: min((table[i][0] for i in range(len(table)) if group[i] == g and table[i][0] is not None), default=None) for g in group}
     want = collections.Counter((i, f"{f:016x}", least[group[k]]) for k, (i, f) in enumerate(table))
-    for dense in (2048, 1):
+    for dense, hot in ((2048, 256), (1, 1)):
+        monkeypatch.setattr(shared, "HOT_ROWS", hot)
+        monkeypatch.setattr(shared, "HOT_KEYS", 4096 if hot > 1 else 1_000_000)
         out = simhash.near_duplicates(docs, dense=dense).select("doc_id", simhash.as_hex("fp").alias("f"), "component_id")
         assert counted(plain(out), "doc_id", "f", "component_id") == want
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [256, 3])
+def test_components_and_hot_keys(spark, monkeypatch, hot):
+    """A star, a chain, a clique and self-links; with centres dealt out as hot keys and without."""
+    monkeypatch.setattr(shared, "HOT_ROWS", hot)
+    monkeypatch.setattr(shared, "HOT_KEYS", 1_000_000)
+    edges = [(1000, i) for i in range(1, 60)] + [(2000 + i, 2001 + i) for i in range(40)] + [(3000 + i, 3000 + j) for i in range(8) for j in range(i)] + [(7, 7), (4000, 4000), (None, 5)]
+    got = {r["node"]: r["root"] for r in plain(shared.components(spark.createDataFrame(edges, "a long, b long"), "a", "b"))}
+    want = {1000: 1} | {i: 1 for i in range(1, 60)} | {2000 + i: 2000 for i in range(41)} | {3000 + i: 3000 for i in range(8)}
+    assert got == want
+    rows = shared.cut(spark.createDataFrame([(k, i) for k, n in ((None, 2), (1, 9), (2, 3), (3, 1)) for i in range(n)], "k long, i long"))
+    per_key = shared.cut(rows.groupBy("k").agg(F.max("i").alias("top"), F.count("*").alias("n")))
+    assert counted(plain(shared.spread_join(rows, per_key, "k", "n")), "k", "i", "top") == collections.Counter((k, i, n - 1) for k, n in ((1, 9), (2, 3), (3, 1)) for i in range(n))
+
+
+def test_near_duplicates_where_ids_repeat(spark):
+    """One id with two texts that are no copies belongs to two groups; each group has a name of its own beside its id."""
+    t = [" ".join(f"{c}{i}" for i in range(40)) for c in "xyz"]
+    table = [(5, t[0]), (5, t[1]), (7, t[0]), (8, t[1]), (9, t[2]), (None, t[2]), (None, t[0])]
+    got = plain(simhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")))
+    assert collections.Counter((r["doc_id"], r["component_id"]) for r in got) == collections.Counter([(5, 5), (5, 5), (7, 5), (8, 5), (9, 9), (None, 9), (None, 5)])
+    assert len({r["group"] for r in got}) == 3 and len({(r["group"], r["fp"]) for r in got}) == 3
+
+
 def test_pigeonring_finds_all_links():
     """Random fingerprints with neighbours at every distance, dense and sparse buckets: the same groups as by brute force."""
     import random
