@@ -5,19 +5,18 @@ rows are written and read again by the caller, or simply passed on by run().
 
 1. language_id: documents whose text is null or has no letters go. Where no
    language could be learnt, those with letters stay.
-2. simhash_near_dedup: of each group of near-duplicates the smallest id stays.
+2. simhash_near_dedup: of each group of near-duplicates one row stays.
 3. benchmark_decontamination: documents contaminated by the benchmark go.
 4. secret_scan: secrets are replaced by a mark; every document stays.
 5. packing: documents become power-of-two sequences.
 
-A row with a null id can't be named by a group: stage 2 keeps it.
-Rows that repeat an id are one document to stage 2: one of them stays.
+Rows are told apart by their id and text: where ids repeat with different texts,
+or are null, each row is judged by its own text. Repeated rows are copies.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, language, packing, secrets, simhash
@@ -43,15 +42,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group."""
-    groups = cut(simhash.near_duplicates(docs))
-    kept = groups.filter(F.col("doc_id") == F.col("component_id"))
-    sizes = kept.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    stay = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-    if sizes[0] > sizes[1]:  # ids repeat
-        ranked = stay.withColumn("_row_of_id", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
-        stay = ranked.filter("_row_of_id = 1").drop("_row_of_id")
-    return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Keep one row of each group: the smallest id (a null one last), among rows that share it the smallest text hash."""
+    groups = cut(simhash.near_duplicates(docs).select("group", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key").alias("row")))
+    kept = cut(groups.groupBy("group").agg(F.min("row").alias("row")).select("row.doc_id", "row.key"))
+    own = docs.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id and xxhash64(d.text) = k.key"), "left_semi")
+    rows, texts = groups.select("row.doc_id", "row.key").alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id and d.key = k.key"), "left_semi").agg(F.count("*"), F.lit(kept.count())).first()
+    if rows == texts:
+        return own
+    return own.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")  # some kept rows are repeated
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
