@@ -99,15 +99,20 @@ def split_chunks(tokens: Column, most: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / most).cast("int")), lambda i: F.slice(tokens, i * most + 1, most))
 
 
-def loss_scale(messages: Column, strategy: str = "default") -> Column:
-    """A weight per message: assistant turns 1 (`default`), only the last one (`last_round`), or every turn (`all`); a message's own `loss` wins if it has one."""
+def loss_scale(messages: Column, strategy: str = "default", own_loss: bool = False) -> Column:
+    """A weight per message: assistant turns 1 (`default`), only the last one (`last_round`), or every turn (`all`).
+
+    With own_loss (messages have a field `loss`), an assistant turn whose own is true or false weighs 1 or 0 instead, whatever the strategy.
+    """
     n = F.size(messages)
     base = {
         "all": lambda m, i: F.lit(1.0),
         "default": lambda m, i: (m["role"] == "assistant").cast("double"),
         "last_round": lambda m, i: ((m["role"] == "assistant") & (i == n - 1)).cast("double"),
     }[strategy]
-    return F.transform(messages, base)
+    if not own_loss:
+        return F.transform(messages, base)
+    return F.transform(messages, lambda m, i: F.when((m["role"] == "assistant") & m["loss"].isNotNull(), m["loss"].cast("double")).otherwise(base(m, i)))
 
 
 def override_system(messages: Column, system: Column) -> Column:

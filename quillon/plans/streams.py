@@ -8,17 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import streams as L
-from .common import table
+from .common import checkpoint_folder, table
 
 
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder beside the checkpoints, which all executors share."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, where: str, parts: int) -> DataFrame:

@@ -341,18 +341,43 @@ def test_matrix(spark):
 def test_concept_rules(spark):
     cap = "CT scan shows a left effusion. No pneumothorax is seen. Possible lung mass."
     raw = {"concepts": [
-        {"canonical": "CT scan", "mention": "CT scan"}, {"canonical": "pneumothorax", "mention": "pneumothorax"}, {"canonical": "lung mass", "mention": ""}, {"canonical": "red box", "mention": "x"},
-        {"canonical": "fracture", "mention": "fracture"}, {"canonical": "effusion", "mention": "left effusion", "laterality": "left", "type": "odd"}, {"canonical": "effusion", "mention": "left effusion", "laterality": "left"},
+        {"canonical": "CT scan", "mention": "CT scan", "type": "modality"}, {"canonical": "pneumothorax", "mention": "pneumothorax"}, {"canonical": "lung mass", "mention": ""}, {"canonical": "red box", "mention": "x"},
+        {"canonical": "fracture", "mention": "fracture"}, {"canonical": "effusion", "mention": "left effusion", "laterality": "left", "type": "odd"}, {"canonical": "effusion", "mention": "left effusion", "laterality": "left"}, {"canonical": " "},
     ]}
-    got, why = K.parse_concepts(json.dumps(raw), cap)
-    assert [(c["canonical"], c["status"], c["laterality"]) for c in got] == [("computed tomography", "present", "unspecified"), ("pneumothorax", "negated", "unspecified"), ("lung mass", "uncertain", "unspecified"), ("effusion", "present", "left")]
-    assert {"drop_artifact", "drop_unsupported_mention", "repair_type", "drop_duplicate", "normalize_synonym", "missing_mention_fallback"} <= set(why)
-    many = {"concepts": [{"canonical": f"w{i}", "mention": f"w{i}"} for i in range(12)]}
-    assert len(K.parse_concepts(json.dumps(many), " ".join(f"w{i}" for i in range(12)))[0]) == 8
-    assert K.parse_concepts("no json", "x") == ([], ["error"])
-    d = spark.createDataFrame([(json.dumps(raw), cap)], "r string, c string").select(K.parsed("r", "c").alias("p")).select(K.target(F.col("p.concepts")).alias("t")).first()
-    assert d.t == "computed tomography; negated: pneumothorax; uncertain: lung mass; left effusion"
-    assert K.resolve(["benign mass", "malignant mass", "effusion"], "a malignant mass, malignant; no effusion")[0] == ["malignant mass"]
+    many = {"concepts": [{"canonical": f"w{i}", "mention": f"w{i}"} for i in range(12)] + [{"canonical": "gone"}]}
+    rows = [(0, f"Sure: {json.dumps(raw)}.", cap), (1, json.dumps(many), " ".join(f"w{i}" for i in range(12))), (2, "no json", "x"), (3, None, None), (4, '{"concepts": 5}', "x"), (5, '{"concepts": []}', None)]
+    d = spark.createDataFrame(rows, "i int, r string, c string").withColumn("p", K.parsed(F.col("r"), F.col("c"))).select("i", "p.*", K.target(F.col("p.concepts")).alias("t"), K.parsed(F.col("r"), F.col("c"), strict=False)["concepts"].alias("old"))
+    got = {r.i: r for r in d.collect()}
+    assert [(c.canonical, c.status, c.laterality) for c in got[0].concepts] == [("computed tomography", "present", "unspecified"), ("pneumothorax", "negated", "unspecified"), ("lung mass", "uncertain", "unspecified"), ("effusion", "present", "left")]
+    assert got[0].repairs == ["normalize_synonym", "repair_negation", "missing_mention_canonical_fallback", "repair_uncertainty", "drop_artifact", "drop_unsupported_mention", "repair_type", "drop_duplicate"]
+    assert got[0].t == "computed tomography; negated: pneumothorax; uncertain: lung mass; left effusion"
+    assert [c.canonical for c in got[0].old] == ["CT scan", "pneumothorax", "lung mass", "red box", "effusion"]
+    assert len(got[1].concepts) == 8 and got[1].repairs == [] and len(got[1].old) == 12
+    assert all(got[i].error and got[i].concepts == [] and got[i].repairs == [] for i in (2, 3, 4)) and got[5].error is None and got[5].t == ""
+
+
+def test_concept_cues_sides_and_resolution(spark):
+    item = lambda can, mention=None, status=None, side=None, kind="finding": (can, kind, status, side, mention)
+    cap = "Effusion is possibly there on the left chest. The chest shows no signs of a large mass. Free of nodules! A cyst in the right and left lobes is clear, but does not show air"
+    cs = [item("effusion", "Effusion"), item("mass"), item("Nodules", "nodules", "maybe"), item("cyst", "cyst", "present", "odd"), item("air", "air"), item("chest", "left chest"), item("lobes", "right and left lobes", "present", "left"), item("Disease"), item("left side"), item("mass", "chest"), item("view", "bounding box")]
+    d = spark.createDataFrame([(cs, cap)], f"c array<{K.ITEM}>, t string")
+    r = d.select(K.repaired(F.col("c"), F.col("t")).alias("r"), F.transform(K.normalized(F.col("c"), F.col("t")), lambda c: F.concat_ws("/", c["canonical"], c["status"], c["laterality"])).alias("n"), F.transform("c", lambda c: K.uncertain_in_context(c, F.col("t"))).alias("u")).first()
+    # "no" ends four words before "mass"; five words part "possibly" from "chest", which is too far behind a cue for denial only
+    assert r.n[:7] == ["effusion/uncertain/unspecified", "mass/negated/unspecified", "Nodules/negated/unspecified", "cyst/present/unspecified", "air/negated/unspecified", "chest/uncertain/left", "lobes/present/left"]
+    assert [c.canonical for c in r.r.concepts] == ["effusion", "mass", "Nodules", "cyst", "air", "chest", "lobes"]
+    assert {"normalize_laterality_v3", "infer_laterality_v3", "drop_generic_exact_v3", "drop_position_template_v3", "exact_normalized_dedup_v3", "normalize_negated_v3"} <= set(r.r.repairs)
+    assert r.u[0] and not r.u[1]
+    names = [
+        (["Benign lesion", "malignancy", "effusion;"], "malignancy, a malignancy", "ct", ["malignancy", "effusion"], ["resolve_caption_internal_contradiction"]), (["benign lesion", "malignancy", "x"], "none named", "ct", ["x"], ["resolve_caption_internal_contradiction"]),
+        (["necrosis", "mass", "no edema"], "A mass without any sign of necrosis.", "ct", ["mass"], ["remove_explicitly_negated_concept", "remove_caption_negated_positive_concept"]), (["liver", "spleen", "lung", "brain"], "", "ct", ["liver", "spleen", "lung", "brain"], []),
+        (["liver", "spleen", "lung", "brain", "cyst"], "", "ct", ["cyst"], ["remove_obvious_background_organ_enumeration"]), (["liver", "spot"], "PET showing various organs: liver. A spot.", "PET", ["spot"], ["remove_pet_single_mention_background_organ"]), (["liver", "spot"], "PET showing various organs: uptake in the liver. A spot.", "PET", ["liver", "spot"], []),
+    ]
+    got = spark.createDataFrame([(i, n, t, m) for i, (n, t, m, _, _) in enumerate(names)], "i int, n array<string>, t string, m string").select("i", K.resolved(F.col("n"), F.col("t"), F.col("m")).alias("r")).collect()
+    for r in got:
+        assert (list(r.r.concepts), list(r.r.repairs)) == names[r.i][3:], names[r.i]
+
+
+def test_turn_pairs(spark):
     t = F.array(*[F.struct(F.lit(a).alias("from"), F.lit(b).alias("value")) for a, b in (("human", "q"), ("gpt", "r"), ("gpt", "lost"), ("human", "s"))])
     assert [(x["query"], x["response"]) for x in one(spark, p=K.turn_pairs(t)).p] == [("q", "r")]
 
