@@ -44,10 +44,17 @@ def bursts(log: DataFrame, group: list[str], order: list[str], hit: str, ident:
 
 
 def calls_in_window(log: DataFrame, group: list[str], ts: str, seconds: int) -> DataFrame:
-    """log with `in_window`: rows of the group in the trailing window, its far end excluded."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = W.partitionBy(*group).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return log.withColumn("_us", micros).withColumn("in_window", F.count("*").over(w)).drop("_us")
+    """log with `in_window`: rows of the group in the trailing window, its far end excluded.
+
+    Time is cut into spans of the window's length, and each row also stands in the next span for the rows there: so a group
+    of many rows is dealt by time. A row without a time counts none.
+    """
+    size = seconds * 1_000_000
+    timed = log.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    both = timed.withColumn("_ahead", F.explode(F.when(F.col("_us").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    w = W.partitionBy(*group, "_span").orderBy("_us").rangeBetween(-(size - 1), 0)
+    seen = both.withColumn("_span", F.floor(F.col("_us") / size) + F.col("_ahead")).withColumn("in_window", F.when(F.col("_us").isNotNull(), F.count("*").over(w)).otherwise(0))
+    return seen.filter("_ahead = 0").drop("_us", "_ahead", "_span")
 
 
 def debiased_ema(df: DataFrame, group: str, order: str, value: str, smooth: float) -> DataFrame:

@@ -99,10 +99,11 @@ def split_chunks(tokens: Column, most: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / most).cast("int")), lambda i: F.slice(tokens, i * most + 1, most))
 
 
-def loss_scale(messages: Column, strategy: str = "default", own_loss: bool = False) -> Column:
+def loss_scale(messages: Column, strategy: str = "default", own: tuple[str, ...] = ()) -> Column:
     """A weight per message: assistant turns 1 (`default`), only the last one (`last_round`), or every turn (`all`).
 
-    With own_loss (messages have a field `loss`), an assistant turn whose own is true or false weighs 1 or 0 instead, whatever the strategy.
+    `own` names the fields that messages have of `loss` and `loss_scale`: an assistant turn whose own `loss` is true or
+    false counts or doesn't, whatever the strategy, and one that counts weighs its own `loss_scale` where it has one.
     """
     n = F.size(messages)
     base = {
@@ -110,9 +111,16 @@ def loss_scale(messages: Column, strategy: str = "default", own_loss: bool = Fal
         "default": lambda m, i: (m["role"] == "assistant").cast("double"),
         "last_round": lambda m, i: ((m["role"] == "assistant") & (i == n - 1)).cast("double"),
     }[strategy]
-    if not own_loss:
-        return F.transform(messages, base)
-    return F.transform(messages, lambda m, i: F.when((m["role"] == "assistant") & m["loss"].isNotNull(), m["loss"].cast("double")).otherwise(base(m, i)))
+
+    def weight(m, i):
+        w = base(m, i)
+        if "loss" in own:
+            w = F.when((m["role"] == "assistant") & m["loss"].isNotNull(), m["loss"].cast("double")).otherwise(w)
+        if "loss_scale" in own:
+            w = F.when((m["role"] == "assistant") & (w > 0) & m["loss_scale"].isNotNull(), m["loss_scale"]).otherwise(w)
+        return w
+
+    return F.transform(messages, weight)
 
 
 def override_system(messages: Column, system: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def last_write(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row a key, the last by `order`: partial aggregation before the shuffle, no window."""
@@ -73,20 +75,43 @@ def hamming_pairs(df: DataFrame, key: str, high: str, low: str, radius: int, bit
     return x.join(y, match).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), distance.cast("long").alias("distance"))
 
 
+#: A key is hot if it has more than 1 / HOT_KEYS of all rows, and over HOT_ROWS: so there are fewer than HOT_KEYS hot keys in any table.
+HOT_KEYS, HOT_ROWS = 4096, 256
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with the one row of per_key that each key has; per_key's column n says how many rows of `rows` have the key.
+
+    The rows of hot keys meet theirs by a broadcast of fewer than HOT_KEYS rows, the others by a shuffle in which no key has more than
+    a 1 / HOT_KEYS share. Both tables are read several times, so they should be checkpoints. n is dropped.
+    """
+    total, most = per_key.agg(F.sum(n), F.max(n)).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= bound:
+        return rows.join(per_key.drop(n), key)
+    hot = F.broadcast(per_key.filter(F.col(n) > bound).drop(n))
+    rest = rows.join(hot, key, "left_anti").join(per_key.filter(F.col(n) <= bound).drop(n), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """(node, root), root the smallest node reachable: large-star and small-star rounds, each cut by a checkpoint."""
-    from ..plans.common import cut
+    """Connected components of long-valued edges: (node, root), root the smallest node.
 
+    Large-star and small-star steps in turn (Kiveris and others, 2014) until
+    nothing changes. Self-links are allowed. Each round is cut by checkpoints; a
+    centre of very many links is dealt out, as hot keys are.
+    """
     u, v = F.col("u"), F.col("v")
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(u.isNotNull() & (u != v)).distinct())
     nodes = e.select(u.alias("node")).union(e.select(v.alias("node"))).distinct()
     mark = None
     for _ in range(rounds):
         both = e.union(e.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter(v > u).select(v.alias("u"), F.col("m").alias("v")).filter(u != v).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(v.alias("u"), F.col("m").alias("v")).filter(u != v)
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = spread_join(both, low, "u", "n").filter(v > u).select(v.alias("u"), F.col("m").alias("v"))
+        large = cut(large.filter(F.col("u") != F.col("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, low, "u", "n").select(v.alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
         e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -101,8 +126,9 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
 def token_components(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     """(key, component): rows joined by shared tokens. Each row links to its token's smallest row: rows - 1 links a token."""
     flat = rows.select(F.col(key).alias("k"), F.explode(tokens).alias("t"))
-    hubs = flat.groupBy("t").agg(F.min("k").alias("hub"))
-    linked = components(flat.join(hubs, "t").select("k", "hub"), "k", "hub").select(F.col("node").alias(key), "root")
+    flat = cut(flat)
+    hubs = cut(flat.groupBy("t").agg(F.min("k").alias("hub"), F.count("*").alias("n")))
+    linked = components(spread_join(flat, hubs, "t", "n").select("k", "hub"), "k", "hub").select(F.col("node").alias(key), "root")
     return rows.select(key).join(linked, key, "left").select(key, F.coalesce("root", key).alias("component"))
 
 
@@ -137,3 +163,28 @@ def rank_ties(df: DataFrame, value: str, group: list[str] | None = None) -> Colu
     w = W.partitionBy(*(group or [])).orderBy(value)
     same = W.partitionBy(*(group or []), value)
     return F.rank().over(w) + (F.count("*").over(same) - 1) / 2.0
+
+
+def intersection(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """The distinct keys that stand in both (G3); nulls are equal."""
+    return a.select(*on).intersect(b.select(*on))
+
+
+def difference(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """The distinct keys of a that b lacks (G3); nulls are equal."""
+    return a.select(*on).subtract(b.select(*on))
+
+
+def with_replay(current: DataFrame, replay: DataFrame, keys: list[str]) -> DataFrame:
+    """current and replay rows with `origin` (G4); a key that stands in both is an error. Columns one side lacks are null."""
+    shared = intersection(current, replay, keys).limit(1).collect()
+    if shared:
+        raise ValueError(f"a row stands in both tables: {shared[0].asDict()}")
+    return current.withColumn("origin", F.lit("current")).unionByName(replay.withColumn("origin", F.lit("replay")), allowMissingColumns=True)
+
+
+def deletion_proof(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (G5): rows before and after, how many went, how many of the rows after weren't there before as often; `holds` if none."""
+    foreign = after.select(*before.columns).exceptAll(before).count()
+    n, m = before.count(), after.count()
+    return before.sparkSession.createDataFrame([(n, m, n - m, foreign, foreign == 0)], "n_before long, n_after long, n_removed long, n_foreign long, holds boolean")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsons import lenient
 from ..functions.text import split_by
 from .conversation import alpaca_query
 from .normalize import as_media
@@ -38,7 +39,8 @@ def ask(query: Column) -> Column:
 def choose(options: Column | list[str], *keys: str) -> Column:
     """One of the options by a hash of the row's keys."""
     arr = F.array(*map(F.lit, options)) if isinstance(options, list) else options
-    return F.element_at(arr, (F.pmod(F.xxhash64(*keys), F.size(arr).cast("long")) + 1).cast("int"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", *keys).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.element_at(arr, (number % F.size(arr) + 1).cast("int"))
 
 
 def _keep(df: DataFrame, messages: Column, *extra: Column) -> DataFrame:
@@ -442,3 +444,96 @@ def role_play(df: DataFrame) -> DataFrame:
 def speech(df: DataFrame) -> DataFrame:
     """Text to speak with its reference recording."""
     return _keep(df, F.array(say("user", F.col("text")), say("assistant", F.lit("<audio>"))), as_media(F.col("audio"), False).alias("audios"), as_media(F.col("ref_audio"), False).alias("ref_audios"))
+
+
+#: Words that mark other assistants' transcripts.
+OTHER_MARKS = ("moss", "human:", "assistant:", "user:")
+
+
+@rowfunc
+def without_marks(df: DataFrame, system: str = "You are a helpful assistant.") -> DataFrame:
+    """P5: the default system turn dropped; rows that carry another assistant's marks left out."""
+    first = F.get("messages", 0)
+    plain = F.when((first["role"] == "system") & (first["content"] == system), F.slice("messages", 2, F.greatest(F.size("messages") - 1, F.lit(0)))).otherwise(F.col("messages"))
+    held = lambda m: F.exists(F.array(*map(F.lit, OTHER_MARKS)), lambda w: F.contains(F.lower(m["content"]), w))
+    return _keep(df.withColumn("messages", plain).filter(~F.exists("messages", held)), F.col("messages"))
+
+
+@rowfunc
+def many_plugins(df: DataFrame) -> DataFrame:
+    """Rows whose leading system turn names more than one plugin."""
+    first = F.get("messages", 0)
+    names = F.array_distinct(F.regexp_extract_all(first["content"], F.lit(r'\d\. \{"plugin_name": "(.+?)"'), F.lit(1)))
+    return _keep(df.filter((first["role"] == "system") & (F.size(names) > 1)), F.col("messages"))
+
+
+@rowfunc
+def sql_create_context(df: DataFrame) -> DataFrame:
+    """Question, tables and answer as instruction, input and output."""
+    return _keep(df, pair(alpaca_query(F.col("question"), F.col("context")), F.col("answer")))
+
+
+@rowfunc
+def chat_rounds(df: DataFrame) -> DataFrame:
+    """The column `chat_rounds` is the conversation."""
+    return _keep(df, F.col("chat_rounds"))
+
+
+@rowfunc
+def dense_caption(df: DataFrame, prompts: list[str]) -> DataFrame:
+    """The global caption of a literal, a question by hash."""
+    caption = F.get_json_object(lenient(F.col("cap_seg")).cast("string"), "$.global_caption")
+    return _keep(df, pair(choose(prompts, "url"), caption), as_media(F.col("url"), False).alias("images"))
+
+
+@rowfunc
+def first_of_nested(df: DataFrame) -> DataFrame:
+    """The first question of a video and its answer."""
+    one = F.get("global", 0)
+    return _keep(df, pair(one["question"], one["answer"]), as_media(F.col("info.video_path"), False).alias("videos"))
+
+
+#: What can be done on a page.
+PAGE_TOOLS = (
+    ("CLICK", "Choose and click an element in the web page", {"element": "string, the element in the web page to click"}),
+    ("TYPE", "Input some text into a web element like <input> or <textbox>", {"element": "string, the element in the web page to input to", "content": "string, what content to input into the textbox element"}),
+    ("SELECT", "Select an element from a combobox", {"element": "string, the combobox or dropdown in the web page on which the select happens", "content": "string, which choices to choose"}),
+)
+
+
+@rowfunc
+def page_actions(df: DataFrame, order: str, session: str) -> DataFrame:
+    """One conversation a session, its rows in order: the page as question, the last action as answer; the task stands with index 0.
+
+    `session` names the conversation, as attempts.sessions numbers it from the rows of index 0.
+    """
+    steps = F.split("target_action_reprs", "->")
+    last = F.element_at(steps, -1)
+    colon = F.instr(last, ":")
+    what = F.when(colon > 0, F.concat(F.lit(","), F.trim(F.substr(last, colon + 1)))).otherwise("")
+    action = F.trim(F.when(colon > 0, F.substr(last, F.lit(1), colon - 1)).otherwise(last))
+    where = F.when(F.size(steps) > 1, F.trim(F.get(steps, 0))).otherwise("")
+    query = F.concat(F.lit("The snapshot of screen:<image>\nThe html source code:"), "cleaned_html", F.lit("\n"), F.when(F.col("target_action_index") == "0", F.concat(F.lit("\n"), "confirmed_task")).otherwise(""))
+    response = F.concat(F.lit("Action: "), action, F.lit("\nAction Input: "), where, what)
+    turns = df.select(session, F.struct(F.col(order).alias("o"), pair(query, response).alias("m"), F.col("screenshot").alias("image")).alias("t"))
+    listed = turns.groupBy(session).agg(F.array_sort(F.collect_list("t")).alias("t"))  # a session is one conversation
+    tools = F.array(*[F.to_json(F.struct(F.lit(n).alias("name"), F.lit(d).alias("desc"), F.struct(*[F.lit(v).alias(k) for k, v in p.items()]).alias("parameter"))) for n, d, p in PAGE_TOOLS])
+    return listed.select(session, F.flatten(F.transform("t", lambda x: x["m"])).alias("messages"), F.transform("t", lambda x: x["image"]).alias("images"), tools.alias("tools"))
+
+
+@rowfunc
+def caption_pairs(df: DataFrame) -> DataFrame:
+    """An image as anchor, its first caption as positive."""
+    return _keep(df, ask(F.lit("<image>")), F.array(ask(F.get("response", 0))).alias("positive_messages"))
+
+
+@rowfunc
+def caption_rerank(df: DataFrame, key: str, k: int = 7) -> DataFrame:
+    """The first caption as positive, k captions of other images from the whole pool as negatives."""
+    from .sampling import negatives
+
+    pool = df.select(F.explode("response").alias("item"))
+    met = negatives(df.select(key, "response"), pool, key, "response", "item", k)
+    other = met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: ask(x["item"])).alias("negative_messages"))  # k a row
+    nothing = F.array().cast("array<array<struct<role:string,content:string>>>")
+    return df.join(other, key, "left").select(key, ask(F.lit("<image>")).alias("messages"), F.array(ask(F.get("response", 0))).alias("positive_messages"), F.coalesce("negative_messages", nothing).alias("negative_messages"))

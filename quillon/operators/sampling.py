@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hash_order(seed: int | str, purpose: str, *keys: Column) -> Column:
@@ -22,17 +23,43 @@ def spread_rank(df: DataFrame, group: list[str], digest: str, ties: list[str], n
     A group's rows are ranked within the digest's first digits, and the counts of
     the lower prefixes are added: a group with a third of all rows is no hot task.
     """
-    own = df.withColumn("_b", F.substring(digest, 1, digits))
+    return _dealt_rank(df, group, F.substring(digest, 1, digits), [digest, *ties], name)
+
+
+def _dealt_rank(df: DataFrame, group: list[str], bucket: Column, order: list, name: str) -> DataFrame:
+    """Rank (from 1) in each group by an order that `bucket` follows: ranks within buckets, and the counts of the earlier ones added."""
+    own = df.withColumn("_b", bucket)
     counts = own.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1) if group else W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    ranked = own.withColumn("_r", F.row_number().over(W.partitionBy(*group, "_b").orderBy(digest, *ties)))
-    match = F.col("_b") == F.col("_c")
+    ranked = own.withColumn("_r", F.row_number().over(W.partitionBy(*group, "_b").orderBy(*order)))
+    match = F.col("_b").eqNullSafe(F.col("_c"))
     for i, g in enumerate(group):
         match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     return ranked.join(offsets, match).select(*df.columns, (F.col("_r") + F.col("_o")).cast("long").alias(name))
 
 
+def value_rank(df: DataFrame, group: list[str], values: list[tuple[str, bool]], digest: str, ties: list[str], name: str = "rank", cuts: int = 64) -> DataFrame:
+    """Rank (from 1) by numbers, each rising or falling (True), then by digest, dealt over ranges of the numbers.
+
+    Ranges end at approximate quantiles. A number that is a quantile has a range of its own, which the next number parts
+    further, and after the last one the digest's first digits: so neither a large group nor a frequent number is one task.
+    Null numbers come last.
+    """
+    parts: list[Column] = []
+    open_ = F.lit(True)  # all numbers so far stand alone in their range
+    points = df.approxQuantile([v for v, _ in values], [i / cuts for i in range(1, cuts)], 0.002)
+    for (v, falling), at in zip(values, points, strict=True):
+        ends = F.array(*[F.lit(float(x)) for x in sorted(set(at))]).cast("array<double>")
+        x = F.col(v).cast("double")
+        place = 2 * F.size(F.filter(ends, lambda e: e < x)) + F.array_contains(ends, x).cast("int")
+        parts.append(F.when(open_, F.coalesce(-place if falling else place, F.lit(1 << 30))))
+        open_ = open_ & F.coalesce(F.array_contains(ends, x), F.lit(False))
+    parts.append(F.when(open_, F.substring(digest, 1, 2)))
+    order = [F.desc_nulls_last(v) if falling else F.asc_nulls_last(v) for v, falling in values]
+    return _dealt_rank(df, group, F.struct(*parts), [*order, digest, *ties], name)
+
+
 def number_rank(df: DataFrame, key: str, name: str = "rank", buckets: int = 256) -> DataFrame:
     """Global rank (from 1) by a numeric unique key, dealt over ranges of the key."""
     low, high = df.agg(F.min(key), F.max(key)).first()
@@ -119,11 +146,10 @@ def tiered_select(df: DataFrame, key: str, cell: str, score: str, hardness: str,
     q = df.join(quotas.select(cell, "quota"), cell)
     high, mid = F.floor(F.col("quota") * 7 / 10), F.floor(F.col("quota") * 2 / 10)
     h = lambda p: hash_order(seed, p, F.col(key))
-    w = W.partitionBy(cell)
-    a = q.withColumn("_r", F.row_number().over(w.orderBy(F.desc(score), h("high"), key))).withColumn("_hi", F.col("_r") <= high)
-    b = a.withColumn("_r2", F.row_number().over(W.partitionBy(cell, "_hi").orderBy(h("diversity"), key))).withColumn("_mid", ~F.col("_hi") & (F.col("_r2") <= mid))
-    c = b.withColumn("_rest", ~F.col("_hi") & ~F.col("_mid"))
-    c = c.withColumn("_r3", F.row_number().over(W.partitionBy(cell, "_rest").orderBy(F.desc(hardness), F.asc(score), h("hard"), key))).withColumn("_hard", F.col("_rest") & (F.col("_r3") <= F.col("quota") - high - mid))
+    a = value_rank(q.withColumn("_h", h("high")), [cell], [(score, True)], "_h", [key], "_r").withColumn("_hi", F.col("_r") <= high)
+    b = spread_rank(a.withColumn("_h", h("diversity")), [cell, "_hi"], "_h", [key], "_r2").withColumn("_mid", ~F.col("_hi") & (F.col("_r2") <= mid))
+    c = b.withColumn("_rest", ~F.col("_hi") & ~F.col("_mid")).withColumn("_h", h("hard"))
+    c = value_rank(c, [cell, "_rest"], [(hardness, True), (score, False)], "_h", [key], "_r3").withColumn("_hard", F.col("_rest") & (F.col("_r3") <= F.col("quota") - high - mid))
     tier = F.when(F.col("_hi"), "high").when(F.col("_mid"), "diversity").when(F.col("_hard"), "hard")
     return c.withColumn("tier", tier).filter("tier is not null").select(*df.columns, "tier")
 
@@ -177,11 +203,34 @@ def prefix_fill(groups: DataFrame, order: list[str], size: str, target: int) ->
     return groups.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long")).filter(F.col("before") < target)
 
 
-def negatives(rows: DataFrame, pool: DataFrame, row_key: str, answer: str, item: str, k: int, blocks: int = 16, seed: int = 42) -> DataFrame:
-    """k pool items per row that aren't its own answer (F21): each row meets one hash block of the pool, not all of it."""
-    block = lambda purpose, c: F.pmod(F.xxhash64(F.lit(seed), F.lit(purpose), c), F.lit(blocks))
-    left = rows.withColumn("_b", block("row", F.col(row_key)))
-    right = pool.select(item).distinct().withColumn("_c", block("item", F.col(item)))
-    met = left.join(right, (F.col("_b") == F.col("_c")) & ~F.col(answer).eqNullSafe(F.col(item)))
-    r = F.row_number().over(W.partitionBy(row_key).orderBy(hash_order(seed, "negative", F.col(row_key), F.col(item)), item))
-    return met.withColumn("place", r.cast("long")).filter(F.col("place") <= k).drop("_b", "_c")
+def negatives(rows: DataFrame, pool: DataFrame, row_key: str, answer: str, item: str, k: int, seed: int = 42) -> DataFrame:
+    """k pool items per row that aren't among its own answers, `place` 1 to k.
+
+    The distinct items of the whole pool stand in a ring in hash order; a row takes the k next ones from a place given by its own
+    hash that aren't its answers. It looks at k items more than it has answers, so it finds k wherever the pool holds them, and
+    meets no more of the pool than that. `answer` is a column of one answer or of a list.
+    """
+    ring = spread_rank(pool.select(item).filter(F.col(item).isNotNull()).distinct().withColumn("_h", hash_order(seed, "pool", F.col(item))), [], "_h", [item], "_at").drop("_h")
+    n = ring.count()
+    listed = F.col(answer) if isinstance(rows.schema[answer].dataType, T.ArrayType) else F.array(answer)
+    first = F.conv(F.substring(hash_order(seed, "negative", F.col(row_key)), 1, 12), 16, 10).cast("long") % max(n, 1)
+    looks = F.least(F.lit(n), k + F.coalesce(F.size(listed), F.lit(0))).cast("int")
+    own = rows.withColumn("_own", listed).withColumn("_j", F.explode(F.sequence(F.lit(1), looks)) if n else F.explode(F.array().cast("array<int>")))
+    met = own.withColumn("_at", (first + F.col("_j") - 1) % max(n, 1) + 1).join(ring, "_at").filter(~F.coalesce(F.array_contains("_own", F.col(item)), F.lit(False)))
+    place = F.row_number().over(W.partitionBy(row_key).orderBy("_j")).cast("long")
+    return met.withColumn("place", place).filter(F.col("place") <= k).drop("_own", "_j", "_at")
+
+
+def task_quotas(tasks: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, quota): total div tasks for each distinct task, one more for the first total mod tasks in key order (F13). A small table."""
+    if total < 0:
+        raise ValueError("the budget must not be negative")
+    own = tasks.select(key).distinct()
+    n = own.count()
+    if n == 0:
+        return own.withColumn("quota", F.lit(0).cast("long"))
+    return number_tasks(own, key).withColumn("quota", (F.lit(total // n) + (F.col("_i") <= total % n).cast("int")).cast("long")).drop("_i")
+
+
+def number_tasks(tasks: DataFrame, key: str) -> DataFrame:
+    return tasks.withColumn("_i", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(key)))

@@ -55,10 +55,12 @@ def conv_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conv_loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Message weights by strategy."""
+    """Message weights by strategy; also with a message's own loss and weight, which follow from its length."""
     m = F.col("messages")
-    s = lambda k: F.array_join(F.transform(C.loss_scale(m, k), lambda x: x.cast("int").cast("string")), "")
-    return _conv(spark, sf_dir).select("conv_id", s("default").alias("by_default"), s("last_round").alias("last_round"), s("all").alias("all_turns"))
+    own = F.transform(m, lambda x: F.struct(x["role"].alias("role"), F.when(F.length(x["content"]) % 3 != 0, F.length(x["content"]) % 3 == 1).alias("loss"), F.when(F.length(x["content"]) % 2 == 0, F.lit(2.0)).alias("loss_scale")))
+    flat = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), "")
+    s = lambda k: flat(C.loss_scale(m, k))
+    return _conv(spark, sf_dir).select("conv_id", s("default").alias("by_default"), s("last_round").alias("last_round"), s("all").alias("all_turns"), flat(C.loss_scale(own, "last_round", ("loss", "loss_scale"))).alias("by_own"))
 
 
 def conv_system_override(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +123,8 @@ QUERIES = {
     "conv_truncate": (conv_truncate, r"""with t as (select conv_id, turn, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '') w from conversations)
         select conv_id, turn, array_to_string(w[1:12], ' ') as "right", array_to_string(w[greatest(len(w) - 11, 1):], ' ') as "left", greatest(ceil(len(w) / 12.0), 1)::bigint n_chunks from t"""),
     "conv_loss_mask": (conv_loss_mask, f"""with {_M} select conv_id, string_agg(case when role = 'assistant' then '1' else '0' end, '' order by turn) by_default,
-        string_agg(case when role = 'assistant' and i = n then '1' else '0' end, '' order by turn) last_round, repeat('1', max(n)::int) all_turns from m group by conv_id"""),
+        string_agg(case when role = 'assistant' and i = n then '1' else '0' end, '' order by turn) last_round, repeat('1', max(n)::int) all_turns,
+        string_agg(case when role <> 'assistant' then '0' when length(text) % 3 = 2 or (length(text) % 3 = 0 and i < n) then '0' when length(text) % 2 = 0 then '2' else '1' end, '' order by turn) by_own from m group by conv_id"""),
     "conv_system_override": (conv_system_override, f"""with {_M}, k as (select * from m where role <> 'system' and not (i = n and role = 'assistant'))
         select c.conv_id, md5(coalesce('system:You are careful.' || chr(10) || string_agg(k.role || ':' || k.text, chr(10) order by k.turn), 'system:You are careful.')) digest, 1 + count(k.turn) n
         from (select distinct conv_id from conversations) c left join k using (conv_id) group by c.conv_id"""),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..operators.conversation import has_system, to_messages, valid_messages
+from ..operators.sampling import hash_order, spread_rank
 
 SHARE = 0.5
 
@@ -16,9 +16,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = to_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")).filter(valid_messages(F.col("messages")))
     chars = F.aggregate("messages", F.lit(0).cast("long"), lambda a, m: a + F.length(m["content"]))
     base = conv.select("conv_id", has_system(F.col("messages")).alias("with_system"), chars.alias("chars"), F.size("messages").cast("long").alias("turns"))
-    w = W.partitionBy("with_system").orderBy(F.sha2(F.concat_ws("|", F.lit("42"), F.lit("flagship"), F.col("conv_id").cast("string")), 256), "conv_id")
-    ranked = base.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("with_system")))
-    kept = ranked.filter(F.col("rn") <= F.ceil(F.col("n") * SHARE))
+    ranked = spread_rank(base.withColumn("_h", hash_order(42, "flagship", F.col("conv_id"))), ["with_system"], "_h", ["conv_id"], "rn")
+    sizes = base.groupBy("with_system").agg(F.count("*").alias("n"))  # two rows
+    kept = ranked.join(F.broadcast(sizes), "with_system").filter(F.col("rn") <= F.ceil(F.col("n") * SHARE))
     return kept.groupBy("with_system").agg(
         F.count("*").alias("n_conversations"), F.sum("turns").alias("n_turns"), F.sum("chars").alias("n_chars"),
         F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"),

@@ -73,9 +73,10 @@ def _bits(base: int):
 
 
 def emb_hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors whose sign bits differ in 18 places at most (signs stand in for perceptual hashes)."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", _bits(32).alias("h"), _bits(0).alias("l"))
-    return J.hamming_pairs(e, "vec_id", "h", "l", 18)
+    """Perceptual hashes at most 4 bits apart; stand-in: two vectors share a digest, some of whose low bits are flipped by number."""
+    half = lambda at: F.conv(F.substring(F.md5(F.floor(F.col("vec_id") / 2).cast("string").cast("binary")), at, 8), 16, 10).cast("long")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", half(1).alias("h"), half(9).bitwiseXOR(F.expr("shiftleft(1L, cast(vec_id % 7 as int)) - 1")).alias("l"))
+    return J.hamming_pairs(e, "vec_id", "h", "l", 4)
 
 
 def doc_vocab_core(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +130,8 @@ QUERIES = {
         select doc_id from documents where doc_id not in (select doc_id from l where t in (select md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) from benchmark))"""),
     "doc_components": (doc_components, f"""with recursive {_SIDES}, h as (select token, min(doc_id) hub from t group by token), e as (select distinct doc_id a, hub b from t join h using (token)),
         ee as (select a, b from e union select b, a from e), r(a, b) as (select doc_id, doc_id from documents union select r.a, ee.b from r join ee on r.b = ee.a) select a doc_id, min(b) component from r group by a"""),
-    "emb_hamming_pairs": (emb_hamming_pairs, """with b as (select vec_id, list_sum(list_transform(range(0, 32), lambda i: case when embedding[i + 1] > 0 then (1::bigint << i) else 0 end))::bigint l, list_sum(list_transform(range(0, 32), lambda i: case when embedding[i + 33] > 0 then (1::bigint << i) else 0 end))::bigint h from embeddings)
-        select x.vec_id a, y.vec_id b, (bit_count(xor(x.h, y.h)) + bit_count(xor(x.l, y.l)))::bigint distance from b x join b y on x.vec_id < y.vec_id where bit_count(xor(x.h, y.h)) + bit_count(xor(x.l, y.l)) <= 18"""),
+    "emb_hamming_pairs": (emb_hamming_pairs, """with b as (select vec_id, ('0x' || substr(md5((vec_id // 2)::varchar), 1, 8))::bigint h, xor(('0x' || substr(md5((vec_id // 2)::varchar), 9, 8))::bigint, (1::bigint << (vec_id % 7)) - 1) l from embeddings)
+        select x.vec_id a, y.vec_id b, (bit_count(xor(x.h, y.h)) + bit_count(xor(x.l, y.l)))::bigint distance from b x join b y on x.vec_id < y.vec_id where bit_count(xor(x.h, y.h)) + bit_count(xor(x.l, y.l)) <= 4"""),
     "doc_vocab_core": (doc_vocab_core, """with w as (select unnest(regexp_extract_all(text, '[A-Za-z]+')) w from documents), s as (select lower(w) norm, w, count(*) c from w group by all), r as (select *, row_number() over (partition by norm order by c desc, w) k, sum(c) over (partition by norm) n from s)
         select norm, n::bigint n, w display from r where k = 1 and n >= 10"""),
     "doc_oov": (doc_oov, """with w as (select doc_id % 5 = 0 test, lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) w from documents), k as (select distinct w from w where not test), n as (select lang, w, count(*) c from w where test and w not in (from k) group by all)

@@ -1,4 +1,4 @@
-"""Queries of the packing operators over documents; a document's length is its characters over 4, shards are id mod 8."""
+"""Queries of the packing operators over documents; a document's length is its characters over 4, a shard is 500 ids, so its size is bounded."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ BUDGET = 2048
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("shard"), F.ceil(F.col("n_chars") / 4).alias("len"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 500).alias("shard"), F.ceil(F.col("n_chars") / 4).alias("len"))
 
 
 def doc_pack_next_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def doc_cached_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(F.array_max("lengths") <= 1000).select("doc_id")
 
 
-_N = """d as (select doc_id, doc_id % 8 shard, ceil(n_chars / 4.0)::bigint len, row_number() over (partition by doc_id % 8 order by doc_id) i from documents),
+_N = """d as (select doc_id, doc_id // 500 shard, ceil(n_chars / 4.0)::bigint len, row_number() over (partition by doc_id // 500 order by doc_id) i from documents),
   r as (select shard, doc_id, len, i, 0::bigint pack, case when len >= 2048 then 0 else len end used, len >= 2048 full_ from d where i = 1
     union all select d.shard, d.doc_id, d.len, d.i, r.pack + case when r.full_ or (r.used > 0 and r.used + d.len > 2048) then 1 else 0 end,
       case when (case when r.full_ or r.used + d.len > 2048 then d.len else r.used + d.len end) >= 2048 then 0 else (case when r.full_ or (r.used > 0 and r.used + d.len > 2048) then d.len else r.used + d.len end) end,
@@ -57,7 +57,7 @@ QUERIES = {
     "doc_pack_next_fit": (doc_pack_next_fit, f"with recursive {_N} select shard, doc_id, len, pack from r"),
     "doc_pack_bfd": (doc_pack_bfd, None),
     "doc_packed_rows": (doc_packed_rows, f"with recursive {_N} select shard, pack, sum(len)::bigint total, string_agg(doc_id::varchar, ',' order by doc_id) members from r group by all"),
-    "doc_rebalance": (doc_rebalance, """with recursive d as (select doc_id, doc_id % 8 shard, ceil(n_chars / 4.0)::bigint len, row_number() over (partition by doc_id % 8 order by doc_id) i from documents), t as (select shard, sum(len)::bigint t from d group by 1),
+    "doc_rebalance": (doc_rebalance, """with recursive d as (select doc_id, doc_id // 500 shard, ceil(n_chars / 4.0)::bigint len, row_number() over (partition by doc_id // 500 order by doc_id) i from documents), t as (select shard, sum(len)::bigint t from d group by 1),
         r as (select shard, 0::bigint i, t, null::bigint doc_id, null::bigint len, true dropped from t union all select r.shard, d.i, case when abs(r.t - d.len - 20000) < abs(r.t - 20000) then r.t - d.len else r.t end, d.doc_id, d.len, abs(r.t - d.len - 20000) < abs(r.t - 20000) from r join d on d.shard = r.shard and d.i = r.i + 1)
         select shard, doc_id, len from r where not dropped"""),
     "doc_length_batches": (doc_length_batches, """with r as (select doc_id, ceil(n_chars / 4.0) len, (row_number() over (order by sha256('42|length|' || doc_id::varchar), doc_id) - 1) // 64 mega from documents) select doc_id, mega, (row_number() over (partition by mega order by len desc, doc_id) - 1) // 8 as batch from r"""),

@@ -100,9 +100,14 @@ def doc_group_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """three other sources for each document (rows only: blocks use a Spark hash)."""
+    """three other sources for each document, from the pool of all sources."""
     d = _docs(spark, sf_dir, "source")
-    return S.negatives(d, d.select(F.col("source").alias("item")), "doc_id", "source", "item", 3, blocks=2)
+    return S.negatives(d, d.select(F.col("source").alias("item")), "doc_id", "source", "item", 3)
+
+
+def doc_task_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """equal quotas of 1,000 rows over the sources."""
+    return S.task_quotas(_docs(spark, sf_dir, "source").select("source"), "source", 1000)
 
 
 def rl_best_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +163,10 @@ QUERIES = {
     "doc_interleave": (doc_interleave, """with r as (select doc_id, case when lang = 'en' then 'a' else 'b' end origin from documents), d as (select *, row_number() over (partition by origin order by doc_id) / case when origin = 'a' then 0.75::double else 0.25::double end due from r),
         e as (select min(m) e from (select max(due) m from d group by origin)) select doc_id, origin, round(due, 6) due from d, e where due <= e"""),
     "doc_group_fill": (doc_group_fill, f"with {_S}, b as (select *, coalesce(sum(n) over (order by {_H('fill', 'source')}, source rows between unbounded preceding and 1 preceding), 0)::bigint as before from s) select source, n, before from b where before < 300"),
-    "doc_negatives": (doc_negatives, None),
+    "doc_negatives": (doc_negatives, f"""with p as (select item, row_number() over (order by {_H('pool', 'item')}, item) pl from (select distinct source item from documents)), m as (select count(*) n from p),
+        j as (select doc_id, source, n, unnest(range(1, least(n, 4) + 1)) j, ('0x' || substr({_H('negative')}, 1, 12))::bigint % n f from documents, m), r as (select doc_id, source, item, j from j join p on p.pl = (f + j - 1) % n + 1 where item is distinct from source)
+        select doc_id, source, item, place from (select *, row_number() over (partition by doc_id order by j) place from r) where place <= 3"""),
+    "doc_task_quotas": (doc_task_quotas, "with s as (select distinct source from documents), n as (select count(*) n from s) select source, (1000 // n + (row_number() over (order by source) <= 1000 % n)::int)::bigint quota from s, n"),
     "rl_best_of_n": (rl_best_of_n, """with a as (select l_orderkey, l_linenumber::bigint line, l_discount p, (l_returnflag = 'R')::int o, min(l_discount) over w lo, max(l_discount) over w hi, count(*) over w n from lineitem window w as (partition by l_orderkey)),
         b as (select *, case when lo = hi then case when lo = 0 then 0.0 else least(1.0, lo) end else (p - lo) / (hi - lo + 1e-5::double) end + o * 10.0 score from a),
         c as (select *, row_number() over (partition by l_orderkey order by score desc, line) place, last_value(line) over (partition by l_orderkey order by score desc, line rows between unbounded preceding and unbounded following) rejected from b)

@@ -23,11 +23,12 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, where: s
 
 
 def stream_pack_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L3: packs of documents in four micro-batches, an open bin carried over."""
+    """L3: packs of documents in four micro-batches, an open bin carried over; the last open bins come out at the end."""
     where = _scratch(spark)
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("shard"), F.ceil(F.col("n_chars") / 4).alias("len"))
     L.run_available(L.packed(_stream(spark, sf_dir, "documents", d, where, 4), "shard", "doc_id", "len", 2048), f"{where}/out", f"{where}/state")
-    return spark.read.schema("shard long, pack long, member long, length long").parquet(f"{where}/out")
+    done = spark.read.schema("shard long, pack long, member long, length long").parquet(f"{where}/out")
+    return done.unionByName(L.open_packs(spark, f"{where}/state"))
 
 
 def stream_burst(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
-"""A session with the settings the library is tested with."""
+"""A session with the settings the library is tested with, and checkpoints in the shared folder."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -30,3 +31,20 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) ->
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names. Where none is named, a local master (tests) gets a folder of its own, a cluster an error."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and go on from the files."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,9 +88,23 @@ def inventory(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     return both.withColumn("state", state)
 
 
-def number_rows(df: DataFrame, order: str, name: str = "index") -> DataFrame:
-    """An index by an explicit order, within each partition of the order's range."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(order)) - 1)
+def number_rows(df: DataFrame, order: str, name: str = "index", buckets: int = 256) -> DataFrame:
+    """df with an index from 0 by a numeric, unique order, worked out in ranges of the order."""
+    from ..operators.sampling import number_rank
+
+    return number_rank(df, order, name, buckets).withColumn(name, F.col(name) - 1)
+
+
+def write_indexed(df: DataFrame, order: str, path: str, name: str = "index", rows_per_part: int = 1_000_000) -> None:
+    """Rows with their number, sorted by it in a folder a range, so that reads by number touch few files."""
+    own = number_rows(df, order, name).withColumn("part", F.floor(F.col(name) / rows_per_part))
+    own.repartition("part").sortWithinPartitions(name).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def rows_at(spark: SparkSession, path: str, numbers: list[int], name: str = "index", rows_per_part: int = 1_000_000) -> DataFrame:
+    """The rows of these numbers: their ranges' folders alone are listed, and row groups without them skipped."""
+    parts = sorted({n // rows_per_part for n in numbers})
+    return spark.read.parquet(path).filter(F.col("part").isin(parts) & F.col(name).isin(numbers)).drop("part")
 
 
 def member_is_safe(name: str) -> bool:
@@ -99,6 +113,11 @@ def member_is_safe(name: str) -> bool:
     return not (name.startswith(("/", "\\")) or ".." in parts or (len(name) > 1 and name[1] == ":"))
 
 
+def safe_member(name: Column) -> Column:
+    """The same on a column of names."""
+    return ~(name.rlike(r"^[/\\]") | name.rlike(r"(?:^|[/\\])\.\.(?:[/\\]|$)") | name.rlike("^.:"))
+
+
 def archive_faults(spark: SparkSession, path: str) -> DataFrame:
     """(path, fault) of zip archives: unreadable ones, members with a wrong checksum, members that would leave the folder."""
     import io

@@ -32,8 +32,8 @@ def run_available(df: DataFrame, sink: str, checkpoint: str) -> None:
 def packed(df: DataFrame, shard: str, order: str, length: str, budget: int) -> DataFrame:
     """(shard, pack, member, length): packs of each micro-batch; the last unfilled bin stays in the state and joins the next batch (L3).
 
-    Rows of a batch are packed in order of `order`. What is still open at the end of the
-    stream is in the state: `flush_rows` sends it on by a last row of the full budget.
+    Rows of a batch are packed in order of `order`. What is still open when the stream ends
+    is read from the state by `open_packs`.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,6 +54,13 @@ def packed(df: DataFrame, shard: str, order: str, length: str, budget: int) -> D
     )
 
 
+def open_packs(spark: SparkSession, checkpoint: str, shard: str = "shard") -> DataFrame:
+    """(shard, pack, member, length): the bins that a stream of `packed` left open, from its state; with its output they hold every row (L3)."""
+    state = spark.read.format("statestore").load(checkpoint).select(F.col(f"key.{shard}").alias("shard"), F.col("value.groupState.*"))
+    each = state.select("shard", F.col("done").alias("pack"), F.explode(F.arrays_zip("ids", "sizes")).alias("x"))
+    return each.select("shard", "pack", F.col("x.ids").alias("member"), F.col("x.sizes").alias("length"))
+
+
 def bursts(df: DataFrame, key: str, order: str, hit: str, recent: int = 20) -> DataFrame:
     """(key, place, burst): three hits in a row, or five among a key's last `recent` rows; the state is those rows."""
 

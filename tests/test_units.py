@@ -458,7 +458,57 @@ def test_streamed_packs(spark):
         k = (r.shard, r["pack"])
         sums[k], sizes[k] = sums.get(k, 0) + r.length, sizes.get(k, 0) + 1
     assert rows and all(v <= 2048 or sizes[k] == 1 for k, v in sums.items())
-    assert len({r.member for r in rows}) == len(rows)
+    docs = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()}
+    assert sorted(r.member for r in rows) == sorted(docs)
+
+
+def test_streamed_packs_are_those_of_the_plain_fold(spark, tmp_path):
+    """Two runs of one stream, its open bins read from the state at the end: the packs of the same batches one after another."""
+    from quillon.streaming import streams as L
+
+    batches = [[(i, (i * 7919) % 29 + 1, i % 2) for i in range(40)], [(i, (i * 104729) % 31 + 1, i % 2) for i in range(40, 75)]]
+    for b in batches:
+        d = spark.createDataFrame(b, "id long, n long, shard long").coalesce(1)
+        d.write.mode("append").parquet(str(tmp_path / "in"))
+        L.run_available(L.packed(L.read_files(spark, str(tmp_path / "in"), d.schema), "shard", "id", "n", 32), str(tmp_path / "out"), str(tmp_path / "state"))
+    out = spark.read.schema("shard long, pack long, member long, length long").parquet(str(tmp_path / "out")).unionByName(L.open_packs(spark, str(tmp_path / "state")))
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.shard, r["pack"]), set()).add((r.member, r.length))
+    size = {i: n for b in batches for i, n, _ in b}
+    for shard in (0, 1):
+        packs = [p for packs in P.stream_packs(iter([[(i, n) for i, n, s in b if s == shard] for b in batches]), 32) for p in packs]
+        assert {frozenset((i, size[i]) for i in p) for p in packs} == {frozenset(x) for (s, _), x in got.items() if s == shard}
+
+
+def test_negatives_reach_the_whole_pool(spark):
+    rows = spark.range(3000).select("id", F.array((F.col("id") % 40).cast("string"), ((F.col("id") + 1) % 40).cast("string")).alias("own"))
+    pool = spark.range(40).select(F.col("id").cast("string").alias("item"))
+    got = S.negatives(rows, pool, "id", "own", "item", 7).groupBy("id", "own").agg(F.collect_set("item").alias("items"), F.max("place").alias("n")).collect()
+    assert len(got) == 3000 and all(r.n == 7 and len(r["items"]) == 7 and not set(r["items"]) & set(r.own) for r in got)
+    assert len({x for r in got for x in r["items"]}) == 40
+    few = S.negatives(rows.limit(3), pool.limit(3), "id", "own", "item", 7).groupBy("id").count().collect()
+    assert all(r["count"] <= 3 for r in few) and S.negatives(rows, pool.limit(0), "id", "own", "item", 7).count() == 0
+
+
+def test_value_rank_is_the_rank_by_window(spark):
+    """Frequent numbers, ties broken by digest, nulls last, rising and falling: as one window would rank."""
+    from pyspark.sql import Window as W
+
+    d = spark.range(4000).select("id", (F.col("id") % 3).alias("g"), F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 11 != 0, F.col("id") * 7919 % 1009).alias("v"), (F.col("id") % 5).cast("double").alias("w"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    got = S.value_rank(d, ["g"], [("v", True), ("w", False)], "h", ["id"], "r")
+    want = d.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(F.desc_nulls_last("v"), "w", "h", "id")).cast("long"))
+    assert got.count() == 4000 and got.exceptAll(want).count() == 0
+
+
+def test_tables_joined_with_replay(spark):
+    from quillon.operators import joins as J
+
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "id long, t string"), spark.createDataFrame([(2, None, 5)], "id long, t string, w int")
+    with pytest.raises(ValueError):
+        J.with_replay(a, b, ["id", "t"])
+    assert J.with_replay(a, b.withColumn("id", F.lit(3).cast("long")), ["id"]).count() == 3
+    assert [r.holds for r in J.deletion_proof(a, a.limit(1)).collect()] == [True] and [r.n_foreign for r in J.deletion_proof(a, a.union(a)).collect()] == [2]
 
 
 def test_resumed_stream_reads_only_what_is_new(spark, tmp_path):
