@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names. Where none is named, a local master (tests) gets a folder of its own, a cluster an error."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+from ..operators.joins import components, spread_join  # noqa: F401
+from ..session import cut  # noqa: F401
 
 
 #: Rows of an Arrow batch at most: texts are long, and both sides of the socket hold a batch.
@@ -31,60 +21,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_side(df: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows; beyond that, Spark joins by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-#: A key is hot if it has more than 1 / HOT_KEYS of all rows, and over HOT_ROWS: so there are fewer than HOT_KEYS hot keys in any table.
-HOT_KEYS, HOT_ROWS = 4096, 256
-
-
-def spread_join(rows: DataFrame, per_key: DataFrame, key: str, n: str) -> DataFrame:
-    """rows joined with the one row of per_key that each key has; per_key's column n says how many rows of `rows` have the key.
-
-    The rows of hot keys meet theirs by a broadcast of fewer than HOT_KEYS rows, the others by a shuffle in which no key has more than
-    a 1 / HOT_KEYS share. Both tables are read several times, so they should be checkpoints. n is dropped.
-    """
-    total, most = per_key.agg(F.sum(n), F.max(n)).first()
-    bound = max(HOT_ROWS, (total or 0) // HOT_KEYS)
-    if (most or 0) <= bound:
-        return rows.join(per_key.drop(n), key)
-    hot = F.broadcast(per_key.filter(F.col(n) > bound).drop(n))
-    rest = rows.join(hot, key, "left_anti").join(per_key.filter(F.col(n) <= bound).drop(n), key)
-    return rows.join(hot, key).unionByName(rest)
-
-
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """Connected components of long-valued edges: (node, root), root the smallest node.
-
-    Large-star and small-star steps in turn (Kiveris and others, 2014) until
-    nothing changes. Self-links are allowed. Each round is cut by checkpoints; a
-    centre of very many links is dealt out, as hot keys are.
-    """
-    u, v = F.col("u"), F.col("v")
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(u.isNotNull() & (u != v)).distinct())
-    nodes = e.select(u.alias("node")).union(e.select(v.alias("node"))).distinct()
-    mark = None
-    for _ in range(rounds):
-        both = e.union(e.select(v.alias("u"), u.alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-        large = spread_join(both, low, "u", "n").filter(v > u).select(v.alias("u"), F.col("m").alias("v"))
-        large = cut(large.filter(F.col("u") != F.col("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = spread_join(large, low, "u", "n").select(v.alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -9,6 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators import joins
 from quillon.llm import decontaminate, language, licenses, packing, pii, quality, secrets, shared, simhash, substring
 from quillon.llm.queries import tokenizer_path
 
@@ -396,8 +397,8 @@ def test_simhash(docs, empty, monkeypatch):
     least = {g: min((table[i][0] for i in range(len(table)) if group[i] == g and table[i][0] is not None), default=None) for g in group}
     want = collections.Counter((i, f"{f:016x}", least[group[k]]) for k, (i, f) in enumerate(table))
     for dense, hot in ((2048, 256), (1, 1)):
-        monkeypatch.setattr(shared, "HOT_ROWS", hot)
-        monkeypatch.setattr(shared, "HOT_KEYS", 4096 if hot > 1 else 1_000_000)
+        monkeypatch.setattr(joins, "HOT_ROWS", hot)
+        monkeypatch.setattr(joins, "HOT_KEYS", 4096 if hot > 1 else 1_000_000)
         out = simhash.near_duplicates(docs, dense=dense).select("doc_id", simhash.as_hex("fp").alias("f"), "component_id")
         assert counted(plain(out), "doc_id", "f", "component_id") == want
     assert simhash.near_duplicates(empty).count() == 0
@@ -406,8 +407,8 @@ def test_simhash(docs, empty, monkeypatch):
 @pytest.mark.parametrize("hot", [256, 3])
 def test_components_and_hot_keys(spark, monkeypatch, hot):
     """A star, a chain, a clique and self-links; with centres dealt out as hot keys and without."""
-    monkeypatch.setattr(shared, "HOT_ROWS", hot)
-    monkeypatch.setattr(shared, "HOT_KEYS", 1_000_000)
+    monkeypatch.setattr(joins, "HOT_ROWS", hot)
+    monkeypatch.setattr(joins, "HOT_KEYS", 1_000_000)
     edges = [(1000, i) for i in range(1, 60)] + [(2000 + i, 2001 + i) for i in range(40)] + [(3000 + i, 3000 + j) for i in range(8) for j in range(i)] + [(7, 7), (4000, 4000), (None, 5)]
     got = {r["node"]: r["root"] for r in plain(shared.components(spark.createDataFrame(edges, "a long, b long"), "a", "b"))}
     want = {1000: 1} | {i: 1 for i in range(1, 60)} | {2000 + i: 2000 for i in range(41)} | {3000 + i: 3000 for i in range(8)}
