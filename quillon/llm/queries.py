@@ -63,7 +63,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
     found = scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    places = F.array_join(F.transform("secrets", lambda x: F.concat_ws("+", x["char_start"].cast("string"), F.length(x["value"]).cast("string"))), ",")
+    places = F.array_join(F.transform("secrets", lambda x: F.concat_ws("+", x["char_start"].cast("string"), x["n_chars"].cast("string"))), ",")
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), places.alias("places"), F.sha2("redacted", 256).alias("redacted_sha256"))
 
 

@@ -8,8 +8,13 @@ findings (at most `MOST_FINDINGS`; by default a seeded list made here from the
 shapes of known keys and of known look-alikes) and becomes one column expression.
 Every candidate of a text is judged within the row, so nothing is shuffled.
 
+What is no candidate is never found: values shorter than 16 characters or without a
+digit, and each part of a value between dots or other marks is judged by itself.
+
 Cases: a null text stays null without findings; an empty text stays empty; a text
-of candidates only, repeated rows and very long texts need no special care; an
+of candidates only and repeated rows need no special care; in very long texts the
+work grows with the candidates, and the place of a finding costs one block of
+candidates and the number of blocks before it; an
 empty table gives an empty result; all other columns stay, but for those named
 like the three results, which give way to them.
 """
@@ -171,16 +176,26 @@ def _with_digit(c: str, r: random.Random) -> str:
     return c[:k] + r.choice(string.digits) + c[k + 1 :]
 
 
-def train(findings: list[tuple[str, str, str, int]] | None = None) -> list[RF.Node]:
-    """The forest from labelled findings (before, candidate, after, label)."""
-    rows = findings if findings is not None else made_findings()
+def labelled(findings: DataFrame, most: int = MOST_FINDINGS) -> list[tuple[str, str, str, int]]:
+    """Labelled findings of a table (before, candidate, after, label 0 or 1) for training: at most `most`, chosen by hash; rows with a null are left out."""
+    own = findings.select(F.substring("before", -BEFORE, BEFORE).alias("b"), F.col("candidate").cast("string").alias("c"), F.substring("after", 1, AFTER).alias("a"), F.col("label").cast("int").alias("y")).dropna()
+    return [(r["b"], r["c"], r["a"], r["y"]) for r in own.orderBy(F.xxhash64("b", "c", "a"), "c", "y").limit(most).collect()]
+
+
+def train(findings: DataFrame | list[tuple[str, str, str, int]] | None = None) -> list[RF.Node]:
+    """The forest from labelled findings: a table as `labelled` reads it, a list (before, candidate, after, label), or the made list."""
+    rows = made_findings() if findings is None else findings if isinstance(findings, list) else labelled(findings)
     if not rows or len(rows) > MOST_FINDINGS:
         raise ValueError(f"1 to {MOST_FINDINGS} labelled findings are needed")
     return RF.train([(plain_features(c, b, a), y) for b, c, a, y in rows])
 
 
+#: Lengths are added up in blocks of so many, so that the place of a finding costs its block and the blocks before it.
+BLOCK = 256
+
+
 def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5, model: list[RF.Node] | None = None) -> DataFrame:
-    """docs with `n_candidates`, `secrets` array<struct<value, score, char_start>> and `redacted` in place of each secret."""
+    """docs with `n_candidates`, `secrets` array<struct<char_start, n_chars, score>> (the values themselves go nowhere) and `redacted` in place of each secret."""
     model = model if model is not None else train()
     text = F.col("_scan.text")
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in RESULTS]).alias("_row"), F.struct(docs[text_col].cast("string").alias("text"), docs[text_col].rlike(SOME).alias("some")).alias("_scan"))
@@ -189,31 +204,23 @@ def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5, mod
         F.when(F.col("_scan.some"), F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))).alias("_found"),
         F.when(F.col("_scan.some"), F.split(text, CANDIDATE, -1)).alias("_parts"),
     )
-    each = F.transform(
-        F.sequence(F.lit(0), F.size("_found") - 1),
-        lambda i: F.struct(i.alias("i"), F.get("_found", i).alias("c"), F.substring(F.get("_parts", i), -BEFORE, BEFORE).alias("before"), F.substring(F.get("_parts", i + 1), 1, AFTER).alias("after")),
-    )
-    real = F.filter(each, lambda x: x["c"].rlike("[0-9]"))
-    listed = cut.select("_row", "_scan", "_found", "_parts", F.when(F.size("_found") > 0, real).alias("_each"))
-    featured = listed.withColumn("_each", F.transform("_each", lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c"), features(x["c"], x["before"], x["after"]).alias("f"))))
-    scored = featured.withColumn("_each", F.transform("_each", lambda x: F.struct(x["i"].alias("i"), x["c"].alias("value"), RF.expression(model, x["f"]).alias("score"))))
-    hit = F.filter("_each", lambda x: x["score"] >= threshold)
-    judged = scored.withColumn("_hit", hit).withColumn("_at", F.transform("_hit", lambda x: x["i"]))
-    # characters before candidate i: the parts up to it and the candidates before it
-    long = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    start = lambda i: long(F.slice("_parts", 1, i + 1)) + F.when(i > 0, long(F.slice("_found", 1, i))).otherwise(F.lit(0))
-    secrets = F.transform("_hit", lambda x: F.struct(x["value"].alias("value"), x["score"].alias("score"), start(x["i"]).alias("char_start")))
-    marks = F.map_from_arrays("_at", F.transform("_at", lambda i: F.lit(True)))
-    swapped = judged.withColumn("_marks", marks)
-    glued = F.array_join(
-        F.transform("_parts", lambda p, i: F.concat(p, F.when(F.col("_marks")[i].isNotNull(), F.lit(REDACTED)).otherwise(F.coalesce(F.get("_found", i), F.lit(""))))), ""
-    )
-    none = F.array().cast("array<struct<value:string,score:double,char_start:bigint>>")
-    return swapped.select(
-        "_row.*",
-        F.coalesce(F.size("_each"), F.lit(0)).cast("long").alias("n_candidates"),
-        F.coalesce(secrets, none).alias("secrets"),
-        F.when(F.size("_hit") > 0, glued).otherwise(text).alias("redacted"),
+    has_digit = lambda c: c.rlike("[0-9]")
+    around = lambda c, i: features(c, F.substring(F.get("_parts", i), -BEFORE, BEFORE), F.substring(F.get("_parts", i + 1), 1, AFTER))
+    featured = cut.withColumn("_f", F.transform("_found", lambda c, i: F.when(has_digit(c), around(c, i))))
+    scored = featured.withColumn("_score", F.transform("_f", lambda f: F.when(f.isNotNull(), RF.expression(model, f))))
+    # characters of each part with the candidate behind it, and of blocks of them
+    sums = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    lengths = scored.withColumn("_n", F.transform("_parts", lambda p, i: (F.length(p) + F.coalesce(F.length(F.get("_found", i)), F.lit(0))).cast("long")))
+    blocks = lengths.withColumn("_blocks", F.transform(F.sequence(F.lit(0), F.floor(F.size("_n") / BLOCK).cast("int")), lambda b: sums(F.slice("_n", b * BLOCK + 1, BLOCK))))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    start = lambda i: sums(F.slice("_blocks", 1, block(i))) + sums(F.slice("_n", block(i) * BLOCK + 1, i % BLOCK)) + F.length(F.get("_parts", i))
+    hits = F.filter(F.transform("_score", lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: x["s"] >= threshold)
+    secrets = F.transform(hits, lambda x: F.struct(start(x["i"]).alias("char_start"), F.length(F.get("_found", x["i"])).cast("long").alias("n_chars"), x["s"].alias("score")))
+    glued = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, F.when(F.get("_score", i) >= threshold, F.lit(REDACTED)).otherwise(F.coalesce(F.get("_found", i), F.lit(""))))), "")
+    none = F.array().cast("array<struct<char_start:bigint,n_chars:bigint,score:double>>")
+    listed = blocks.withColumn("_secrets", F.coalesce(secrets, none))
+    return listed.select(
+        "_row.*", F.coalesce(F.size(F.filter("_f", lambda f: f.isNotNull())), F.lit(0)).cast("long").alias("n_candidates"), F.col("_secrets").alias("secrets"), F.when(F.size("_secrets") > 0, glued).otherwise(text).alias("redacted"),
     ).withColumn("n_candidates", F.greatest("n_candidates", F.lit(0).cast("long")))
 
 
