@@ -7,8 +7,8 @@ bit's exponential loss by how often that bit is right for that language in
 training, and takes the language of least loss; a small lead over the second is
 flagged as ambiguous.
 
-Training reads at most about `sample_per_lang` rows of each language, chosen by a
-hash of the id; prediction reads whole texts, row by row, without a shuffle.
+Training reads at most about `sample_per_lang` rows of each of the `most_langs` most
+frequent languages, chosen by a hash of the id; prediction reads whole texts, row by row, without a shuffle.
 
 Cases: a null text, or one without a letter, is `und` with score 0; a table
 without usable labels makes every row `und`; one language only is always that
@@ -93,49 +93,60 @@ class Model:
         return (np.exp(-z) * self.trust[None]).sum(2)
 
 
-def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_per_lang: int, alpha: float = 0.5) -> Model:
-    """Learn from rows with a language, at most about sample_per_lang of each (documented bound, chosen by hash)."""
+def bit_weights(sums: np.ndarray, code: np.ndarray, alpha: float) -> np.ndarray:
+    """(GRAMS, bits) log ratios from (languages, GRAMS) counts."""
+    p = (sums + alpha) / (sums.sum(1, keepdims=True) + alpha * GRAMS)
+    return np.stack([np.log(p[code[:, b] > 0].mean(0)) - np.log(p[code[:, b] < 0].mean(0)) for b in range(code.shape[1])], 1).astype(np.float32)
+
+
+def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_per_lang: int, most_langs: int = 256, alpha: float = 0.5) -> Model:
+    """Learn from rows with a language, at most about sample_per_lang of each of the most_langs most frequent ones (documented bounds;
+    rows chosen by hash). A bit's trust is measured crosswise: the classifiers of either half of the sample on the other half."""
     rows = small_batches(docs).select(docs[id_col].alias("k"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     langs = sorted(sizes)
     code = codewords(len(langs))
     if code.shape[1] == 0:
         return Model(langs, code, np.zeros((GRAMS, 0), np.float32), np.ones(code.shape, np.float32))
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_per_lang / v)))])
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("lang")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    number = lambda salt, n: F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(salt)), F.lit(n))
+    picked = rows.filter(number("lang", 1 << 20) < share[F.col("lang")] * (1 << 20)).select("text", "lang", number("half", 2).alias("half"))
     index = {x: i for i, x in enumerate(langs)}
 
+    def labels(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([index[x] for x in batch.column(1).to_pylist()], np.int64), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(langs), GRAMS), np.int64)
+        sums = np.zeros((2, len(langs), GRAMS), np.int64)
         for batch in task_batches(batches):
-            lang = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
+            lang, half = labels(batch)
             for i, j, counts, _, _ in counted(batch.column(0)):
-                np.add.at(sums, lang[i:j], counts)
-        keep = np.flatnonzero(sums.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array([sums[i] for i in keep], pa.list_(pa.int64()))], ["lang", "grams"])
-
-    # one row of fixed length per language and task of the bounded sample, summed where they meet
-    got = picked.select("text", "lang").mapInArrow(run, "lang long, grams array<long>")
-    sums = np.zeros((len(langs), GRAMS), np.float64)
-    each = got.select("lang", F.posexplode("grams").alias("g", "c")).filter("c > 0").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+                np.add.at(sums, (half[i:j], lang[i:j]), counts)
+        half, lang = np.nonzero(sums.sum(2))
+        yield pa.RecordBatch.from_arrays([pa.array(half), pa.array(lang), pa.array(list(sums[half, lang]), pa.list_(pa.int64()))], ["half", "lang", "grams"])
+
+    # two rows of fixed length per language and task of the bounded sample, summed where they meet
+    got = picked.mapInArrow(run, "half long, lang long, grams array<long>")
+    sums = np.zeros((2, len(langs), GRAMS), np.float64)
+    each = got.select("half", "lang", F.posexplode("grams").alias("g", "c")).filter("c > 0").groupBy("half", "lang", "g").agg(F.sum("c").alias("c"))
     table = each.toArrow()
-    sums[table["lang"].to_numpy(), table["g"].to_numpy()] = table["c"].to_numpy()
-    p = (sums + alpha) / (sums.sum(1, keepdims=True) + alpha * GRAMS)
-    weights = np.stack([np.log(p[code[:, b] > 0].mean(0)) - np.log(p[code[:, b] < 0].mean(0)) for b in range(code.shape[1])], 1).astype(np.float32)
-    model = Model(langs, code, weights, np.ones(code.shape, np.float32))
+    sums[table["half"].to_numpy(), table["lang"].to_numpy(), table["g"].to_numpy()] = table["c"].to_numpy()
+    model = Model(langs, code, bit_weights(sums.sum(0), code, alpha), np.ones(code.shape, np.float32))
+    crosswise = [Model(langs, code, bit_weights(sums[1 - h], code, alpha), model.trust) for h in (0, 1)]
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, seen = np.zeros(code.shape, np.int64), np.zeros(len(langs), np.int64)
         for batch in task_batches(batches):
-            lang = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
+            lang, half = labels(batch)
             for i, j, counts, _, _ in counted(batch.column(0)):
-                np.add.at(right, lang[i:j], model.margins(counts) * code[lang[i:j]] > 0)
+                margins = np.where((half[i:j] == 0)[:, None], crosswise[0].margins(counts), crosswise[1].margins(counts))
+                np.add.at(right, lang[i:j], margins * code[lang[i:j]] > 0)
                 np.add.at(seen, lang[i:j], 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(langs))), pa.array(seen), pa.array(list(right), pa.list_(pa.int64()))], ["lang", "n", "right"])
 
     trust = np.ones(code.shape)
-    tested = picked.select("text", "lang").mapInArrow(test, "lang long, n long, right array<long>")
+    tested = picked.mapInArrow(test, "lang long, n long, right array<long>")
     bits = [F.sum(F.get("right", F.lit(b))).alias(f"b{b}") for b in range(code.shape[1])]
     for r in tested.groupBy("lang").agg(F.sum("n").alias("n"), *bits).collect():
         trust[r["lang"]] = [(r[f"b{b}"] + 1) / (r["n"] + 2) for b in range(code.shape[1])]
