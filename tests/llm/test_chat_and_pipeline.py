@@ -144,7 +144,7 @@ def test_entry_imports_without_this_folder(tmp_path):
         "class No:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name == 'corpus_pipeline' or name.startswith('quillon.llm'):\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, No())\n"
         "import __spark_entry__ as e\n"
         "q = e.queries()\n"

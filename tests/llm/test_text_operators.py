@@ -156,6 +156,26 @@ def test_quality_rejects_noise_of_any_length_and_part(spark):
     assert all(got[i] for i in range(len(bad), len(bad + good)))
 
 
+def test_quality_rejects_random_characters():
+    """Words of random letters and digits, printable ASCII and base64 at every length; of hexadecimal digits only where they are long."""
+    import base64
+    import random
+    import string
+
+    import zstandard
+
+    r, z = random.Random(4), zstandard.ZstdCompressor(level=3)
+    random_of = lambda chars, k: lambda: "".join(r.choice(chars) for _ in range(k))
+    kinds = {"hex": random_of("0123456789abcdef", 8), "base64": lambda: base64.b64encode(r.randbytes(6)).decode(), "letters": random_of(string.ascii_letters + string.digits, 9), "printable": random_of(string.printable[:94], 9)}
+    for kind, word in kinds.items():
+        for n in (300, 500, 888, 1500, 3000, 3333, 4066, 8000, 16000, 40000, 82000):
+            text = " ".join(word() for _ in range(n // 8))[:n].encode()
+            ratio, out = quality.compression(text, z)
+            low, high = quality.band(text)
+            fits = low <= ratio <= high and out <= quality.CHUNK_SHARE
+            assert not fits or (kind == "hex" and n < 40000), (kind, n, ratio)
+
+
 # ---- packing
 
 
