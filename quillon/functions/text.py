@@ -136,8 +136,11 @@ def concept_set(x: Column, delimiters: str = r"[;\n,]+", core: bool = False) ->
 
 def ngrams(w: Column, n: int) -> Column:
     """Runs of n words, joined by a space; empty for fewer words."""
-    last = F.size(w) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    runs = F.greatest(F.size(w) - (n - 1), F.lit(0))
+    joined = F.slice(w, 1, runs)
+    for j in range(1, n):  # word j of each run beside the words before it: no run is cut out by itself
+        joined = F.zip_with(joined, F.slice(w, j + 1, runs), lambda a, b: F.concat(a, F.lit(" "), b))
+    return joined
 
 
 def bigram_ratio(x: Column) -> Column:
