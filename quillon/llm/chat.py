@@ -8,7 +8,9 @@ with their end marks.
 A dialogue is rendered in segments of `turns_per_segment` turn numbers, so a very
 long one is shared by many tasks; `char_start` is where the segment's text begins
 in the whole rendering, and the segments in order are the rendering. Nearly all
-dialogues are one segment.
+dialogues are one segment. Segments' lengths come from sums over their turns, so
+that no text is shuffled or gathered once it is rendered: only a row of numbers a
+segment and speaker goes through the window.
 
 Cases: a null text is empty; a null role is the participant `unknown`; a null turn
 comes first; rows that agree in conversation and turn are ordered by role and
@@ -41,16 +43,17 @@ def rotate(
         F.coalesce(turns[role_col].cast("string"), F.lit("unknown")).alias("role"), F.coalesce(turns[text_col].cast("string"), F.lit("")).alias("text"),
     )
     own = own.withColumn("segment", F.coalesce(F.floor(F.col("turn") / turns_per_segment), F.lit(-1)).cast("long"))
-    speakers = own.filter(F.col("role") != system).groupBy("conv_id", F.col("role").alias("speaker")).agg(F.count("*").alias("all_own"))
     listed = own.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    both = listed.alias("a").join(speakers.alias("b"), F.expr("a.conv_id <=> b.conv_id")).select("a.conv_id", "speaker", "segment", "t")
+    grid = _places(own, system)
+    same = F.expr("a.conv_id <=> b.conv_id and a.segment = b.segment")
+    both = listed.alias("a").join(grid.alias("b"), same).select("a.conv_id", "speaker", "a.segment", "t", "char_start")
 
     def head(x):
         named = F.concat(F.lit("user name="), _name(x["role"]))
         return F.concat(F.lit(START), F.when(x["role"] == system, F.lit("system")).when(x["role"] == F.col("speaker"), F.lit("assistant")).otherwise(named), F.lit("\n"))
 
     parts = F.transform("t", lambda x: F.struct(head(x).alias("head"), F.concat(x["text"], F.lit(END)).alias("body"), (x["role"] == F.col("speaker")).alias("own")))
-    shaped = both.select("conv_id", "speaker", "segment", parts.alias("parts"))
+    shaped = both.select("conv_id", "speaker", "segment", "char_start", parts.alias("parts"))
     text = F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["body"])), "")
     span = "array<struct<from:bigint,to:bigint>>"
     run = F.aggregate(
@@ -60,12 +63,26 @@ def rotate(
             F.when(x["own"], F.array_append(a["spans"], F.struct((a["at"] + F.length(x["head"])).alias("from"), (a["at"] + F.length(x["head"]) + F.length(x["body"])).alias("to")))).otherwise(a["spans"]).alias("spans"),
         ),
     )
-    done = shaped.select(
+    return shaped.select(
         "conv_id", "speaker", "segment", F.size("parts").cast("long").alias("n_turns"),
-        F.size(F.filter("parts", lambda x: x["own"])).cast("long").alias("n_own"), text.alias("text"), run["spans"].alias("spans"),
+        F.size(F.filter("parts", lambda x: x["own"])).cast("long").alias("n_own"), text.alias("text"), run["spans"].alias("spans"), "char_start",
     )
+
+
+def _places(own: DataFrame, system: str) -> DataFrame:
+    """(conv_id, segment, speaker, char_start): a rendering's length before each segment, from sums by segment and role."""
+    named = F.when(F.col("role") == system, F.lit(len("system"))).otherwise(F.length(F.concat(F.lit("user name="), _name(F.col("role")))))
+    marks = len(START) + len("\n") + len(END)
+    by_role = own.groupBy("conv_id", "segment", "role").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    by_role = by_role.select("*", named.cast("long").alias("head"))
+    segments = by_role.groupBy("conv_id", "segment").agg(F.sum(F.col("chars") + F.col("n") * (F.col("head") + marks)).alias("all"))
+    spoken = by_role.filter(F.col("role") != system).select("conv_id", "segment", F.col("role").alias("speaker"), (F.col("n") * (F.lit(len("assistant")) - F.col("head"))).alias("more"))
+    speakers = spoken.select("conv_id", "speaker").distinct()
+    each = segments.alias("s").join(speakers.alias("p"), F.expr("s.conv_id <=> p.conv_id")).select("s.conv_id", "segment", "speaker", "all")
+    on = F.expr("e.conv_id <=> o.conv_id and e.segment = o.segment and e.speaker = o.speaker")
+    sized = each.alias("e").join(spoken.alias("o"), on, "left").select("e.conv_id", "e.segment", "e.speaker", (F.col("all") + F.coalesce("more", F.lit(0).cast("long"))).alias("size"))
     before = W.partitionBy("conv_id", "speaker").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    return done.withColumn("char_start", F.coalesce(F.sum(F.length("text").cast("long")).over(before), F.lit(0).cast("long")))
+    return sized.select("conv_id", "segment", "speaker", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")).alias("char_start"))
 
 
 SQL = r"""

@@ -39,7 +39,7 @@ def rendered(table, size=256):
 TURNS = [
     (1, 0, "system", "Be kind."), (1, 1, "user", "Hi"), (1, 2, "assistant", "Hello é"), (1, 2, "assistant", "Hello é"), (1, 3, "bob|x", None), (2, 5, None, "who"), (2, None, "user", "first"),
     (3, 0, "system", "alone"), (None, 0, "user", "a"), (None, 1, "assistant", ""),
-] + [(4, i, "ab"[i % 2], f"turn {i}") for i in range(50)]
+] + [(4, i, "ab"[i % 2], f"turn {i}") for i in range(50)] + [(5, i * i, ("system", "ann", "b", "a longer name")[i // 5], "é" * i) for i in range(20)]
 
 
 def test_rotation(spark):
