@@ -14,9 +14,9 @@ to hash ranges of about `edges_per_bucket`; the smallest id of each edge is foun
 there, and repeated edges go back to their lots with their sources' coordinates.
 (3) A lot's repeated edges are compacted to paths, those of a document with one
 source packed together. (4) They join their source documents, which give a
-128-bit digest of the words at the paths. A source of a third of all paths is a
+128-bit digest of the words at each path. A source of a third of all paths is a
 skewed join key, which adaptive execution splits; nothing is gathered by source.
-(5) They join their own documents: where the digest of the words there agrees,
+(5) They join their own documents: where a path's words there have the same digest,
 the words go. Both joins use one shuffle of the compressed texts.
 
 Edges meet by 64-bit hashes. Unequal edges that collide (about n*n / 2**65 pairs
@@ -24,8 +24,10 @@ among n edges; 0.0005 at 1.4e8) fail the comparison of words, so a collision can
 leave a passage in place but never removes one.
 
 Cases: a null, empty or short text has no edge and keeps its words; repeated
-rows have equal ids and don't repeat each other; rows with a null id are cleaned
-of nothing and repeat nothing; an empty table gives an empty result; other
+rows have equal ids and don't repeat each other; where rows of different texts
+share an id, each path is proved by the row it came from (one that passes from one
+such row to another at neighbouring places is left in place); rows with a null id
+are cleaned of nothing and repeat nothing; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -264,15 +266,22 @@ def unpack(paths: bytes) -> np.ndarray:
     return np.frombuffer(paths, "<u4").reshape(3, -1).astype(np.int64)
 
 
-def proof(words: list[bytes], starts: np.ndarray, lengths: np.ndarray) -> bytes | None:
-    """A digest of the words in the spans, null if a span reaches beyond them."""
-    if len(starts) and int((starts + lengths).max()) > len(words):
-        return None
-    h = hashlib.blake2b(digest_size=16)
+#: Bytes of a path's digest.
+PROOF = 16
+
+
+def proofs(words: list[bytes], starts: np.ndarray, lengths: np.ndarray) -> bytes:
+    """A digest of the words in each span, one after another; zeros for a span that reaches beyond them."""
+    out = []
     for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-        h.update(b" ".join(words[a : a + n]))
-        h.update(b"\n")
-    return h.digest()
+        out.append(hashlib.blake2b(b" ".join(words[a : a + n]), digest_size=PROOF).digest() if a + n <= len(words) else bytes(PROOF))
+    return b"".join(out)
+
+
+def proved(own: bytes, source: bytes) -> np.ndarray:
+    """Which spans have the same words at both places."""
+    a, b = (np.frombuffer(x, np.uint64).reshape(-1, PROOF // 8) for x in (own, source))
+    return (a == b).all(axis=1) & a.any(axis=1)
 
 
 def bucket_count(docs: DataFrame, text_col: str, edges_per_bucket: int, lot_words: int, chars_per_word: int = 6) -> int:
@@ -315,24 +324,24 @@ def _zipped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def with_proofs(paths: DataFrame, zipped: DataFrame, k: int) -> DataFrame:
-    """(of, row, paths, proof): paths with the digest of the words at their source."""
+    """(of, row, paths, proof): paths with the digests of the words at their source, from each row that has the source's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
         for batch in task_batches(batches):
-            last, words, proofs = None, [], []
+            last, words, found = None, [], []
             for text, packed in zip(batch.column(3), batch.column(2), strict=True):
                 text = text.as_py()
                 if text != last:
                     last, words = text, z.decompress(text).split()
                 p = unpack(packed.as_py())
-                proofs.append(proof(words, p[2], p[1] + (k - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(proofs, pa.binary())], ["of", "row", "paths", "proof"])
+                found.append(proofs(words, p[2], p[1] + (k - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["of", "row", "paths", "proof"])
 
     met = paths.select(F.col("doc_id").alias("of"), F.col("digest").alias("row"), "src", "paths").join(zipped, F.col("src") == F.col("id"))
-    return met.select("of", "row", "paths", "zipped", "digest").mapInArrow(run, "of long, row long, paths binary, proof binary").filter("proof is not null")
+    return met.select("of", "row", "paths", "zipped", "digest").mapInArrow(run, "of long, row long, paths binary, proof binary")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, edges_per_bucket: int = 800_000, lot_words: int = LOT_WORDS) -> DataFrame:
@@ -354,8 +363,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 sure = []
                 for x in batch.column(2)[r].as_py() or ():
                     p = unpack(x["paths"])
-                    if proof(words, p[0], p[1] + (k - 1)) == x["proof"]:
-                        sure.append(p[:2])
+                    sure.append(p[:2, proved(proofs(words, p[0], p[1] + (k - 1)), x["proof"])])
                 if sure:
                     gone = paths_cover(n, *np.concatenate(sure, axis=1), k)
                     words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]

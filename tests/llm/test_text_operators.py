@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,23 @@ def test_substring_boundary(spark):
     assert counted(got, "doc_id", "n_words", "n_removed", "text") == removed(table)
 
 
+def test_substring_where_ids_repeat(spark):
+    """Rows of different texts under one id: passages of both go from a later document, each proved by the row it came from."""
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    table = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(["x", *a[5:25], "y", *b[30:55], "z", *a[40:52]])), (3, " ".join([*b[3:20], *a[3:20]])), (1, " ".join([*a[10:30], *b[:9]]))]
+    for sizes in ({}, {"lot_words": 70}):
+        got = plain(substring.remove_repeats(spark.createDataFrame(table, "doc_id long, text string").repartition(4), **sizes))
+        assert counted(got, "doc_id", "n_words", "n_removed", "text") == removed(table)
+
+
+def test_substring_proofs():
+    words = [b"a", b"bc", b"d"]
+    own = substring.proofs(words, np.array([0, 1, 2]), np.array([2, 2, 2]))
+    other = substring.proofs([b"a", b"bc", b"e"], np.array([0, 1, 2]), np.array([2, 2, 2]))
+    assert substring.proved(own, other).tolist() == [True, False, False]
+    assert substring.proved(own, own).tolist() == [True, True, False]  # a span beyond the words is never proved
+
+
 # ---- quality
 
 
@@ -260,7 +278,6 @@ def repeat_words(t, k=8):
 
 def test_colliding_word_hashes_do_not_count(monkeypatch):
     """With hashes of three bits the numbers of words and the repeated windows stay those of the words."""
-    import numpy as np
     import pyarrow as pa
 
     from quillon.llm import textbytes
@@ -519,7 +536,6 @@ def test_pigeonring_finds_all_links():
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(40)]
     fps = sorted({b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in range(7) for _ in range(3)})
-    import numpy as np
 
     chains = simhash.chain_masks(4)
     parts = simhash.segments(4)
