@@ -54,9 +54,9 @@ def words(x: Column) -> Column:
     return F.filter(F.split(x, WS), lambda w: w != "")
 
 
-def sentences(x: Column, ends: str = ".!?") -> Column:
-    """Pieces after which one of `ends` and white space stand."""
-    return F.split(x, f"(?<=[{ends}]){WS}")
+def sentences(x: Column, ends: str = ".!?", lines: bool = False) -> Column:
+    """Pieces after which one of `ends` and white space stand, with `lines` also those that end with a line."""
+    return F.split(x, f"(?<=[{ends}]){WS}" + (r"|\n+" if lines else ""))
 
 
 def clean_caption(x: Column) -> Column:

@@ -133,7 +133,8 @@ class Aggregate:
     def __init__(self, zero: Callable[[], object], update: Callable, merge: Callable, compute: Callable):
         self.zero, self.update, self.merge, self.compute = zero, update, merge, compute
 
-    def run(self, df: DataFrame) -> dict:
+    def run(self, df: DataFrame, fan: int = 64) -> dict:
+        """compute of all rows' state: partitions' states merge in `fan` tasks, and the driver gets one of each."""
         import functools
         import json
 
@@ -143,8 +144,11 @@ class Aggregate:
                 state = self.update(state, f)
             yield pd.DataFrame({"state": [json.dumps(state)]})
 
-        states = [json.loads(r.state) for r in df.mapInPandas(part, "state string").collect()]  # one row a partition
-        return self.compute(functools.reduce(self.merge, states, self.zero()))
+        def meet(frames):
+            yield pd.DataFrame({"state": [json.dumps(functools.reduce(self.merge, (json.loads(s) for f in frames for s in f["state"]), self.zero()))]})
+
+        states = df.mapInPandas(part, "state string").repartition(fan).mapInPandas(meet, "state string")  # a row a partition is shuffled
+        return self.compute(functools.reduce(self.merge, (json.loads(r.state) for r in states.collect()), self.zero()))
 
 
 class Registry:

@@ -129,6 +129,18 @@ def classify(df: DataFrame, labels: list[str], task: str, paired: bool) -> DataF
     return _keep(df.filter("label is not null"), pair(put(CLS_PAIR if paired else CLS_ONE, **names), F.element_at(F.array(*map(F.lit, labels)), F.col("label") + 1)))
 
 
+@rowfunc
+def labelled(df: DataFrame) -> DataFrame:
+    """A question with its label as a number; a null label drops the row."""
+    return _keep(df.filter("label is not null"), ask(F.col("query")), F.col("label").cast("int").alias("label"))
+
+
+@rowfunc
+def generation(df: DataFrame, template: str) -> DataFrame:
+    """The query stands in the template's {{QUERY}}."""
+    return _keep(df, pair(put(template, QUERY=F.col("query")), F.col("response")))
+
+
 @rowfunc
 def text_to_sql(df: DataFrame) -> DataFrame:
     """P10."""

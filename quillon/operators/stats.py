@@ -122,3 +122,9 @@ def weighted_ledger(df: DataFrame, group: list[str], weight: str, gain: str) ->
     """Sum of weight * gain, effective sample size and largest share."""
     w = F.col(weight)
     return df.groupBy(*group).agg(F.sum(w * F.col(gain)).alias("gain"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"), (F.max(w) / F.sum(w)).alias("max_share"))
+
+
+def exact_match(df: DataFrame, group: list[str], response: str, label: str) -> DataFrame:
+    """(group, n, n_right, accuracy): responses equal to their labels; a row without a response is wrong, one without a label doesn't count (M2)."""
+    right = F.coalesce(F.col(response) == F.col(label), F.lit(False)).cast("long")
+    return df.filter(F.col(label).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), F.sum(right).alias("n_right"), F.avg(right).alias("accuracy"))

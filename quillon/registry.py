@@ -12,9 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import agents, concepts, conversations, files, joins, logs, matrices, metrics, packs, reports, rewards, rowfuncs, samples, shapes, sources, stats, streams, texts
+    from .plans import agents, concepts, conversations, files, joins, logs, matrices, metrics, packs, reports, rewards, rowfuncs, samples, shapes, sources, stats, streams, texts, values
 
-    return [conversations, texts, samples, joins, stats, logs, rewards, metrics, matrices, packs, sources, files, rowfuncs, shapes, concepts, streams, agents, reports]
+    return [conversations, texts, samples, joins, stats, logs, rewards, metrics, matrices, packs, sources, files, rowfuncs, shapes, concepts, streams, agents, reports, values]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
