@@ -1,12 +1,13 @@
 """License scan by a positional index of rare words.
 
-Templates (short license notices) are kept as words with positions. Document
+Templates (short license notices, and the terms of short licenses) are kept as words with positions. Document
 frequencies of the template words are counted over all documents. For each file
 and template, the template's `rare_words` highest-IDF words that occur in the file
 are looked up; each occurrence votes for the place where that template would
-begin. So no template takes another's words away, whatever else a file holds. A template whose looked-up words agree on a place, within
-`slack` words, is a candidate; it is reported if all of its mandatory key phrases
-stand within the span it claims.
+begin. So no template takes another's words away, whatever else a file holds. A
+template whose looked-up words agree on a place, within `slack` words, is a
+candidate; it is reported if all of its mandatory key phrases stand within the
+span it claims.
 
 Base places (fixed phrases) are counted on every text whatever the index says.
 
@@ -34,9 +35,10 @@ from .textbytes import ALNUM_WORDS, Words, buffers, pieces, task_batches
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Opening notices of well-known public licenses and the phrases that must stand in each.
+# Notices and terms of well-known public licenses and the phrases that must stand in each. `bsd` is the family, whatever its clauses.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("deal in the software without restriction", "sublicense and or sell copies of the software")),
     ("mit", "released under the mit license", ("mit license",)),
     ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("you may not use this file except in compliance",)),
@@ -46,14 +48,24 @@ TEMPLATES = (
     ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is", ("redistribution and use in source and binary forms", "distribution this software is provided by")),
+    ("bsd-2", "released under the bsd 2 clause license", ("bsd 2 clause",)),
+    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("redistribution and use in source and binary forms", "neither the name of", "endorse or promote products derived from this software")),
     ("bsd-3", "released under the bsd 3 clause license", ("bsd 3 clause",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work cc0", ("waived all copyright and related or neighboring rights",)),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("fee is hereby granted provided that the above copyright notice",)),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties", ("fee is hereby granted the software is provided as is",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("held liable for any damages arising from the use of this software", "redistribute it freely")),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy",)),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
+    ("ofl-1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license",)),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

@@ -331,6 +331,25 @@ def test_license_versions_are_told_apart(spark):
     assert got == {1: "gpl-2", 2: "gpl-3", 3: "lgpl", 4: "gpl-2,gpl-3"}
 
 
+def test_license_terms_are_told_apart(spark):
+    """Whole terms as they stand in files: the BSD licences by their clauses, ISC and 0BSD by their condition; prose about them has no label."""
+    head = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+    {0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    {1} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+    """
+    clause = "{} Neither the name of Example Corp. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    end = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+    fee = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    table = [
+        (1, head.format("1.", "2.") + end, "bsd,bsd-2"), (2, head.format("1.", "2.") + clause.format("3.") + end, "bsd,bsd-3"), (3, head.format("*", "*") + end, "bsd,bsd-2"), (4, head.format("-", "-") + clause.format("-") + end, "bsd,bsd-3"),
+        (5, fee + ", provided that the above copyright notice and this permission notice appear in all copies.", "isc"), (6, fee + '. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES', "0bsd"), (7, mit, "mit"),
+        (8, "neither the name of the town nor the names of its contributors helped; redistribute it freely, they said, and changing it is allowed", ""),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in plain(licenses.scan(spark.createDataFrame([x[:2] for x in table], "doc_id long, text string")))}
+    assert got == {i: labels for i, _, labels in table}
+
+
 def plain_labels(text, idf, rare_words=16, slack=2, agree=0.5):
     """All labels of a text, by trying every place for every template."""
     w = re.findall(ALNUM, low(text))
