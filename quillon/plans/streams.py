@@ -16,17 +16,17 @@ def _scratch(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, where: str, parts: int) -> DataFrame:
-    """df written as files of one micro-batch each and read as a stream."""
-    df.repartition(parts).write.parquet(f"{where}/in")
-    return L.read_files(spark, f"{where}/in", df.schema)
+def _stream(spark: SparkSession, df: DataFrame, where: str, batches: int) -> DataFrame:
+    """df written as files and read as a stream: one file a micro-batch, or all files in one micro-batch of many tasks."""
+    (df.repartition(batches) if batches > 1 else df).write.parquet(f"{where}/in")
+    return L.read_files(spark, f"{where}/in", df.schema, 1 if batches > 1 else (1 << 31) - 1)
 
 
 def stream_pack_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3: packs of documents in four micro-batches, an open bin carried over; the last open bins come out at the end."""
     where = _scratch(spark)
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("shard"), F.ceil(F.col("n_chars") / 4).alias("len"))
-    L.run_available(L.packed(_stream(spark, sf_dir, "documents", d, where, 4), "shard", "doc_id", "len", 2048), f"{where}/out", f"{where}/state")
+    L.run_available(L.packed(_stream(spark, d, where, 4), "shard", "doc_id", "len", 2048), f"{where}/out", f"{where}/state")
     done = spark.read.schema("shard long, pack long, member long, length long").parquet(f"{where}/out")
     return done.unionByName(L.open_packs(spark, f"{where}/state"))
 
@@ -35,7 +35,7 @@ def stream_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of errors by user (one micro-batch, so that order is the log's)."""
     where = _scratch(spark)
     e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("hit"))
-    L.run_available(L.bursts(_stream(spark, sf_dir, "events", e, where, 1), "user_id", "event_id", "hit"), f"{where}/out", f"{where}/state")
+    L.run_available(L.bursts(_stream(spark, e, where, 1), "user_id", "event_id", "hit"), f"{where}/out", f"{where}/state")
     return spark.read.schema("key string, place long, burst string").parquet(f"{where}/out")
 
 
@@ -43,7 +43,7 @@ def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of event types; the days that the watermark has closed."""
     where = _scratch(spark)
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    L.run_available(L.windowed(_stream(spark, sf_dir, "events", e, where, 1), "ts", "event_type", "1 day"), f"{where}/out", f"{where}/state")
+    L.run_available(L.windowed(_stream(spark, e, where, 1), "ts", "event_type", "1 day"), f"{where}/out", f"{where}/state")
     out = spark.read.schema("start timestamp, event_type string, n long").parquet(f"{where}/out")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
