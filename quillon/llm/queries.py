@@ -100,17 +100,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language over all documents."""
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_decontamination, op2_substring_dedup, op3_quality_rules, op4_chat_rotation, op5_secret_scan, op6_packing,
             op7_license_scan, op8_pii_pseudonyms, op9_language_id, op10_simhash,
+            op13_source_divergence,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, decontaminate, secrets, substring
+    from . import chat, decontaminate, divergence, secrets, substring
 
-    return {"op1_decontamination": decontaminate.SQL.format(docs="documents"), "op2_substring_dedup": substring.SQL, "op4_chat_rotation": chat.SQL, "op5_secret_scan": secrets.sql(secrets.train())}
+    return {"op1_decontamination": decontaminate.SQL.format(docs="documents"), "op2_substring_dedup": substring.SQL, "op4_chat_rotation": chat.SQL, "op5_secret_scan": secrets.sql(secrets.train()),
+            "op13_source_divergence": divergence.SQL.format(docs="documents")}
