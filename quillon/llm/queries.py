@@ -100,6 +100,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors; every seventh has the next label."""
+    from .mining import mine
+
+    v = _table(spark, sf_dir, "embeddings")
+    label = F.when(v["vec_id"] % 7 == 0, (v["label"].cast("long") + 1) % 10).otherwise(v["label"])
+    return mine(v, anchors=v["vec_id"] % 100 == 0, label=label)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of the sources of each language over all documents."""
     from .divergence import audit
@@ -113,13 +122,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_decontamination, op2_substring_dedup, op3_quality_rules, op4_chat_rotation, op5_secret_scan, op6_packing,
             op7_license_scan, op8_pii_pseudonyms, op9_language_id, op10_simhash,
-            op13_source_divergence,
+            op12_hard_negatives, op13_source_divergence,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, decontaminate, divergence, secrets, substring
+    from . import chat, decontaminate, divergence, mining, secrets, substring
 
     return {"op1_decontamination": decontaminate.SQL.format(docs="documents"), "op2_substring_dedup": substring.SQL, "op4_chat_rotation": chat.SQL, "op5_secret_scan": secrets.sql(secrets.train()),
-            "op13_source_divergence": divergence.SQL.format(docs="documents")}
+            "op12_hard_negatives": mining.SQL.format(vectors="embeddings"), "op13_source_divergence": divergence.SQL.format(docs="documents")}
