@@ -100,6 +100,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 5-word shingles overlap at 0.8 or more."""
+    from .jaccard import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector among all vectors; every seventh has the next label."""
     from .mining import mine
@@ -122,13 +129,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_decontamination, op2_substring_dedup, op3_quality_rules, op4_chat_rotation, op5_secret_scan, op6_packing,
             op7_license_scan, op8_pii_pseudonyms, op9_language_id, op10_simhash,
-            op12_hard_negatives, op13_source_divergence,
+            op11_jaccard_join, op12_hard_negatives, op13_source_divergence,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, decontaminate, divergence, mining, secrets, substring
+    from . import chat, decontaminate, divergence, jaccard, mining, secrets, substring
 
     return {"op1_decontamination": decontaminate.SQL.format(docs="documents"), "op2_substring_dedup": substring.SQL, "op4_chat_rotation": chat.SQL, "op5_secret_scan": secrets.sql(secrets.train()),
-            "op12_hard_negatives": mining.SQL.format(vectors="embeddings"), "op13_source_divergence": divergence.SQL.format(docs="documents")}
+            "op11_jaccard_join": jaccard.SQL.format(docs="documents"), "op12_hard_negatives": mining.SQL.format(vectors="embeddings"), "op13_source_divergence": divergence.SQL.format(docs="documents")}
