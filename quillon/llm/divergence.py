@@ -144,21 +144,22 @@ def audit(
     named = counts.filter("term = ''").select("lang", "source")
     sized = named.groupBy("lang").agg(F.count("*").alias("sources"))
     groups = named.join(sized, "lang").join(langs, "lang", "left").join(sums, ["lang", "source"], "left")
-    groups = cut(groups.na.fill(0, ["kept", "lang_total", "group_total", "members"]).withColumn("g", F.struct("lang", "source")).withColumn("blocks", F.ceil(F.col("sources") / block_sources)))
+    groups = groups.na.fill(0, ["kept", "lang_total", "group_total", "members"]).withColumn("g", F.struct("lang", "source")).withColumn("blocks", F.ceil(F.col("sources") / block_sources))
+    # shards of a language by its counts; they reach the counts with their group's totals
+    shards = groups.groupBy("lang").agg(F.greatest(F.ceil(F.sum("members") / shard_rows), F.lit(1)).alias("shards"))
+    groups = cut(groups.join(shards, "lang"))
     of = lambda count, total: share(count, F.col(total), F.col("kept"), scale=scale, add=add)
-    known = groups.select("g", "kept", "lang_total", "group_total", "blocks", "members")
-    shared = cut(spread_join(rows, known, "g", "members").select("lang", "source", "term", of(F.col("n"), "group_total").alias("p"), of(F.col("total"), "lang_total").alias("q"), "blocks"))
+    known = groups.select("g", "kept", "lang_total", "group_total", "blocks", "shards", "members")
+    shared = cut(spread_join(rows, known, "g", "members").select("lang", "source", "term", of(F.col("n"), "group_total").alias("p"), of(F.col("total"), "lang_total").alias("q"), "blocks", "shards"))
 
     above = shared.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     ranked = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = above.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
 
-    # shards of each language by its counts: few rows, one a language, joined to the groups only
-    shards = groups.groupBy("lang").agg(F.greatest(F.ceil(F.sum("members") / shard_rows), F.lit(1)).alias("shards"), F.first("blocks").alias("_b"))
-    marks = groups.join(shards.drop("_b"), "lang").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    marks = groups.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     own = F.pmod(F.xxhash64("source"), F.col("blocks"))
     marks = marks.select("lang", "source", F.lit("").alias("term"), of(F.lit(0).cast("long"), "group_total").alias("p"), F.when(F.col("shard") == 0, F.col("kept")).otherwise(0).alias("kept"), own.alias("block"), "blocks", "shard")
-    placed = shared.join(shards.drop("_b"), "lang").select("lang", "source", "term", "p", F.lit(0).cast("long").alias("kept"), own.alias("block"), "blocks", F.pmod(F.xxhash64("term"), F.col("shards")).alias("shard"))
+    placed = shared.select("lang", "source", "term", "p", F.lit(0).cast("long").alias("kept"), own.alias("block"), "blocks", F.pmod(F.xxhash64("term"), F.col("shards")).alias("shard"))
     dealt = placed.unionByName(marks).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("lang", "source", "term", "p", "kept", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "shard")
     half = dealt.groupBy("lang", "i", "j", "shard").applyInArrow(shard_distances, "lang string, a string, b string, part long")
