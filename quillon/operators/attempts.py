@@ -1,17 +1,23 @@
 """Attempt logs: latest and effective state, bursts, rolling limits, batch metrics, sessions, smoothing.
 
-A log is append-only; `seq` is its explicit order. Windows are always partitioned
-(by id, by run or by day): no operator here orders a whole log in one task.
+A log is append-only; `seq` is its explicit order. Running counts, sums, windows and
+averages of a group are dealt out over ranges of its order (`scans`), so a group of a
+third of all rows is no single task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import last_write
 from .sampling import value_rank
+from .scans import ROWS_PER_PART, affine_carries, decayed_totals, running, with_before
 
 
 def latest(log: DataFrame, key: str, seq: str) -> DataFrame:
@@ -32,16 +38,20 @@ def effective_latest(log: DataFrame, key: str, seq: str, batch: Column, in_cycle
     return own.select(chosen.alias("_r"), (~F.col("_started")).alias("inherited")).filter("_r is not null").select("_r.*", "inherited")
 
 
-def bursts(log: DataFrame, group: list[str], order: list[str], hit: str, ident: str, ts: str, recent: int = 20, minutes: int = 5) -> DataFrame:
-    """log with `burst`: three hits in a row, else five in the last `recent` rows, else three ids among those within `minutes`."""
-    w = W.partitionBy(*group).orderBy(*order)
+def bursts(log: DataFrame, group: list[str], order: list[str], hit: str, ident: str, ts: str, recent: int = 20, minutes: int = 5, rows_per_part: int = ROWS_PER_PART, block: int = 1 << 16) -> DataFrame:
+    """log with `burst`: three hits in a row, else five in the last `recent` rows, else three ids among those within `minutes`.
+
+    A group is dealt out by blocks of its order, each of which also sees the rows just before it.
+    """
+    seen = with_before(log, group, order, max(recent - 1, 2), rows_per_part, block)
+    w = W.partitionBy(*group, "_block").orderBy("_rank")
     back = w.rowsBetween(-(recent - 1), 0)
     row = F.col(hit) & F.coalesce(F.lag(hit, 1).over(w), F.lit(False)) & F.coalesce(F.lag(hit, 2).over(w), F.lit(False))
     many = F.sum(F.col(hit).cast("int")).over(back) >= 5
-    seen = log.withColumn("_row", row).withColumn("_many", many).withColumn("_last", F.collect_list(F.struct(F.col(hit).alias("h"), F.col(ident).alias("i"), F.col(ts).alias("t"))).over(back))
+    seen = seen.withColumn("_row", row).withColumn("_many", many).withColumn("_last", F.collect_list(F.struct(F.col(hit).alias("h"), F.col(ident).alias("i"), F.col(ts).alias("t"))).over(back)).filter("not _halo")
     ids = F.size(F.array_distinct(F.transform(F.filter("_last", lambda x: x["h"] & (x["t"] >= F.col(ts) - F.expr(f"interval {minutes} minutes"))), lambda x: x["i"])))
     reason = F.when(F.col("_row"), "three_in_a_row").when(F.col("_many"), "five_in_recent").when(ids >= 3, "several_ids")
-    return seen.withColumn("burst", reason).drop("_row", "_many", "_last")
+    return seen.withColumn("burst", reason).select(*log.columns, "burst")
 
 
 def calls_in_window(log: DataFrame, group: list[str], ts: str, seconds: int) -> DataFrame:
@@ -58,18 +68,37 @@ def calls_in_window(log: DataFrame, group: list[str], ts: str, seconds: int) ->
     return seen.filter("_ahead = 0").drop("_us", "_ahead", "_span")
 
 
-def debiased_ema(df: DataFrame, group: str, order: str, value: str, smooth: float) -> DataFrame:
-    """(group, ema): the last debiased exponential average of each series."""
-    series = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w"))
-    fold = F.aggregate("_s", zero, lambda a, p: F.struct((a["x"] * smooth + p["v"]).alias("x"), (a["w"] * smooth + 1.0).alias("w")), lambda a: a["x"] / a["w"])
-    return df.groupBy(group).agg(series.alias("_s")).select(group, fold.alias("ema"))
+def debiased_ema(df: DataFrame, group: str, order: str, value: str, smooth: float, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """(group, ema): the last debiased exponential average of each series (E13); no series is one list or one task. A null value counts as none."""
+    totals = decayed_totals(df.select(group, order, value).filter(F.col(value).isNotNull()), [group], [order], F.col(value), smooth, rows_per_part)
+    return totals.select(group, (F.col("x") / F.col("w")).alias("ema"))
+
+
+def smoothed(df: DataFrame, group: list[str], order: list[str], value: str, smooth: float, name: str = "ema", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """df with the debiased exponential average up to each row (E13). A null value adds nothing but decays what came before.
+
+    A step x -> smooth * x + value is an affine map. Ranges of a series are summed up to one map each, their maps are applied
+    in turn (a row a range), and each range is then folded from what comes in.
+    """
+    own = affine_carries(df, group, order, F.col(value), smooth, rows_per_part)
+    place, kept = {c: i for i, c in enumerate(own.columns)}, df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = 0.0
+        for batch in batches:
+            v, first, came, rank = (batch.column(place[c]).to_pylist() for c in (value, "_i", "_in", "_rank"))
+            out = []
+            for one, i, start, r in zip(v, first, came, rank, strict=True):
+                x = (start if i == 1 else x) * smooth + float(one or 0)
+                out.append(x * (1 - smooth) / (1 - smooth**r))
+            yield pa.RecordBatch.from_arrays([*[batch.column(place[c]) for c in kept], pa.array(out, pa.float64())], [*kept, name])
+
+    return own.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def sessions(df: DataFrame, group: list[str], order: list[str], starts: Column) -> DataFrame:
+def sessions(df: DataFrame, group: list[str], order: list[str], starts: Column, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """df with `session`: counts from the first row flagged as a start; rows before it are session 0."""
-    w = W.partitionBy(*group).orderBy(*order)
-    return df.withColumn("session", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w).cast("long"))
+    return running(df, group, order, {"session": F.coalesce(starts, F.lit(False)).cast("long")}, rows_per_part)
 
 
 def first_failure(log: DataFrame, run: str, seq: str, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -92,7 +121,6 @@ def batch_metrics(log: DataFrame, batch: str, key: str, status: str, success: st
     return out.withColumn("success_rate", rate).withColumn("amplification", F.col("n_attempts") / F.col("n_ids")).withColumn("complete", F.col("n_success") == F.col("n_ids"))
 
 
-def budget(log: DataFrame, group: list[str], order: list[str], cost: Column, limit: float) -> DataFrame:
+def budget(log: DataFrame, group: list[str], order: list[str], cost: Column, limit: float, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """log with `spent`, `remaining` and whether an extra attempt is `allowed`."""
-    w = W.partitionBy(*group).orderBy(*order)
-    return log.withColumn("spent", F.sum(cost).over(w)).withColumn("remaining", F.lit(limit) - F.col("spent")).withColumn("allowed", F.col("remaining") > 0)
+    return running(log, group, order, {"spent": cost}, rows_per_part).withColumn("remaining", F.lit(limit) - F.col("spent")).withColumn("allowed", F.col("remaining") > 0)

@@ -1,14 +1,18 @@
-"""Sequence packing under a token budget: order-keeping next-fit and best-fit decreasing, by shard; packed rows."""
+"""Sequence packing under a token budget: order-keeping next-fit, by shard or over one whole order, and best-fit decreasing; packed rows."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .scans import ROWS_PER_PART, ranked, running
+
 
 def next_fit(df: DataFrame, shard: str, order: str, length: str, budget: int) -> DataFrame:
     """df with `pack` (number within the shard): a pack closes when the next row doesn't fit or it is full; a row over the
@@ -26,6 +30,69 @@ def next_fit(df: DataFrame, shard: str, order: str, length: str, budget: int) ->
     return df.join(packed.select(shard, F.col("p.o").alias(order), F.col("p.pack").alias("pack")), [shard, order])
 
 
+def next_fit_order(df: DataFrame, order: list, length: str, budget: int, name: str = "pack", packs_per_part: int = 4096, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """df with `pack` (from 0) of one next-fit packing over the whole order (E7): as next_fit, but of all rows, and dealt out.
+
+    Running sums give each row its place on the line of all lengths, cut into ranges of `packs_per_part` budgets. The row that
+    opens the next pack after a pack that opens here is found by search, within the range or at the beginning of the
+    following one, which each range also holds. So a range tells for each row that may be entered first where the following
+    ranges are entered; entries are linked by joins that double their reach, from the first row on; and each range
+    finds its packs' first rows from its true entry. A running count of these numbers the packs. Rows of length null or 0 that follow each other act as one.
+    """
+    n = F.coalesce(F.col(length).cast("long"), F.lit(0))
+    line = running(df, [], order, {"_r": F.lit(1).cast("long"), "_end": n, "_pos": (n > 0).cast("long")}, rows_per_part)
+    line = cut(line.withColumn("_n", n).withColumn("_at", F.col("_end") - n))
+    empty = line.filter("_n = 0").groupBy("_pos").agg(F.min("_r").alias("_first"), F.count("*").alias("_many"))
+    empty = cut(empty)
+    lead = line.filter("_n > 0").select("_r", "_at", "_n").unionByName(line.filter("_n = 0").join(empty, F.col("_r") == F.col("_first"), "left_semi").select("_r", "_at", "_n"))
+    # ranks of the rows that are left, as only these follow each other
+    lead = cut(ranked(lead, [], ["_r"], "_k", rows_per_part))
+    width = budget * packs_per_part
+    part = F.floor(F.col("_at") / width)
+    early = F.col("_at") % width < budget
+    held = lead.withColumn("_own", F.lit(True)).withColumn("_part", part).unionByName(lead.filter(early & (part > 0)).withColumn("_own", F.lit(False)).withColumn("_part", part - 1))
+    held = held.select("_part", "_own", "_k", "_r", "_at", "_n")
+
+    def follow(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        pdf = pdf.sort_values("_k", ignore_index=True)
+        at, size, k = (pdf[c].to_numpy(np.int64) for c in ("_at", "_n", "_k"))
+        # the first later row that starts a budget further on, or would end beyond it
+        i = np.arange(len(pdf))
+        far = np.minimum(np.searchsorted(at, at + budget, "left"), np.searchsorted(at + size, at + budget, "right"))
+        return pdf, np.maximum(far, i + 1)
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, after = follow(pdf)
+        k, own = pdf["_k"].to_numpy(np.int64), pdf["_own"].to_numpy(bool)
+        m = int(own.sum())  # own rows come first
+        leaves = np.empty(m, np.int64)
+        for i in range(m - 1, -1, -1):
+            leaves[i] = leaves[after[i]] if after[i] < m else k[i] + (after[i] - i)
+        may = (pdf["_at"].to_numpy(np.int64)[:m] % width < budget) | (np.arange(m) == 0)
+        return pd.DataFrame({"_part": pdf["_part"][:m][may], "_k": k[:m][may], "_to": leaves[may]})
+
+    jumps = cut(held.groupBy("_part").applyInPandas(entries, "_part long, _k long, _to long"))
+    reached, jump, seen = cut(jumps.filter("_k = 1").select("_k")), jumps.select("_k", "_to"), 0
+    while (found := reached.count()) > seen:
+        seen = found
+        onward = reached.join(jump, "_k").select(F.col("_to").alias("_k")).join(jumps.select("_k"), "_k", "left_semi")
+        reached = cut(reached.union(onward).distinct())
+        jump = cut(jump.alias("a").join(jump.alias("b"), F.col("a._to") == F.col("b._k")).select("a._k", "b._to"))
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, after = follow(pdf)
+        i, m, out = int(np.searchsorted(pdf["_k"].to_numpy(np.int64), int(pdf["_entry"].iloc[0]))), int(pdf["_own"].sum()), []
+        while i < m:
+            out.append(i)
+            i = int(after[i])
+        return pdf.iloc[out][["_r"]].rename(columns={"_r": "_begin"})
+
+    entered = jumps.join(reached, "_k").select("_part", F.col("_k").alias("_entry"))
+    opened = held.join(entered, "_part").groupBy("_part").applyInPandas(starts, "_begin long")
+    flagged = line.join(opened, F.col("_r") == F.col("_begin"), "left").select(*df.columns, "_r", F.col("_begin").isNotNull().cast("long").alias("_open"))
+    return running(flagged, [], ["_r"], {name: F.col("_open")}, rows_per_part).select(*df.columns, (F.col(name) - 1).alias(name))
+
+
 def best_fit(lengths: list[int], budget: int) -> list[int]:
     """The bin of each item, longest first, each into the fullest bin it fits (E8). Bins over the budget hold one item."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))

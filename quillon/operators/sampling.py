@@ -11,18 +11,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scans import ROWS_PER_PART, ranked
+
 
 def hash_order(seed: int | str, purpose: str, *keys: Column) -> Column:
     """The hex digest that rows are ordered by."""
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *[k.cast("string") for k in keys]), 256)
 
 
-def spread_rank(df: DataFrame, group: list[str], digest: str, ties: list[str], name: str = "rank", digits: int = 2) -> DataFrame:
-    """Rank (from 1) by digest within each group, dealt over 16**digits tasks a group.
+def digits_for(rows: int, rows_per_part: int = ROWS_PER_PART) -> int:
+    """Hex digits of a digest that part so many rows into parts of at most rows_per_part on average; two at least."""
+    d = 2
+    while rows > rows_per_part << 4 * d:
+        d += 1
+    return d
+
+
+def spread_rank(df: DataFrame, group: list[str], digest: str, ties: list[str], name: str = "rank", digits: int | None = None) -> DataFrame:
+    """Rank (from 1) by digest within each group, dealt over 16**digits parts a group; by default as many as the rows need.
 
     A group's rows are ranked within the digest's first digits, and the counts of
     the lower prefixes are added: a group with a third of all rows is no hot task.
     """
+    digits = digits_for(df.count()) if digits is None else digits
     return _dealt_rank(df, group, F.substring(digest, 1, digits), [digest, *ties], name)
 
 
@@ -60,16 +71,9 @@ def value_rank(df: DataFrame, group: list[str], values: list[tuple[str, bool]],
     return _dealt_rank(df, group, F.struct(*parts), [*order, digest, *ties], name)
 
 
-def number_rank(df: DataFrame, key: str, name: str = "rank", buckets: int = 256) -> DataFrame:
-    """Global rank (from 1) by a numeric unique key, dealt over ranges of the key."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    own = df.withColumn("_b", F.floor((F.col(key) - F.lit(low)) * buckets / F.lit(high - low + 1)))
-    counts = own.groupBy("_b").agg(F.count("*").alias("_n"))  # at most `buckets` rows
-    offsets = counts.select(F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    ranked = own.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(key)))
-    return ranked.join(F.broadcast(offsets), F.col("_b") == F.col("_c")).select(*df.columns, (F.col("_r") + F.col("_o")).cast("long").alias(name))
+def number_rank(df: DataFrame, key: str, name: str = "rank", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Global rank (from 1) by a unique key, dealt over ranges of about equally many rows, however the keys are spread."""
+    return ranked(df, [], [key], name, rows_per_part)
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -51,6 +51,12 @@ def event_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.debiased_ema(_events(spark, sf_dir), "user_id", "event_id", "value", 0.9).withColumn("ema", F.round("ema", 6))
 
 
+def event_ema_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothed value after each event of an event type, in event order."""
+    e = _events(spark, sf_dir).select("event_type", "event_id", "value")
+    return A.smoothed(e, ["event_type"], ["event_id"], "value", 0.9).select("event_id", F.round("ema", 6).alias("ema"))
+
+
 def event_sessions_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's sessions start at each purchase."""
     s = A.sessions(_events(spark, sf_dir).select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], F.col("event_type") == "purchase")
@@ -96,6 +102,9 @@ QUERIES = {
     "event_batch_metrics": (event_batch_metrics, """with e as (select *, user_id // 50 batch from events), l as (select batch, user_id, arg_max(event_type, event_id) t, count(*) a from e group by all), s as (select batch, count(*) n_ids, sum(a)::bigint n_attempts, count(*) filter (t = 'purchase') n_success from l group by 1),
         p as (select batch, list(value order by value) v, count(*) n from e group by 1) select s.*, v[least(floor(n * 0.95::double), n - 1)::int + 1] p95, round(n_success / n_ids::double, 6) success_rate, round(n_attempts / n_ids::double, 6) amplification, n_success = n_ids complete from s join p using (batch)"""),
     "event_ema": (event_ema, "with r as (select *, row_number() over (partition by user_id order by event_id desc) - 1 k from events) select user_id, round(sum(value * pow(0.9::double, k)) / sum(pow(0.9::double, k)), 6) ema from r group by 1"),
+    "event_ema_steps": (event_ema_steps, """with recursive e as (select event_type, event_id, value, row_number() over (partition by event_type order by event_id) i from events),
+        r as (select event_type, event_id, i, value::double x, 1::double w from e where i = 1 union all select e.event_type, e.event_id, e.i, r.x * 0.9::double + value, r.w * 0.9::double + 1 from r join e on e.event_type = r.event_type and e.i = r.i + 1)
+        select event_id, round(x / w, 6) ema from r"""),
     "event_sessions_by_flag": (event_sessions_by_flag, "with s as (select *, sum((event_type = 'purchase')::int) over (partition by user_id order by event_id)::bigint as session from events) select user_id, session, count(*) n, min(event_id) first_event from s group by all"),
     "event_first_failure": (event_first_failure, "select user_id, arg_min(case when value > 50 then 'costly' else 'error' end, event_id) reason, min(event_id) event_id from events where event_type = 'error' group by 1"),
     "event_budget": (event_budget, "select event_id, round(sum(value) over w, 4) spent, round(500 - sum(value) over w, 4) remaining from events window w as (partition by user_id order by event_id)"),

@@ -20,6 +20,11 @@ def doc_pack_next_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.next_fit(_docs(spark, sf_dir), "shard", "doc_id", "len", BUDGET)
 
 
+def doc_next_fit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs of all documents in one order, without shards."""
+    return P.next_fit_order(_docs(spark, sf_dir).select("doc_id", "len"), ["doc_id"], "len", BUDGET)
+
+
 def doc_pack_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best fit decreasing in chunks of 50."""
     return P.best_fit_shards(_docs(spark, sf_dir), "shard", "doc_id", "len", BUDGET, 50)
@@ -53,7 +58,11 @@ _N = """d as (select doc_id, doc_id // 500 shard, ceil(n_chars / 4.0)::bigint le
       case when (case when r.full_ or r.used + d.len > 2048 then d.len else r.used + d.len end) >= 2048 then 0 else (case when r.full_ or (r.used > 0 and r.used + d.len > 2048) then d.len else r.used + d.len end) end,
       (case when r.full_ or (r.used > 0 and r.used + d.len > 2048) then d.len else r.used + d.len end) >= 2048
     from r join d on d.shard = r.shard and d.i = r.i + 1)"""
+_WHOLE = """with recursive d as (select doc_id, ceil(n_chars / 4.0)::bigint len, row_number() over (order by doc_id) i from documents),
+  r as (select doc_id, len, i, 0::bigint pack, len used from d where i = 1
+    union all select d.doc_id, d.len, d.i, case when r.used >= 2048 or r.used + d.len > 2048 then r.pack + 1 else r.pack end, case when r.used >= 2048 or r.used + d.len > 2048 then d.len else r.used + d.len end from r join d on d.i = r.i + 1)"""
 QUERIES = {
+    "doc_next_fit_order": (doc_next_fit_order, f"{_WHOLE} select doc_id, len, pack from r"),
     "doc_pack_next_fit": (doc_pack_next_fit, f"with recursive {_N} select shard, doc_id, len, pack from r"),
     "doc_pack_bfd": (doc_pack_bfd, None),
     "doc_packed_rows": (doc_packed_rows, f"with recursive {_N} select shard, pack, sum(len)::bigint total, string_agg(doc_id::varchar, ',' order by doc_id) members from r group by all"),

@@ -88,11 +88,11 @@ def inventory(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     return both.withColumn("state", state)
 
 
-def number_rows(df: DataFrame, order: str, name: str = "index", buckets: int = 256) -> DataFrame:
-    """df with an index from 0 by a numeric, unique order, worked out in ranges of the order."""
+def number_rows(df: DataFrame, order: str, name: str = "index") -> DataFrame:
+    """df with an index from 0 by a unique order, worked out in ranges of about equally many rows."""
     from ..operators.sampling import number_rank
 
-    return number_rank(df, order, name, buckets).withColumn(name, F.col(name) - 1)
+    return number_rank(df, order, name).withColumn(name, F.col(name) - 1)
 
 
 def write_indexed(df: DataFrame, order: str, path: str, name: str = "index", rows_per_part: int = 1_000_000) -> None:
