@@ -33,6 +33,18 @@ def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.union_ragged([*frames, text])
 
 
+def file_byte_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: documents as JSON lines with line feeds as lone carriage returns, a third of them ending with CR LF; digests of the raw lines read back."""
+    where = _scratch(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    flat = F.translate("text", '\n"\\\t', "\r||")
+    line = F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "x": "'), F.regexp_replace(flat, r"[\x00-\x0C\x0E-\x1F]", ""), F.lit('"}'), F.when(F.col("doc_id") % 3 == 0, "\r").otherwise(""))
+    d.select(line.alias("value")).write.option("lineSep", "\n").text(f"{where}/docs.jsonl")
+    # a carriage return within a string is no JSON, so only the number is read from the text
+    read = R.with_digest(R.lines(spark, f"{where}/docs.jsonl"), "raw")
+    return read.select(F.regexp_extract("value", r"^\{.doc_id.: (-?\d+)", 1).cast("long").alias("doc_id"), F.octet_length("raw").cast("long").alias("n_bytes"), "record_sha256")
+
+
 _SPECS = ("AI/sql#500", "hf::a/b:x/y#20", "MS::name", "odd::c:d", "plain", "a/b:all")
 
 
@@ -149,6 +161,8 @@ def doc_deletion_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPEC = ", ".join(f"({i}, '{n}', {h}, {r}, '{s}')" for i, (n, h, r, s) in enumerate((("AI/sql", "null", "500", "default"), ("a/b", "'hf'", "20", "x,y"), ("name", "'ms'", "null", "default"), ("c", "null", "null", "d"), ("plain", "null", "null", "default"), ("a/b", "null", "null", "default,x"))))
 _ASKED = "(0, 'org/alpha', 'org/alpha'), (1, 'alpha', 'org/alpha'), (2, 'x/alpha', 'org/alpha'), (3, 'beta', null), (4, 'org/beta', 'org/beta'), (5, '/cache/models--org--alpha/snapshots/0a1b', 'org/alpha'), (6, 'none', null)"
 QUERIES = {
+    "file_byte_lines": (file_byte_lines, r"""with l as (select doc_id, '{"doc_id": ' || doc_id || ', "x": "' || regexp_replace(translate(coalesce(text, ''), chr(10) || '"\' || chr(9), chr(13) || '||'), '[\x00-\x0C\x0E-\x1F]', '', 'g') || '"}' x from documents)
+        select doc_id, strlen(x)::bigint n_bytes, sha256(x) record_sha256 from l"""),
     "file_formats": (file_formats, """select f as format, s_suppkey, case when s_suppkey % 3 = 0 then '' else s_name || ' "a, b"' || chr(10) || 'c' end as name from supplier, unnest(['jsonl', 'csv', 'parquet', 'orc', 'txt']) x(f)"""),
     "source_specs": (source_specs, f"select n_nationkey, name, hub, rows, subsets from nation join (values {_SPEC}) v(i, name, hub, rows, subsets) on n_nationkey % 6 = i"),
     "source_catalog": (source_catalog, f"select n_nationkey, asked, found from nation join (values {_ASKED}) v(i, asked, found) on n_nationkey % 7 = i"),

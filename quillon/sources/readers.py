@@ -13,14 +13,15 @@ FORMATS = {"jsonl": "json", "json": "json", "csv": "csv", "txt": "text", "parque
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """The format follows the extension; empty CSV strings stay empty (A1)."""
+    """The format follows the extension; an empty CSV field is an empty string, quoted or not, never a null (A1)."""
     ext = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ext not in FORMATS:
         raise ValueError(f"no reader for .{ext}")
     r = spark.read.format(FORMATS[ext])
     if ext == "csv":
         r = r.option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\u0000")
-    return (r.schema(schema) if schema is not None else r).load(path)
+    df = (r.schema(schema) if schema is not None else r).load(path)
+    return df.na.fill("") if ext == "csv" else df  # string columns only: Spark reads an unquoted empty field as a null
 
 
 def read_splits(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -32,28 +33,44 @@ def union_ragged(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: Cut from the ends of a line to see whether it is blank.
+BLANK = " \t\n\r\x0b\x0c"
+BOM = "\ufeff"
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of text files, lines numbered from 0 in each file.
+    """(file, line, raw, value) of text files, byte for byte (A8-A10): lines end at byte 0x0A alone and are numbered from 0 in each file.
 
-    Files are read in splits; lines are numbered within their split and the counts of the
-    file's earlier splits added, so a very large file is no single task. A byte order mark goes.
+    raw: the line's bytes without the CR and LF at its end, a byte order mark and broken UTF-8 left as they are. value: the same
+    as text without the mark. Files are read in splits; lines are numbered within their split and the counts of the file's
+    earlier splits added, so a very large file is no single task. The reader cuts a mark at the file's start; that there
+    was one shows in the file's size, which is then larger than its lines. A file that holds a mark alone has no line.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"), "value")
-    counts = raw.groupBy("file", "_b").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("file").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("file", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    own = raw.withColumn("_r", F.row_number().over(W.partitionBy("file", "_b").orderBy("_m")) - 1)
-    numbered = own.join(offsets, ["file", "_b"]).select("file", (F.col("_r") + F.col("_o")).cast("long").alias("line"), "value")
-    return numbered.withColumn("value", F.when(F.col("line") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
+    text = spark.read.option("lineSep", "\n").text(path)
+    raw = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.col("_metadata.file_size").alias("_s"), F.monotonically_increasing_id().alias("_m"), "value")
+    counts = raw.groupBy("file", "_b").agg(F.count("*").alias("_n"), F.sum(F.octet_length("value") + F.lit(1)).alias("_bytes"), F.max("_s").alias("_s"))
+    own = W.partitionBy("file")
+    before = own.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("file", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"), (F.col("_s") - F.sum("_bytes").over(own) >= 2).alias("_marked"))
+    numbered = raw.drop("_s").withColumn("_r", F.row_number().over(W.partitionBy("file", "_b").orderBy("_m")) - 1).join(offsets, ["file", "_b"])
+    line, clean = (F.col("_r") + F.col("_o")).cast("long"), F.rtrim("value", F.lit("\r\n"))
+    return numbered.select("file", line.alias("line"), F.when((line == 0) & F.col("_marked"), F.concat(F.lit(BOM), clean)).otherwise(clean).cast("binary").alias("raw"), clean.alias("value"))
+
+
+def _full(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.btrim("value", F.lit(BLANK)) != "")
+
+
+def _is_object(value: str) -> Column:
+    return F.coalesce(F.is_valid_utf8(value) & F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False))
 
 
 def parse_strict(rows: DataFrame, schema: T.StructType | str, fail: bool = True) -> DataFrame:
     """(file, line, value, row): JSON objects only; blank lines are skipped; any other line fails with its place, or is kept with a null row."""
-    full = rows.filter(F.trim("value") != "")
-    ok = F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT")
+    full, ok = _full(rows), _is_object("value")
     row = F.from_json("value", schema)
     bad = F.concat(F.lit("not a JSON object: "), F.col("file"), F.lit(":"), (F.col("line") + 1).cast("string"))
-    return full.withColumn("row", F.when(F.coalesce(ok, F.lit(False)), row).otherwise(F.raise_error(bad).cast(row_type(schema)) if fail else F.lit(None)))
+    return full.withColumn("row", F.when(ok, row).otherwise(F.raise_error(bad).cast(row_type(schema)) if fail else F.lit(None)))
 
 
 def row_type(schema: T.StructType | str) -> T.DataType:
@@ -62,19 +79,23 @@ def row_type(schema: T.StructType | str) -> T.DataType:
 
 def parse_torn(rows: DataFrame, schema: T.StructType | str) -> DataFrame:
     """As parse_strict, but a broken last line of a file is dropped, as an interrupted writer leaves it."""
-    full = rows.filter(F.trim("value") != "")
+    full = _full(rows)
     last = full.groupBy("file").agg(F.max("line").alias("_last"))
-    ok = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
-    marked = full.join(last, "file").withColumn("_ok", ok).filter(F.col("_ok") | (F.col("line") != F.col("_last")))
+    marked = full.join(last, "file").withColumn("_ok", _is_object("value")).filter(F.col("_ok") | (F.col("line") != F.col("_last")))
     bad = F.concat(F.lit("broken line: "), F.col("file"), F.lit(":"), (F.col("line") + 1).cast("string"))
     return marked.withColumn("row", F.when(F.col("_ok"), F.from_json("value", schema)).otherwise(F.raise_error(bad).cast(row_type(schema)))).drop("_ok", "_last")
 
 
 def with_digest(rows: DataFrame, value: str = "value") -> DataFrame:
-    """rows with the digest of the untouched line (A10)."""
+    """rows with the digest of the untouched line (A10): of `raw` for the bytes as they stand in the file."""
     return rows.withColumn("record_sha256", F.sha2(value, 256))
 
 
+def entries(spark: SparkSession, path: str, schema: T.StructType | str, fail: bool = True) -> DataFrame:
+    """(file, line, raw, record_sha256, row): the JSON objects of files with the digests of their raw lines; blank lines are skipped (A10)."""
+    return with_digest(parse_strict(lines(spark, path), schema, fail), "raw").select("file", "line", "raw", "record_sha256", "row")
+
+
 def counts_agree(a: DataFrame, b: DataFrame) -> bool:
     """Whether two copies have the same number of rows."""
     return a.count() == b.count()

@@ -23,7 +23,7 @@ def con():
 
 def _plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
-        return ""
+        return "null" if v is None else "nan"
     if isinstance(v, float):
         return f"{v:.5f}".replace("-0.00000", "0.00000")
     return str(list(v)) if isinstance(v, (list, tuple)) else str(v)
