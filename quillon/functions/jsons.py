@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .literals import literal_json
+
 
 def lenient(x: Column) -> Column:
-    """VARIANT of JSON, or of a Python literal with single quotes, None, True and False; null if neither."""
-    quoted = F.replace(x, F.lit("'"), F.lit('"'))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(quoted, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    return F.coalesce(F.try_parse_json(x), F.try_parse_json(plain))
+    """VARIANT of JSON, or of a Python literal; null if neither (J1). Only texts that are no JSON reach the literal reader."""
+    return F.coalesce(F.try_parse_json(x), F.try_parse_json(literal_json(F.when(F.try_parse_json(x).isNull(), x))))
 
 
 def concept_error(raw: Column) -> Column:
