@@ -19,12 +19,13 @@ Equal sets are one class first. Tasks send signatures packed by hash range; a ra
 returns the classes that share one, each distinct list of classes once. Then, without
 listing the pairs of a group:
 
-1. each class is tried with the smallest class of its lists that passes the sketch (a
-   1024-bit parity sketch, whose differing bits are at most the sets' differing
-   elements, so it never refuses a linked pair), and what the texts confirm is joined
-   to components;
-2. the pairs of classes of a list that lie in different components, pass the sketch
-   and weren't tried are all tried.
+1. in each list, classes are neighbours where their sketches allow a link (1024 bits of
+   parity, whose differing bits are at most the sets' differing elements, so no linked
+   pair is refused); each class is tried with its smallest and its nearest neighbour,
+   and what the texts confirm is joined to components;
+2. the pairs of neighbours that lie in different components are listed; in turns, each
+   class is tried with its nearest one, and what has been joined goes from the list;
+3. all pairs that are then left are tried.
 
 So every pair with a common signature is either confirmed or refused by its texts, or
 lies in one component already. Large lists are cut into blocks that meet pairwise.
@@ -255,28 +256,10 @@ def _lists(table: pa.Table) -> pa.Table:
     return pa.table({"list": content[run][keep].view(np.int64), "h1": name[keep].view(np.int64)})
 
 
-def _alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs can link by their sizes and sketches (rows of 64-bit numbers)."""
-    ok = den * np.minimum(n, m) >= num * np.maximum(n, m)
-    far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-    return ok & (far * (den + num) <= (n + m) * (den - num))
-
-
 def _bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
 
 
-def _sketched(edges: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the edges whose sketches allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in task_batches(batches):
-            ok = _alike(_bits(batch["sketch_a"]), _bits(batch["sketch_b"]), batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), num, den)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return edges.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
-
-
 def _with(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
     """edges with the columns of nodes (node, ...) for one end, suffixed by its name; an end of very many edges is dealt out."""
     degree = edges.groupBy(end).agg(F.count("*").alias("_n"))
@@ -332,53 +315,130 @@ def _verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num
     return small_batches(met.select("a", "b", "zipped_a", "zipped_b")).mapInArrow(compare, "a long, b long")
 
 
-def _pairs_across(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of different components that meet in a block of a list and pass the sketch."""
-
-    def pairs(own: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for p in range(len(own["node"]) - 1):
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The blocks (list, i, j) of a task's sorted rows, one after another; a block may span batches."""
+    kept = None
+    names = ("list", "i", "j", "block", "node", "root", "n")
+    for batch in task_batches(batches):
+        now = {c: batch[c].to_numpy() for c in names} | {"bits": _bits(batch["sketch"])}
+        kept = now if kept is None else {c: np.concatenate([kept[c], now[c]]) for c in now}
+        new = np.flatnonzero((kept["list"][1:] != kept["list"][:-1]) | (kept["i"][1:] != kept["i"][:-1]) | (kept["j"][1:] != kept["j"][:-1])) + 1
+        for lo, hi in zip([0, *new[:-1].tolist()], new.tolist(), strict=True) if len(new) else ():
+            yield {c: v[lo:hi] for c, v in kept.items()}
+        if len(new):
+            kept = {c: v[new[-1] :] for c, v in kept.items()}
+    if kept is not None and len(kept["node"]):
+        yield kept
+
+
+def _distances(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sketches (rows of 64-bit numbers) of sets of n and m elements can link, and in how many bits they differ."""
+    far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (far * (den + num) <= (n + m) * (den - num)), far
+
+
+def near_pairs(blocks: list[dict[str, np.ndarray]], num: int, den: int, across: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(block, node, node, differing bits) of pairs that can link, of different components if `across`. Few rows are compared at once."""
+    few = [k for k, b in enumerate(blocks) if len(b["node"]) <= FEW]
+    if few:
+        ends = np.cumsum([0, *[len(blocks[k]["node"]) for k in few]])
+        pairs = [np.triu_indices(len(blocks[k]["node"]), 1) for k in few]
+        x, y = (np.concatenate([p[c] + at for p, at in zip(pairs, ends.tolist(), strict=False)]) for c in (0, 1))
+        all_ = {c: np.concatenate([blocks[k][c] for k in few]) for c in ("bits", "n", "node", "root", "block", "i", "j")}
+        ok = (all_["i"][x] == all_["j"][x]) | (all_["block"][x] != all_["block"][y])
+        ok &= (all_["root"][x] != all_["root"][y]) if across else True
+        x, y = x[ok], y[ok]
+        for at in range(0, len(x), TOGETHER * 8):
+            p, q = x[at : at + TOGETHER * 8], y[at : at + TOGETHER * 8]
+            ok, far = _distances(all_["bits"][p], all_["bits"][q], all_["n"][p], all_["n"][q], num, den)
+            yield np.array(few)[np.searchsorted(ends, p[ok], "right") - 1], all_["node"][p[ok]], all_["node"][q[ok]], far[ok]
+    for k, own in enumerate(blocks):
+        for p in range(len(own["node"]) - 1) if len(own["node"]) > FEW else ():
             q = np.arange(p + 1, len(own["node"]))
-            q = q[(own["root"][q] != own["root"][p]) & ((own["block"][q] != own["block"][p]) | (own["i"][0] == own["j"][0]))]
-            if len(q):
-                ok = q[_alike(own["bits"][q], own["bits"][p], own["n"][q], own["n"][p], num, den)]
-                yield np.full(len(ok), own["node"][p]), own["node"][ok]
+            if own["i"][0] != own["j"][0]:
+                q = q[own["block"][q] != own["block"][p]]
+            q = q[own["root"][q] != own["root"][p]] if across else q
+            ok, far = _distances(own["bits"][q], own["bits"][p], own["n"][q], own["n"][p], num, den)
+            if ok.any():
+                yield np.full(int(ok.sum()), k), np.full(int(ok.sum()), own["node"][p]), own["node"][q[ok]], far[ok]
+
+
+#: Blocks of up to so many members are compared together, so many members at once.
+FEW, TOGETHER = 48, 8192
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """Blocks of two members or more, some at a time."""
+    held, size = [], 0
+    for own in _blocks(batches):
+        if len(own["node"]) > 1:
+            held.append(own)
+            size += len(own["node"])
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (list, blocks, node, root, n, sketch) as blocks of lists that meet pairwise, each sorted within a task."""
+    blocks = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = blocks.select("list", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "node", "root", "n", "sketch")
+    return small_batches(dealt.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "node"))
+
+
+def _near_members(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Two kinds of rows: (node, least, nearest, far), for each member of a block that can link its smallest and its nearest neighbour there,
+    and (list, node), the block's members with a neighbour, under a name that tells what they are: so equal remainders of lists are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in task_batches(batches):
-            now = {c: batch[c].to_numpy() for c in ("list", "i", "j", "block", "node", "root", "n")} | {"bits": _bits(batch["sketch"])}
-            kept = now if kept is None else {c: np.concatenate([kept[c], now[c]]) for c in now}
-            yield from flush(kept, last=False)
-            kept = rest(kept)
-        if kept is not None:
-            yield from flush(kept, last=True)
-
-    def starts(x: dict[str, np.ndarray]) -> np.ndarray:
-        new = np.ones(len(x["node"]), bool)
-        new[1:] = (x["list"][1:] != x["list"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])
-        return np.flatnonzero(new)
-
-    def rest(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        at = starts(x)
-        return {c: v[at[-1] :] for c, v in x.items()} if len(at) else x
-
-    def flush(x: dict[str, np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-        at = starts(x).tolist()
-        bounds = [*at, len(x["node"])] if last else at
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            for p, q in pairs({c: v[lo:hi] for c, v in x.items()}):
-                a.append(p)
-                b.append(q)
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for blocks in _together(batches):
+            found = list(near_pairs(blocks, num, den, False))
+            if not found:
+                continue
+            which, x, y, far = (np.concatenate(c) for c in zip(*found, strict=True))
+            one, other, gap, at = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([far, far]), np.concatenate([which, which])
+            nodes, place = np.unique(one, return_inverse=True)
+            least = np.full(len(nodes), np.iinfo(np.int64).max)
+            np.minimum.at(least, place, other)
+            order = np.lexsort((other, gap, place))
+            first = order[np.concatenate([[True], place[order][1:] != place[order][:-1]])]
+            yield _rows(node=nodes, least=least, nearest=other[first], far=gap[first])
+            member = np.unique(np.stack([at, one], axis=1), axis=0)
+            name = _sums(member[:, 0], mix(member[:, 1].astype(np.uint64) + _P), len(blocks))
+            yield _rows(node=member[:, 1], list=mix(name + _Q).view(np.int64)[member[:, 0]])
+
+    return _dealt(members).mapInArrow(run, "node long, least long, nearest long, far long, list long")
+
+
+def _rows(**given: np.ndarray) -> pa.RecordBatch:
+    n = len(given["node"])
+    return pa.RecordBatch.from_arrays([pa.array(given[c]) if c in given else pa.nulls(n, pa.int64()) for c in ("node", "least", "nearest", "far", "list")], ["node", "least", "nearest", "far", "list"])
 
-    blocks = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = blocks.select("list", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "node", "root", "n", "sketch")
-    return small_batches(dealt.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")).mapInArrow(run, "a long, b long").distinct()
 
+def _pairs_across(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, far): pairs of different components that meet in a block of a list and pass the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _together(batches):
+            for _, x, y, far in near_pairs(blocks, num, den, True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(far)], ["a", "b", "far"])
+
+    return _dealt(members).mapInArrow(run, "a long, b long, far long").distinct()
+
+
+def _edges(*pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of frames of two nodes."""
+    found = None
+    for df in pairs:
+        x, y = df.columns
+        one = df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        found = one if found is None else found.union(one)
+    return found.distinct()
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, range_entries: int = RANGE_ENTRIES, block: int = BLOCK) -> DataFrame:
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, range_entries: int = RANGE_ENTRIES, block: int = BLOCK, turns: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: its set's size, and the smallest id it reaches by links of similarity num / den or more."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     own = cut(own_sets(texts, k))
@@ -386,24 +446,33 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     classes = cut(real.groupBy("h1", "h2").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
     ranges = max(1, -(-(own.agg(F.sum("n")).first()[0] or 0) // range_entries))
     lists = packed_signatures(texts, k, num, den, ranges).groupBy("range").applyInArrow(_lists, "list long, h1 long").distinct()
-    members = cut(lists.join(classes.select("h1", "node"), "h1").select("list", "node"))
-    hubs = cut(members.groupBy("list").agg(F.min("node").alias("hub"), F.count("*").alias("size")))
-    star = cut(spread_join(members, hubs, "list", "size").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     drawn = classes.select("node", "n", "sketch")
-    near = _sketched(_with(_with(star, drawn, "b"), drawn, "a"), num, den)
-    tried = cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    members = cut(lists.join(classes.select("h1", "node"), "h1").select("list", "node"))
+    sizes = cut(members.groupBy("list").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block)))
+    placed = spread_join(members, sizes, "list", "size").join(drawn, "node").withColumn("root", F.col("node"))
+    near = cut(_near_members(placed, num, den))
+    best = near.filter("least is not null").groupBy("node").agg(F.min("least").alias("least"), F.min(F.struct("far", "nearest")).alias("near"))
+    tried = cut(_edges(best.select("node", "least"), best.select("node", F.col("near.nearest").alias("nearest"))))
     links = cut(_verified(tried, classes, texts, k, num, den))
     roots = cut(components(links, "a", "b"))
-    rooted = members.join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
-    rooted = cut(rooted)
+    rooted = cut(near.filter("list is not null").select("list", "node").distinct().join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root")))
     split = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
     split = cut(split.select("list", F.ceil(F.col("size") / block).alias("blocks"), "size"))
-    open_ = spread_join(rooted, split, "list", "size").join(drawn, "node")
-    rest = cut(_pairs_across(open_, num, den).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = cut(_verified(rest, classes, texts, k, num, den))
+    rest = cut(_pairs_across(spread_join(rooted, split, "list", "size").join(drawn, "node"), num, den).join(tried, ["a", "b"], "left_anti"))
+    for turn in range(turns + 1):  # the last turn tries all that is left
+        if not rest.limit(1).count():
+            break
+        both = rest.select("a", "b", "far").union(rest.select("b", "a", "far"))
+        nearest = both.groupBy("a").agg(F.min(F.struct("far", "b")).alias("near")).select("a", "near.b")
+        tried = cut(_edges(nearest) if turn < turns else rest.select("a", "b"))
+        more = cut(_verified(tried, classes, texts, k, num, den))
         if more.limit(1).count():
-            roots = cut(components(links.unionByName(more), "a", "b"))
+            links = cut(links.unionByName(more))
+            roots = cut(components(links, "a", "b"))
+        if turn < turns:
+            for end in ("a", "b"):
+                rest = rest.drop(f"_{end}").join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+            rest = cut(rest.filter("_a != _b").join(tried, ["a", "b"], "left_anti"))
     placed = cut(classes.join(roots, "node", "left").select(F.struct("h1", "h2").alias("key"), "first_doc", "copies", F.coalesce("root", "node").alias("root")))
     names = cut(placed.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("members")))
     by_class = cut(spread_join(placed, names, "root", "members").select("key", "copies", "component_id"))
