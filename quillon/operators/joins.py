@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,15 +97,44 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, n: str) -> DataFr
     return rows.join(hot, key).unionByName(rest)
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+#: Graphs of up to so many links are solved by one task, whose work is bounded by that.
+FEW_LINKS = 10_000
+
+
+def _few_components(edges: DataFrame) -> DataFrame:
+    """(node, root) of a graph of few edges (u, v), in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(x), root(y)
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+
+    return edges.repartition(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, a: str, b: str, rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """Connected components of long-valued edges: (node, root), root the smallest node.
 
     Large-star and small-star steps in turn (Kiveris and others, 2014) until
     nothing changes. Self-links are allowed. Each round is cut by checkpoints; a
-    centre of very many links is dealt out, as hot keys are.
+    centre of very many links is dealt out, as hot keys are. Up to `few` links are
+    solved in one task.
     """
     u, v = F.col("u"), F.col("v")
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(u.isNotNull() & (u != v)).distinct())
+    if e.limit(few + 1).count() <= few:
+        return _few_components(e)
     nodes = e.select(u.alias("node")).union(e.select(v.alias("node"))).distinct()
     mark = None
     for _ in range(rounds):

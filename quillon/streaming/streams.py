@@ -92,6 +92,15 @@ def each_batch(df: DataFrame, f, checkpoint: str) -> None:
     df.writeStream.foreachBatch(f).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def each_batch_once(df: DataFrame, f, sink: str, checkpoint: str) -> None:
+    """f(batch) of each micro-batch, written under its number: a batch that is run again after a failure replaces what it wrote (L4)."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        f(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    each_batch(df, write, checkpoint)
+
+
 def head_split(df: DataFrame, order: str, n: int, ratio: float) -> tuple[DataFrame, DataFrame]:
     """(val, train) of the first n rows by an explicit order: int(n * ratio) rows are val (F3, L2). For bounded input."""
     k = int(n * ratio)

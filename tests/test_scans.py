@@ -114,3 +114,23 @@ def test_next_fit_of_nothing_and_of_empties(spark):
     assert P.next_fit_order(d, ["i"], "n", 10).count() == 0
     d = spark.range(20).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("n"))
     assert {x.pack for x in P.next_fit_order(d, ["i"], "n", 10).collect()} == {0}
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_by_rounds_and_in_one_task(spark, few):
+    from quillon.operators import joins
+
+    r = random.Random(5)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)] + [(7, 7)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    got = {x.node: x.root for x in joins.components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b", few=few).collect()}
+    assert got == {x: root(x) for x in {n for a, b in edges if a != b for n in (a, b)}}
