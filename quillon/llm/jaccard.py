@@ -261,16 +261,13 @@ def _bits(column: pa.Array) -> np.ndarray:
 
 
 def _with(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
-    """edges with the columns of nodes (node, ...) for one end, suffixed by its name; an end of very many edges is dealt out."""
-    degree = edges.groupBy(end).agg(F.count("*").alias("_n"))
-    named = nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in nodes.columns if c != "node"])
-    return spread_join(edges, cut(degree.join(named, end)), end, "_n")
+    """edges with the columns of nodes (node, ...) for one end, suffixed by its name. An end of very many edges is a skewed key of a plain join, which Spark splits."""
+    return edges.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in nodes.columns if c != "node"]), end)
 
 
 def _verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The edges whose texts confirm them."""
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first_doc", "h1", "h2"), "node")
-    wanted = cut(wanted)
+    wanted = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first_doc", "h1", "h2"), "node"))
     ids = small_side(wanted.select(F.col("first_doc").alias("_id")).distinct(), BROADCAST_IDS)
     rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
@@ -438,7 +435,7 @@ def _edges(*pairs: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, range_entries: int = RANGE_ENTRIES, block: int = BLOCK, turns: int = 2) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, range_entries: int = RANGE_ENTRIES, block: int = BLOCK, turns: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: its set's size, and the smallest id it reaches by links of similarity num / den or more."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     own = cut(own_sets(texts, k))
@@ -448,8 +445,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     lists = packed_signatures(texts, k, num, den, ranges).groupBy("range").applyInArrow(_lists, "list long, h1 long").distinct()
     drawn = classes.select("node", "n", "sketch")
     members = cut(lists.join(classes.select("h1", "node"), "h1").select("list", "node"))
-    sizes = cut(members.groupBy("list").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block)))
-    placed = spread_join(members, sizes, "list", "size").join(drawn, "node").withColumn("root", F.col("node"))
+    sizes = members.groupBy("list").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    placed = members.join(sizes, "list").join(drawn, "node").withColumn("root", F.col("node"))
     near = cut(_near_members(placed, num, den))
     best = near.filter("least is not null").groupBy("node").agg(F.min("least").alias("least"), F.min(F.struct("far", "nearest")).alias("near"))
     tried = cut(_edges(best.select("node", "least"), best.select("node", F.col("near.nearest").alias("nearest"))))
@@ -457,8 +454,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     roots = cut(components(links, "a", "b"))
     rooted = cut(near.filter("list is not null").select("list", "node").distinct().join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root")))
     split = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
-    split = cut(split.select("list", F.ceil(F.col("size") / block).alias("blocks"), "size"))
-    rest = cut(_pairs_across(spread_join(rooted, split, "list", "size").join(drawn, "node"), num, den).join(tried, ["a", "b"], "left_anti"))
+    split = split.select("list", F.ceil(F.col("size") / block).alias("blocks"))
+    rest = cut(_pairs_across(rooted.join(split, "list").join(drawn, "node"), num, den).join(tried, ["a", "b"], "left_anti"))
     for turn in range(turns + 1):  # the last turn tries all that is left
         if not rest.limit(1).count():
             break
