@@ -179,6 +179,7 @@ def lots(docs: DataFrame, k: int, buckets: int, lot_words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names)
 
         docs, where, hashes, used = [], [], [], 0
+        met: set[tuple[int, int]] = set()  # rows of the lot; a copy of one of them sends no edges, as its paths would be the same
         for batch in task_batches(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in pieces(batch.column(1)):
@@ -187,9 +188,18 @@ def lots(docs: DataFrame, k: int, buckets: int, lot_words: int) -> DataFrame:
                     for some in rows(docs, where, hashes):
                         yield packed(some)
                     docs, where, hashes, used = [], [], [], 0
+                    met = set()
                 own = w.hashes()
                 at, h = windows(own, w.at, k)
-                docs += zip(ids[i:j].tolist(), w.counts.tolist(), word_digests(own, w).tolist(), strict=True)
+                rows_ = list(zip(ids[i:j].tolist(), word_digests(own, w).tolist(), strict=True))
+                copy = np.zeros(len(rows_), bool)
+                for n, row in enumerate(rows_):
+                    copy[n] = row in met
+                    met.add(row)
+                if copy.any():
+                    first = ~copy[np.searchsorted(w.at, at, "right") - 1]
+                    at, h = at[first], h[first]
+                docs += [(row[0], c, row[1]) for row, c in zip(rows_, w.counts.tolist(), strict=True)]
                 where.append(at + used)
                 hashes.append(h)
                 used += len(w)
@@ -266,6 +276,8 @@ def unpack(paths: bytes) -> np.ndarray:
     return np.frombuffer(paths, "<u4").reshape(3, -1).astype(np.int64)
 
 
+#: Rows that a task remembers so as to tell copies.
+MOST_MET = 1_000_000
 #: Bytes of a path's digest.
 PROOF = 16
 
@@ -304,27 +316,34 @@ def repeated_paths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def _zipped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, zipped): compressed texts with the digest of their words, for the joins."""
+    """(id, digest, zipped, lead): compressed texts with the digest of their words, for the joins; lead: the first row of its id and words in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
+        met: set[tuple[int | None, int]] = set()
         for batch in task_batches(batches):
             for i, j, data, offsets in pieces(batch.column(1)):
                 w = Words(data, offsets, SPACE_WORDS)
-                raw = data.tobytes()
+                raw, digests = data.tobytes(), word_digests(w.hashes(), w)
                 packed = [z.compress(raw[offsets[d] : offsets[d + 1]]) for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(word_digests(w.hashes(), w)), pa.array(packed, pa.binary())], ["doc_id", "digest", "zipped"])
+                if len(met) > MOST_MET:
+                    met = set()
+                lead = []
+                for row in zip(batch.column(0).slice(i, j - i).to_pylist(), digests.tolist(), strict=True):
+                    lead.append(row not in met)
+                    met.add(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digests), pa.array(packed, pa.binary()), pa.array(lead)], ["doc_id", "digest", "zipped", "lead"])
 
     own = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     # a key that is never null, and the same columns, let both joins use one shuffle of the texts; null ids get keys that no path has
-    packed = own.mapInArrow(run, "doc_id long, digest long, zipped binary")
-    return packed.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.pmod("digest", F.lit(NO_IDS)), F.lit(NO_ID)).alias("id"), "digest", "zipped")
+    packed = own.mapInArrow(run, "doc_id long, digest long, zipped binary, lead boolean")
+    return packed.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.pmod("digest", F.lit(NO_IDS)), F.lit(NO_ID)).alias("id"), "digest", "zipped", "lead")
 
 
 def with_proofs(paths: DataFrame, zipped: DataFrame, k: int) -> DataFrame:
-    """(of, row, paths, proof): paths with the digests of the words at their source, from each row that has the source's id."""
+    """(of, row, paths, proof): paths with the digests of the words at their source, from each row that has the source's id, copies within a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -340,7 +359,8 @@ def with_proofs(paths: DataFrame, zipped: DataFrame, k: int) -> DataFrame:
                 found.append(proofs(words, p[2], p[1] + (k - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["of", "row", "paths", "proof"])
 
-    met = paths.select(F.col("doc_id").alias("of"), F.col("digest").alias("row"), "src", "paths").join(zipped, F.col("src") == F.col("id"))
+    # `lead` is compared with a zero of the other side, so that the texts are shuffled once for both joins and not by a filter
+    met = paths.select(F.col("doc_id").alias("of"), F.col("digest").alias("row"), "src", "paths").join(zipped, (F.col("src") == F.col("id")) & (F.col("lead").cast("int") > F.least(F.octet_length("paths"), F.lit(0))))
     return met.select("of", "row", "paths", "zipped", "digest").mapInArrow(run, "of long, row long, paths binary, proof binary")
 
 
@@ -349,7 +369,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     paths = repeated_paths(docs, id_col=id_col, text_col=text_col, k=k, edges_per_bucket=edges_per_bucket, lot_words=lot_words)
     zipped = _zipped(docs, id_col, text_col)
     # a document's paths are at most its words; it is gathered by its own id, never by a source's
-    per_doc = with_proofs(paths, zipped, k).repartition("of").groupBy("of", "row").agg(F.collect_list(F.struct("paths", "proof")).alias("paths"))
+    per_doc = with_proofs(paths, zipped, k).repartition("of").groupBy("of", "row").agg(F.collect_set(F.struct("paths", "proof")).alias("paths"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
