@@ -55,20 +55,35 @@ def rotate(
     parts = F.transform("t", lambda x: F.struct(head(x).alias("head"), F.concat(x["text"], F.lit(END)).alias("body"), (x["role"] == F.col("speaker")).alias("own")))
     shaped = both.select("conv_id", "speaker", "segment", "char_start", parts.alias("parts"))
     text = F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["body"])), "")
-    span = "array<struct<from:bigint,to:bigint>>"
-    run = F.aggregate(
-        "parts", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["head"]) + F.length(x["body"])).alias("at"),
-            F.when(x["own"], F.array_append(a["spans"], F.struct((a["at"] + F.length(x["head"])).alias("from"), (a["at"] + F.length(x["head"]) + F.length(x["body"])).alias("to")))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )
+    spans = _spans("parts")
     return shaped.select(
         "conv_id", "speaker", "segment", F.size("parts").cast("long").alias("n_turns"),
-        F.size(F.filter("parts", lambda x: x["own"])).cast("long").alias("n_own"), text.alias("text"), run["spans"].alias("spans"), "char_start",
+        F.size(F.filter("parts", lambda x: x["own"])).cast("long").alias("n_own"), text.alias("text"), spans.alias("spans"), "char_start",
     )
 
 
+#: Turns whose spans one fold appends to one list; lists that grow in a fold are copied at each step.
+FOLD = 256
+SPANS = "array<struct<from:bigint,to:bigint>>"
+
+
+def _spans(parts: str):
+    """[from, to) of the own bodies in the text of all parts: folds over runs of FOLD parts, whose beginnings a fold over the runs gives."""
+    length = lambda x: (F.length(x["head"]) + F.length(x["body"])).cast("long")
+    zero = F.lit(0).cast("long")
+
+    def within(run):
+        step = lambda a, x: F.struct(
+            (a["at"] + length(x)).alias("at"), F.when(x["own"], F.array_append(a["spans"], F.struct((a["at"] + F.length(x["head"])).alias("from"), (a["at"] + length(x)).alias("to")))).otherwise(a["spans"]).alias("spans")
+        )
+        return F.aggregate(run, F.struct(zero.alias("at"), F.array().cast(SPANS).alias("spans")), step)
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / FOLD).cast("int")), lambda k: within(F.slice(parts, k * FOLD + 1, FOLD)))
+    start = F.struct(zero.alias("at"), F.array().cast("array<array<struct<from:bigint,to:bigint>>>").alias("out"))
+    moved = lambda a, r: F.transform(r["spans"], lambda s: F.struct((s["from"] + a["at"]).alias("from"), (s["to"] + a["at"]).alias("to")))
+    return F.flatten(F.aggregate(runs, start, lambda a, r: F.struct((a["at"] + r["at"]).alias("at"), F.array_append(a["out"], moved(a, r)).alias("out")))["out"])
+
+
 def _places(own: DataFrame, system: str) -> DataFrame:
     """(conv_id, segment, speaker, char_start): a rendering's length before each segment, from sums by segment and role."""
     named = F.when(F.col("role") == system, F.lit(len("system"))).otherwise(F.length(F.concat(F.lit("user name="), _name(F.col("role")))))
