@@ -98,7 +98,7 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, n: str) -> DataFr
 
 
 #: Graphs of up to so many links are solved by one task, whose work is bounded by that.
-FEW_LINKS = 10_000
+FEW_LINKS = 16_384
 
 
 def _few_components(edges: DataFrame) -> DataFrame:
@@ -155,6 +155,16 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60, few: int = FE
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def merged_components(roots: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): components found earlier (node, root), joined by further links; only the components that links touch are looked at again."""
+    at = lambda end: roots.select(F.col("node").alias(f"_{end}"), F.col("root").alias(f"_r{end}"))
+    own = links.select(F.col(a).alias("_x"), F.col(b).alias("_y")).join(at("x"), "_x", "left").join(at("y"), "_y", "left")
+    joined = cut(components(own.select(F.coalesce("_rx", "_x").alias("x"), F.coalesce("_ry", "_y").alias("y")), "x", "y"))
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    known = roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return known.unionByName(joined.join(roots, "node", "left_anti"))
+
+
 def token_components(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     """(key, component): rows joined by shared tokens. Each row links to its token's smallest row: rows - 1 links a token."""
     flat = rows.select(F.col(key).alias("k"), F.explode(tokens).alias("t"))

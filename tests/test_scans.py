@@ -134,3 +134,14 @@ def test_components_by_rounds_and_in_one_task(spark, few):
         up[max(x, y)] = min(x, y)
     got = {x.node: x.root for x in joins.components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b", few=few).collect()}
     assert got == {x: root(x) for x in {n for a, b in edges if a != b for n in (a, b)}}
+
+
+def test_components_merge_by_further_links(spark):
+    from quillon.operators import joins
+
+    first = spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "a long, b long")
+    more = spark.createDataFrame([(2, 4), (9, 8), (7, 6), (9, 9)], "a long, b long")
+    roots = joins.components(first, "a", "b")
+    got = {x.node: x.root for x in joins.merged_components(roots, more, "a", "b").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 8, 9: 8}
+    assert {x.node: x.root for x in joins.merged_components(roots, more.limit(0), "a", "b").collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
