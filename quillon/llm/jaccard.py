@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, small_batches, small_side, spread_join
+from .shared import components, cut, merged_components, small_batches, small_side, spread_join
 from .textbytes import SPACE_WORDS, Words, mix, pieces, task_batches, windows
 
 #: Bits of a sketch; entries a lot sends at once; signatures a hash range holds about; classes of a list that meet in one block.
@@ -450,8 +450,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     near = cut(_near_members(placed, num, den))
     best = near.filter("least is not null").groupBy("node").agg(F.min("least").alias("least"), F.min(F.struct("far", "nearest")).alias("near"))
     tried = cut(_edges(best.select("node", "least"), best.select("node", F.col("near.nearest").alias("nearest"))))
-    links = cut(_verified(tried, classes, texts, k, num, den))
-    roots = cut(components(links, "a", "b"))
+    roots = cut(components(_verified(tried, classes, texts, k, num, den), "a", "b"))
     rooted = cut(near.filter("list is not null").select("list", "node").distinct().join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root")))
     split = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
     split = split.select("list", F.ceil(F.col("size") / block).alias("blocks"))
@@ -462,10 +461,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
         both = rest.select("a", "b", "far").union(rest.select("b", "a", "far"))
         nearest = both.groupBy("a").agg(F.min(F.struct("far", "b")).alias("near")).select("a", "near.b")
         tried = cut(_edges(nearest) if turn < turns else rest.select("a", "b"))
-        more = cut(_verified(tried, classes, texts, k, num, den))
-        if more.limit(1).count():
-            links = cut(links.unionByName(more))
-            roots = cut(components(links, "a", "b"))
+        roots = cut(merged_components(roots, _verified(tried, classes, texts, k, num, den), "a", "b"))
         if turn < turns:
             for end in ("a", "b"):
                 rest = rest.drop(f"_{end}").join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import components, spread_join  # noqa: F401
+from ..operators.joins import components, merged_components, spread_join  # noqa: F401
 from ..session import cut  # noqa: F401
 
 
