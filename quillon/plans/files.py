@@ -45,6 +45,17 @@ def file_byte_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.regexp_extract("value", r"^\{.doc_id.: (-?\d+)", 1).cast("long").alias("doc_id"), F.octet_length("raw").cast("long").alias("n_bytes"), "record_sha256")
 
 
+def file_rows_as_they_lie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row of the suppliers and customers, by their places in the tables as they lie."""
+    out = []
+    for name, key in (("supplier", "s_suppkey"), ("customer", "c_custkey")):
+        path = f"{sf_dir}/{name}.parquet"
+        n = spark.read.parquet(path).count()
+        rows = R.rows_as_they_lie(spark, path, spark.range(3, n + 100, 7).select(F.col("id").alias("index")))
+        out.append(rows.select(F.lit(name).alias("name"), "index", F.col(key).cast("long").alias("key")))
+    return R.union_ragged(out)
+
+
 _SPECS = ("AI/sql#500", "hf::a/b:x/y#20", "MS::name", "odd::c:d", "plain", "a/b:all")
 
 
@@ -163,6 +174,8 @@ _ASKED = "(0, 'org/alpha', 'org/alpha'), (1, 'alpha', 'org/alpha'), (2, 'x/alpha
 QUERIES = {
     "file_byte_lines": (file_byte_lines, r"""with l as (select doc_id, '{"doc_id": ' || doc_id || ', "x": "' || regexp_replace(translate(coalesce(text, ''), chr(10) || '"\' || chr(9), chr(13) || '||'), '[\x00-\x0C\x0E-\x1F]', '', 'g') || '"}' x from documents)
         select doc_id, strlen(x)::bigint n_bytes, sha256(x) record_sha256 from l"""),
+    "file_rows_as_they_lie": (file_rows_as_they_lie, """with s as (select row_number() over () - 1 as "index", s_suppkey k from supplier), c as (select row_number() over () - 1 as "index", c_custkey k from customer)
+        select 'supplier' as name, "index", k::bigint as key from s where "index" % 7 = 3 union all select 'customer', "index", k::bigint from c where "index" % 7 = 3"""),
     "file_formats": (file_formats, """select f as format, s_suppkey, case when s_suppkey % 3 = 0 then '' else s_name || ' "a, b"' || chr(10) || 'c' end as name from supplier, unnest(['jsonl', 'csv', 'parquet', 'orc', 'txt']) x(f)"""),
     "source_specs": (source_specs, f"select n_nationkey, name, hub, rows, subsets from nation join (values {_SPEC}) v(i, name, hub, rows, subsets) on n_nationkey % 6 = i"),
     "source_catalog": (source_catalog, f"select n_nationkey, asked, found from nation join (values {_ASKED}) v(i, asked, found) on n_nationkey % 7 = i"),

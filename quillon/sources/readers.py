@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 FORMATS = {"jsonl": "json", "json": "json", "csv": "csv", "txt": "text", "parquet": "parquet", "orc": "orc"}
 
 
@@ -128,6 +130,48 @@ def rows_at(spark: SparkSession, path: str, numbers: list[int], name: str = "ind
     return spark.read.parquet(path).filter(F.col("part").isin(parts) & F.col(name).isin(numbers)).drop("part")
 
 
+def footer_index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, first): rows of each Parquet file and the index (from 0) of its first row, files in order of their names.
+
+    No column is read: the counts are those of the footers, read in tasks. A file without rows is left out.
+    """
+    from ..operators.scans import running
+
+    counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    return running(counts, [], ["file"], {"_upto": F.col("n")}).select("file", "n", (F.col("_upto") - F.col("n")).alias("first"))
+
+
+def locate(index: DataFrame, numbers: DataFrame, name: str = "index") -> DataFrame:
+    """(name, file, row): in which file, at which place, the row of each number stands; numbers beyond the table are left out.
+
+    The line of all rows is cut into as many cells as there are files; files and numbers meet by cell, so about three rows a file
+    are compared with those of the numbers that lie near.
+    """
+    total, files = index.agg(F.sum("n"), F.count("*")).first()
+    width = max(1, -(-(total or 0) // max(files, 1)))
+    cells = index.withColumn("_c", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.col("n") - 1) / width))))
+    own = numbers.select(F.col(name).cast("long").alias(name)).withColumn("_c", F.floor(F.col(name) / width))
+    inside = (F.col(name) >= F.col("first")) & (F.col(name) < F.col("first") + F.col("n"))
+    return own.join(cells, "_c").filter(inside).select(name, "file", (F.col(name) - F.col("first")).alias("row"))
+
+
+def rows_as_they_lie(spark: SparkSession, path: str, numbers: DataFrame, name: str = "index", few_files: int = 1000) -> DataFrame:
+    """The rows of the given numbers of a Parquet table as it lies, with their number; nothing is rewritten.
+
+    Up to `few_files` files are opened alone; beyond that the table is scanned and meets the places by a join.
+    """
+    places = cut(locate(footer_index(spark, path), numbers.distinct(), name))
+    files = [r["file"] for r in places.select("file").distinct().limit(few_files + 1).collect()]  # names of at most few_files + 1 files
+    whole = spark.read.parquet(path)
+    if not files:
+        return whole.limit(0).select("*", F.lit(0).cast("long").alias(name))
+    alone = files[0].rsplit("/", 1)[-1] == path.rstrip("/").rsplit("/", 1)[-1]  # the table is one file
+    table = whole if alone or len(files) > few_files else spark.read.schema(whole.schema).option("basePath", path).parquet(*files)
+    placed = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    match = (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))
+    return placed.join(places.select(F.col("file").alias("_f"), F.col("row").alias("_r"), name), match).drop("_file", "_row", "_f", "_r")
+
+
 def member_is_safe(name: str) -> bool:
     """Whether an archive member stays inside the folder it is unpacked to."""
     parts = name.replace("\\", "/").split("/")

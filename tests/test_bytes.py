@@ -64,3 +64,23 @@ def test_csv_fields_are_never_null(spark, tmp_path):
     assert [tuple(r) for r in readers.read(spark, str(tmp_path / "a.csv")).orderBy("k").collect()] == [("1", "", ""), ("2", "x", "")]
     d = readers.read(spark, str(tmp_path / "a.csv"), "k long, v string, w string")
     assert d.filter(F.col("v").isNull() | F.col("w").isNull()).count() == 0
+
+
+def test_rows_of_a_table_as_it_lies(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (5, 1, 17, 40):
+        spark.range(n).selectExpr("id * 10 as v", f"{n} as p").coalesce(1).write.mode("append").parquet(path)
+    spark.range(0).selectExpr("id as v", "0 as p").coalesce(1).write.mode("append").parquet(path)
+    files = {r.file: (r.n, r.first) for r in readers.footer_index(spark, path).collect()}
+    assert sorted(n for n, _ in files.values()) == [1, 5, 17, 40]
+    total, line = 0, []
+    for name in sorted(files):
+        assert files[name][1] == total
+        total += files[name][0]
+        line += [(i * 10, files[name][0]) for i in range(files[name][0])]
+    wanted = [0, 4, 5, 6, 22, 23, 62, 63, 99, 5]
+    numbers = spark.createDataFrame([(i,) for i in wanted], "index long")
+    for few in (1000, 1):
+        got = {r["index"]: (r.v, r.p) for r in readers.rows_as_they_lie(spark, path, numbers, few_files=few).collect()}
+        assert got == {i: line[i] for i in wanted if i < total}
+    assert readers.rows_as_they_lie(spark, path, numbers.limit(0)).count() == 0
