@@ -129,7 +129,7 @@ def test_queries_match_their_sql(spark):
     from quillon.llm import queries
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         mine = queries.queries()[name](spark, sf)
