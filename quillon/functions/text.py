@@ -6,6 +6,9 @@ the German sharp s). White space is the ASCII set that both engines share.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,9 +47,20 @@ def norm_unicode(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), r"(?U)[^\w]+", " "))
 
 
-def norm_concept(x: Column) -> Column:
-    """Collapsed, without ` ;,.` at either end, lower case (H5)."""
-    return F.lower(F.regexp_replace(F.regexp_replace(x, WS, " "), "^[ ;,.]+|[ ;,.]+$", ""))
+def nfkc(x: Column) -> Column:
+    """Unicode's compatibility composition. Texts of ASCII alone, which it doesn't change, stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def compose(v: pd.Series) -> pd.Series:
+        return v.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    foreign = F.octet_length(x) != F.length(x)
+    return F.when(foreign, compose(F.when(foreign, x))).otherwise(x)
+
+
+def norm_concept(x: Column, compose: bool = False) -> Column:
+    """Collapsed, without ` ;,.` at either end, lower case (H5); with compose=True compatibility forms (ligatures, full width, superscripts) are their plain ones first."""
+    return F.lower(F.regexp_replace(F.regexp_replace(nfkc(x) if compose else x, WS, " "), "^[ ;,.]+|[ ;,.]+$", ""))
 
 
 def words(x: Column) -> Column:

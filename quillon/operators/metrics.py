@@ -46,8 +46,15 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def in_batch_scores(pairs: DataFrame, batch: str, key: str, query: str, doc: str) -> DataFrame:
-    """(batch, q, d, score): every query against every document of its batch (C10); a batch is small by its definition."""
+#: Rows of a batch whose queries meet all its documents.
+MOST_IN_BATCH = 65_536
+
+
+def in_batch_scores(pairs: DataFrame, batch: str, key: str, query: str, doc: str, most: int = MOST_IN_BATCH) -> DataFrame:
+    """(batch, q, d, score): every query against every document of its batch (C10). A batch is what one training step takes, so one of more than `most` rows is an error."""
+    largest = pairs.groupBy(batch).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a batch has {largest} rows; at most {most} meet one another")
     q = pairs.select(batch, F.col(key).alias("q"), F.col(query).alias("_q"))
     d = pairs.select(F.col(batch).alias("_b"), F.col(key).alias("d"), F.col(doc).alias("_d"))
     return q.join(d, F.col(batch) == F.col("_b")).select(batch, "q", "d", cosine(F.col("_q"), F.col("_d")).alias("score"))
