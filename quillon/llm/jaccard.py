@@ -54,8 +54,8 @@ from .textbytes import SPACE_WORDS, Words, mix, pieces, task_batches, windows
 SKETCH, LOT_ENTRIES, RANGE_ENTRIES, BLOCK = 1024, 3_000_000, 2_000_000, 1024
 #: Levels of partitions of the domain; parts of a part.
 LEVELS, PARTS = 5, 3
-#: Candidate ids are broadcast up to this number (16 bytes each).
-BROADCAST_IDS = 500_000
+#: Candidate ids and classes are broadcast up to this number (16 and 24 bytes each).
+BROADCAST_IDS = 200_000
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -275,15 +275,18 @@ def _verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
+        met: set[tuple[int, int]] = set()  # a class once a task, where ids repeat; its links are then confirmed more than once
         for batch in task_batches(batches):
             for i, j, data, offsets in pieces(batch.column(1)):
                 doc, h = sets(Words(data, offsets, SPACE_WORDS, lower=True), k)
                 a, b = (x.view(np.int64) for x in set_keys(doc, h, j - i))
+                new = [d for d, key in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if not (key in met or met.add(key))]
                 raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([z.compress(raw[offsets[d] : offsets[d + 1]]) for d in range(j - i)], pa.binary())], ["h1", "h2", "zipped"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array([z.compress(raw[offsets[d] : offsets[d + 1]]) for d in new], pa.binary())], ["h1", "h2", "zipped"])
+                met = set() if len(met) > 1_000_000 else met
 
-    texts = small_batches(rows).mapInArrow(pack, "h1 long, h2 long, zipped binary").join(wanted.select("node", "h1", "h2"), ["h1", "h2"])
-    texts = cut(texts.select("node", "zipped").dropDuplicates(["node"]))
+    # the texts are shuffled once, by class, for both ends
+    texts = small_batches(rows).mapInArrow(pack, "h1 long, h2 long, zipped binary").join(small_side(wanted.select("node", "h1", "h2"), BROADCAST_IDS), ["h1", "h2"]).select("node", "zipped")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
