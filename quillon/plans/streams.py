@@ -52,6 +52,18 @@ def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of event types with gaps of an hour, in three micro-batches; those that the watermark has closed."""
+    where = _scratch(spark)
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    for b in range(3):
+        e.filter(third == b).write.mode("append").parquet(f"{where}/in")
+        L.run_available(L.sessions(L.read_files(spark, f"{where}/in", e.schema, 1 << 20), "ts", "event_type", "1 hour"), f"{where}/out", f"{where}/state")
+    out = spark.read.schema("start timestamp, end timestamp, event_type string, n long").parquet(f"{where}/out")
+    return out.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "event_type", "n")
+
+
 def stream_head_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 documents, a tenth for validation."""
     val, train = L.head_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, 0.1)
@@ -127,5 +139,8 @@ QUERIES = {
     "log_resume": (log_resume, """with e as (select user_id, event_id, case when least((day(ts) - 1) // 10, 2) = 2 then 'altered' else event_type end event_type from events)
         select user_id, max(event_id) event_id, arg_max(event_type, event_id) event_type, 'BUILT,READY,EXTENDED,REBUILT' steps from e group by 1"""),
     "stream_window": (stream_window, "select strftime(ts::date, '%Y-%m-%d') as day, event_type, count(*) n from events group by 1, 2 having max(ts)::date + interval 1 day <= (select max(ts) from events) - interval 10 minute"),
+    "stream_sessions": (stream_sessions, """with g as (select ts, event_type, coalesce(ts >= lag(ts) over w + interval 1 hour, true)::int opens from events window w as (partition by event_type order by ts)),
+        s as (select *, sum(opens) over (partition by event_type order by ts) k from g)
+        select epoch_us(min(ts)) start_us, epoch_us(max(ts)) + 3600000000 end_us, event_type, count(*) n from s group by event_type, k having max(ts) + interval 1 hour <= (select max(ts) from events) - interval 10 minute"""),
     "stream_head_split": (stream_head_split, "select doc_id, case when row_number() over (order by doc_id) <= 10 then 'val' else 'train' end split from documents order by doc_id limit 100"),
 }

@@ -87,6 +87,12 @@ def windowed(df: DataFrame, ts: str, key: str, size: str, slide: str | None = No
     return df.withWatermark(ts, late).groupBy(w, key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
+def sessions(df: DataFrame, ts: str, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """(start, end, key, n): runs of a key's rows with less than `gap` between neighbours; a run ends a gap after its last row."""
+    w = F.session_window(ts, gap)
+    return df.withWatermark(ts, late).groupBy(w, key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
+
+
 def each_batch(df: DataFrame, f, checkpoint: str) -> None:
     """f(batch, number) for each micro-batch of what there is (L4)."""
     df.writeStream.foreachBatch(f).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
