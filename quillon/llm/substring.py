@@ -359,8 +359,8 @@ def with_proofs(paths: DataFrame, zipped: DataFrame, k: int) -> DataFrame:
                 found.append(proofs(words, p[2], p[1] + (k - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["of", "row", "paths", "proof"])
 
-    # `lead` is compared with a zero of the other side, so that the texts are shuffled once for both joins and not by a filter
-    met = paths.select(F.col("doc_id").alias("of"), F.col("digest").alias("row"), "src", "paths").join(zipped, (F.col("src") == F.col("id")) & (F.col("lead").cast("int") > F.least(F.octet_length("paths"), F.lit(0))))
+    # `lead` is compared with a zero of the other side and never tested for null, so that no filter goes below the shuffle of the texts, which both joins use
+    met = paths.select(F.col("doc_id").alias("of"), F.col("digest").alias("row"), "src", "paths").join(zipped, (F.col("src") == F.col("id")) & (F.coalesce("lead", F.lit(True)).cast("int") > F.least(F.octet_length("paths"), F.lit(0))))
     return met.select("of", "row", "paths", "zipped", "digest").mapInArrow(run, "of long, row long, paths binary, proof binary")
 
 
@@ -398,7 +398,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     # digests are compared beside the key, so that the texts stay dealt by id alone
     same_row = (F.col("id") == F.col("of")) & (F.col("digest").bitwiseXOR(F.col("row")) == 0)
-    both = zipped.join(per_doc, same_row, "left").select(F.when(F.col("id") >= NO_ID + NO_IDS, F.col("id")).alias("doc_id"), "zipped", "paths")
+    both = zipped.join(per_doc, same_row, "left").select(F.when(F.col("id") >= NO_ID + NO_IDS, F.col("id")).alias("doc_id"), "zipped", "paths", "lead")  # the same columns as the other join has
     return both.mapInArrow(clean, "doc_id long, n_words long, n_removed long, text string")
 
 
