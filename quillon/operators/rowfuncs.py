@@ -548,4 +548,5 @@ def caption_rerank(df: DataFrame, key: str, k: int = 7) -> DataFrame:
     met = negatives(df.select(key, "response"), pool, key, "response", "item", k)
     other = met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: ask(x["item"])).alias("negative_messages"))  # k a row
     nothing = F.array().cast("array<array<struct<role:string,content:string>>>")
-    return df.join(other, key, "left").select(key, ask(F.lit("<image>")).alias("messages"), F.array(ask(F.get("response", 0))).alias("positive_messages"), F.coalesce("negative_messages", nothing).alias("negative_messages"))
+    # a list a row is no small side, though Spark judges it by its file
+    return df.join(other.hint("merge"), key, "left").select(key, ask(F.lit("<image>")).alias("messages"), F.array(ask(F.get("response", 0))).alias("positive_messages"), F.coalesce("negative_messages", nothing).alias("negative_messages"))
