@@ -180,9 +180,10 @@ def react_format(x: Column) -> Column:
 
 
 def boxed(x: Column) -> Column:
-    """The content of the first `\\boxed{}`, else of `<answer>`, else the text."""
-    b, a = F.regexp_extract(x, r"\\boxed\{([^{}]*)\}", 1), F.regexp_extract(x, r"(?s)<answer>(.*?)</answer>", 1)
-    return F.trim(F.when(b != "", b).when(a != "", a).otherwise(x))
+    """The content of the first `\\boxed{}` that isn't empty, else of `<answer>`, which may be empty, else the text."""
+    answer = r"(?s)<answer>(.*?)</answer>"
+    b, a = F.regexp_extract(x, r"\\boxed\{([^{}]*)\}", 1), F.regexp_extract(x, answer, 1)
+    return F.trim(F.when(b != "", b).when((a != "") | x.rlike(answer), a).otherwise(x))
 
 
 def last_action(x: Column) -> Column:

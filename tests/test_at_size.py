@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
 from quillon.operators import rowfuncs as P
 
 
@@ -16,3 +17,8 @@ def test_dealt_out_rows_are_not_broadcast(spark):
     assert "LeftOuter" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "LeftOuter" in line]
     assert "BuildLeft" not in plan  # only the pool may be broadcast, never the rows
     assert {len(r["negative_messages"]) for r in out.collect()} == {3}
+
+
+def test_an_empty_answer_is_an_answer(spark):
+    got = spark.range(1).select(T.boxed(F.lit("<think></think>\n<answer></answer>")).alias("a"), T.boxed(F.lit("<answer> \n</answer>")).alias("b"), T.boxed(F.lit(" no answer ")).alias("c")).first()
+    assert (got["a"], got["b"], got["c"]) == ("", "\n", "no answer")
