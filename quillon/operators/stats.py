@@ -57,8 +57,10 @@ def pearson(df: DataFrame, group: list[str], x: str, y: str, name: str = "pearso
     """Pearson correlation, null where either side is constant."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     both = df.filter(a.isNotNull() & b.isNotNull())
-    s = both.groupBy(*group).agg(F.covar_pop(a, b).alias("_c"), F.stddev_pop(a).alias("_a"), F.stddev_pop(b).alias("_b"))
-    return s.select(*group, F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_c") / (F.col("_a") * F.col("_b"))).alias(name))
+    # merged means of a constant differ in their last bit, so its deviation need not be 0
+    varies = ((F.min(a) < F.max(a)) & (F.min(b) < F.max(b))).alias("_v")
+    s = both.groupBy(*group).agg(F.covar_pop(a, b).alias("_c"), F.stddev_pop(a).alias("_a"), F.stddev_pop(b).alias("_b"), varies)
+    return s.select(*group, F.when(F.col("_v") & (F.col("_a") > 0) & (F.col("_b") > 0), F.col("_c") / (F.col("_a") * F.col("_b"))).alias(name))
 
 
 def average_rank(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import rowfuncs as P
+from quillon.operators import stats as ST
 
 
 def _plan(df):
@@ -22,3 +23,11 @@ def test_dealt_out_rows_are_not_broadcast(spark):
 def test_an_empty_answer_is_an_answer(spark):
     got = spark.range(1).select(T.boxed(F.lit("<think></think>\n<answer></answer>")).alias("a"), T.boxed(F.lit("<answer> \n</answer>")).alias("b"), T.boxed(F.lit(" no answer ")).alias("c")).first()
     assert (got["a"], got["b"], got["c"]) == ("", "\n", "no answer")
+
+
+def test_a_constant_has_no_correlation_however_partials_merge(spark):
+    # 49 * (1 / 49) is not 1: the mean of a partial of 49 rows merged into an empty one
+    df = spark.range(0, 49 * 5, 1, 5).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("one"))
+    assert ST.pearson(df, ["g"], "x", "one").first()["pearson"] is None
+    assert ST.spearman(df, ["g"], "x", "one").first()["spearman"] is None
+    assert abs(ST.pearson(df.withColumn("y", F.col("x") * 2), ["g"], "x", "y").first()["pearson"] - 1) < 1e-12
