@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .joins import last_write
 from .sampling import value_rank
-from .scans import ROWS_PER_PART, affine_carries, decayed_totals, running, with_before
+from .scans import ROWS_PER_PART, affine_carries, decayed_totals, running, same, with_before
 
 
 def latest(log: DataFrame, key: str, seq: str) -> DataFrame:
@@ -54,18 +54,20 @@ def bursts(log: DataFrame, group: list[str], order: list[str], hit: str, ident:
     return seen.withColumn("burst", reason).select(*log.columns, "burst")
 
 
-def calls_in_window(log: DataFrame, group: list[str], ts: str, seconds: int) -> DataFrame:
+def calls_in_window(log: DataFrame, group: list[str], ts: str, seconds: int, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """log with `in_window`: rows of the group in the trailing window, its far end excluded.
 
-    Time is cut into spans of the window's length, and each row also stands in the next span for the rows there: so a group
-    of many rows is dealt by time. A row without a time counts none.
+    A row adds one at its time and takes it off a window's length later, so the count is a running sum over the distinct times,
+    dealt out in ranges: neither a dense span nor a group of many rows is one task. A row without a time counts none.
     """
-    size = seconds * 1_000_000
-    timed = log.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    both = timed.withColumn("_ahead", F.explode(F.when(F.col("_us").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-    w = W.partitionBy(*group, "_span").orderBy("_us").rangeBetween(-(size - 1), 0)
-    seen = both.withColumn("_span", F.floor(F.col("_us") / size) + F.col("_ahead")).withColumn("in_window", F.when(F.col("_us").isNotNull(), F.count("*").over(w)).otherwise(0))
-    return seen.filter("_ahead = 0").drop("_us", "_ahead", "_span")
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    met = log.filter(us.isNotNull()).groupBy(*group, us.alias("_us")).agg(F.count("*").alias("_d"))
+    off = met.withColumn("_us", F.col("_us") + seconds * 1_000_000).withColumn("_d", -F.col("_d"))
+    steps = met.unionByName(off).groupBy(*group, "_us").agg(F.sum("_d").alias("_d"))
+    sums = running(steps, group, ["_us"], {"_c": F.col("_d")}, rows_per_part)
+    counts = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_us").alias("_at"), "_c").hint("merge")
+    seen = log.withColumn("_us", us).join(counts, same(group) & (F.col("_us") == F.col("_at")), "left")
+    return seen.select(*log.columns, F.coalesce("_c", F.lit(0)).cast("long").alias("in_window"))
 
 
 def debiased_ema(df: DataFrame, group: str, order: str, value: str, smooth: float, rows_per_part: int = ROWS_PER_PART) -> DataFrame:

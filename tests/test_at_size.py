@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import attempts as A
 from quillon.operators import rowfuncs as P
 from quillon.operators import stats as ST
 
@@ -31,3 +32,12 @@ def test_a_constant_has_no_correlation_however_partials_merge(spark):
     assert ST.pearson(df, ["g"], "x", "one").first()["pearson"] is None
     assert ST.spearman(df, ["g"], "x", "one").first()["spearman"] is None
     assert abs(ST.pearson(df.withColumn("y", F.col("x") * 2), ["g"], "x", "y").first()["pearson"] - 1) < 1e-12
+
+
+def test_rolling_counts_come_from_running_sums(spark):
+    rows = [(i, "ab"[i % 2] if i % 7 else None, (i * i * 37) % 400 if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = A.calls_in_window(df, ["g"], "ts", 60, rows_per_part=50)
+    assert "RangeFrame" not in _plan(out)  # a frame that slides is summed anew for each row
+    want = {i: sum(h == g and t is not None and s - 60 < t <= s for _, h, t in rows) if s is not None else 0 for i, g, s in rows}
+    assert {r["id"]: r["in_window"] for r in out.collect()} == want
