@@ -1,9 +1,12 @@
 """Steps that were right on small tables and slow or wrong on large ones."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import attempts as A
+from quillon.operators import rewards as R
 from quillon.operators import rowfuncs as P
 from quillon.operators import stats as ST
 
@@ -41,3 +44,18 @@ def test_rolling_counts_come_from_running_sums(spark):
     assert "RangeFrame" not in _plan(out)  # a frame that slides is summed anew for each row
     want = {i: sum(h == g and t is not None and s - 60 < t <= s for _, h, t in rows) if s is not None else 0 for i, g, s in rows}
     assert {r["id"]: r["in_window"] for r in out.collect()} == want
+
+
+def test_the_entropy_quantile_is_dealt_out(spark):
+    rows = [("ab"[i % 2], float((i * 37) % 101) if i % 13 else None) for i in range(400)] + [("c", None), ("d", 5.0)]
+    df = spark.createDataFrame(rows, "g string, e double")
+    out = R.entropy_mask(df, ["g"], "e", 0.2, rows_per_part=40)
+    assert "percentile" not in _plan(out)
+    edge = {}
+    for g in "abd":
+        v = sorted(e for h, e in rows if h == g and e is not None)
+        at = 0.8 * (len(v) - 1)
+        edge[g] = v[int(at)] + (v[math.ceil(at)] - v[int(at)]) * (at - int(at)) if len(v) > 1 else v[0]
+    got = out.collect()
+    assert len(got) == len(rows)
+    assert all(r["kept"] is None if r["e"] is None else r["kept"] == (r["e"] >= edge[r["g"]]) for r in got)
