@@ -75,3 +75,12 @@ def test_evidence_pairs_are_told_once_and_never_shuffled(spark):
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "HashAggregate" not in _plan(out)
+
+
+def test_audits_read_a_caption_once(spark):
+    from quillon.operators import concepts as K
+
+    df = spark.range(1).select(F.lit("No mass. A cyst.").alias("t"), F.lit("CT").alias("m"), F.array(*[F.struct(F.lit(n).alias("canonical"), F.lit("finding").alias("type"), F.lit("present").alias("status"), F.lit("").alias("laterality"), F.lit(n).alias("mention")) for n in ("mass", "cyst", "mass")]).alias("c"))
+    counted = K.repair_counts(df.select(K.audit_reasons(F.col("c"), F.col("t"), F.col("m")).alias("r")), "r")
+    assert {(r["reason"], r["n"]) for r in counted.collect()} == {("exact_duplicate", 1), ("negation_inconsistency", 2)}
+    assert "Filter (size" not in counted._jdf.queryExecution().optimizedPlan().toString()  # the list would be made twice
