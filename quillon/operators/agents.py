@@ -97,7 +97,18 @@ def format_calls(calls: Column, key: str) -> Column:
 
 def parse_calls(text: Column, key: str) -> Column:
     """array<struct<name, arguments>> of a text in the format; arguments as JSON (values of parameters as strings)."""
-    la = LAYOUTS[key]
+    return T.let(text, lambda t: _parsed(t, LAYOUTS[key]))
+
+
+def shared_layouts() -> list[list[str]]:
+    """The registered formats by layout, each in order: those of one layout write and read alike."""
+    found: dict[Layout, list[str]] = {}
+    for key in sorted(LAYOUTS):
+        found.setdefault(LAYOUTS[key], []).append(key)
+    return list(found.values())
+
+
+def _parsed(text: Column, la: Layout) -> Column:
     if la.json_object:
         inner = F.regexp_extract_all(text, F.lit(rf'(?s)(\{{"name": "[^"]*", "{la.arguments_key}": \{{.*?\}}\}})'), F.lit(1))
         return F.transform(inner, lambda j: F.struct(F.get_json_object(j, "$.name").alias("name"), F.get_json_object(j, f"$.{la.arguments_key}").alias("arguments")))
@@ -106,7 +117,7 @@ def parse_calls(text: Column, key: str) -> Column:
     end = re.escape(la.call[2]) if la.call[2] else f"(?:{re.escape(la.between)}|$)" if la.call[0] == "" else f"(?=\\s*{re.escape(la.call[0])}|$)"
     head = re.escape(la.call[1]) if la.call[1] else r"(?=[{<])"
     pattern = rf"(?s){re.escape(la.call[0])}([^\n{{<]*?){head}(.*?){end}"
-    both = F.arrays_zip(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(body, F.lit(pattern), F.lit(2)).alias("arguments"))
+    both = T.let(body, lambda b: F.arrays_zip(F.regexp_extract_all(b, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(b, F.lit(pattern), F.lit(2)).alias("arguments")))
     if not la.param:
         return F.filter(F.transform(both, lambda c: F.struct(F.trim(c["name"]).alias("name"), F.trim(c["arguments"]).alias("arguments"))), lambda c: c["name"] != "")
     one = rf"(?s){re.escape(la.param[0])}(.*?){re.escape(la.param[1])}(.*?){re.escape(la.param[2])}"

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import agents as A
 from ..operators import attempts, normalize, reports, rowfuncs, sampling, stats
 from ..streaming import streams as L
-from .common import checkpoint_folder, table
+from .common import checkpoint_folder, dealt, table
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +132,11 @@ def agent_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(name.alias("name"), F.to_json(F.struct(size.alias("size"), F.col("p_type").alias("kind"))).alias("arguments")),
         F.struct(F.concat(F.lit("then_"), name).alias("name"), F.to_json(F.struct(F.col("p_name").alias("what"))).alias("arguments")),
     )
-    read = F.array(*[F.struct(F.lit(key).alias("format"), A.parse_calls(A.format_calls(F.col("calls"), key), key).alias("c")) for key in sorted(A.LAYOUTS)])
-    each = _parts(spark, sf_dir).select("p_partkey", calls.alias("calls")).select("p_partkey", F.inline(read))
-    told = F.transform("c", lambda c: F.concat_ws(" ", c["name"], c["arguments"]))
-    return each.select("p_partkey", "format", F.array_join(told, "|").alias("told"))
+    read = F.array(*[F.struct(F.array(*map(F.lit, keys)).alias("formats"), A.parse_calls(A.format_calls(F.col("calls"), keys[0]), keys[0]).alias("c")) for keys in A.shared_layouts()])
+    parts = dealt(_parts(spark, sf_dir).select("p_partkey", "p_brand", "p_size", "p_type", "p_name"), "p_partkey")
+    each = parts.select("p_partkey", calls.alias("calls")).select("p_partkey", F.inline(read))
+    told = F.array_join(F.transform("c", lambda c: F.concat_ws(" ", c["name"], c["arguments"])), "|")
+    return each.select("p_partkey", "formats", told.alias("told")).select("p_partkey", F.explode("formats").alias("format"), "told")
 
 
 _FORMATS = "chatglm4 deepseek_v3_1 deepseek_v4 gemma4 glm4 glm4_5 glm4_7 glm5_1 hermes hunyuan_hermes hy_v3 hy_v3_preview kimi_k25 llama3 llama4 minicpm5 minimax_m2 minimax_m3 mistral qwen3_5 qwen3_coder qwen_en qwen_en_parallel qwen_zh qwen_zh_parallel react_en react_grpo react_zh seed_oss toolbench youtu"

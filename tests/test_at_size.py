@@ -84,3 +84,12 @@ def test_audits_read_a_caption_once(spark):
     counted = K.repair_counts(df.select(K.audit_reasons(F.col("c"), F.col("t"), F.col("m")).alias("r")), "r")
     assert {(r["reason"], r["n"]) for r in counted.collect()} == {("exact_duplicate", 1), ("negation_inconsistency", 2)}
     assert "Filter (size" not in counted._jdf.queryExecution().optimizedPlan().toString()  # the list would be made twice
+
+
+def test_formats_of_one_layout_are_read_once_and_short_rows_are_dealt_out(spark):
+    from quillon.operators import agents
+    from quillon.plans.common import dealt
+
+    shared = agents.shared_layouts()
+    assert sorted(k for keys in shared for k in keys) == sorted(agents.LAYOUTS) and len(shared) == len(set(agents.LAYOUTS.values())) < len(agents.LAYOUTS)
+    assert dealt(spark.range(0, 95, 1, 1), "id", 10).rdd.getNumPartitions() == 10 and dealt(spark.range(0), "id").count() == 0
