@@ -12,6 +12,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,6 +27,24 @@ def with_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Rows of a key whose results leave a task at once.
+PIECE = 10_000
+
+
+def compact(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """us, place and hit of all rows, the number of each row's ident, and the distinct idents: 21 bytes a row, whatever the idents' length."""
+    numbers: dict = {}
+    parts: list[tuple[np.ndarray, ...]] = []
+    for f in frames:
+        if f[["us", "place"]].isna().any(axis=None):
+            raise ValueError("a call needs a time and a place")
+        codes, found = pd.factorize(f["ident"], use_na_sentinel=False)
+        own = np.array([numbers.setdefault(None if pd.isna(x) else x, len(numbers)) for x in found], dtype=np.int32)
+        parts.append((f["us"].to_numpy(np.int64), f["place"].to_numpy(np.int64), f["hit"].to_numpy(bool), own[codes]))
+    us, place, hit, ident = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return us, place, hit, ident, list(numbers)
+
+
 class Limiter(StatefulProcessor):
     """Three refusals in a row, else five among the last `recent` calls, else three ids refused within `minutes` (L6). A key idle for `forget` seconds of event time is forgotten by a timer."""
 
@@ -39,17 +58,19 @@ class Limiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = [tuple(x) for x in self.calls.get()] if self.calls.exists() else []
-        out = []
-        frame = pd.concat([f[["us", "place", "hit", "ident"]] for f in rows]).sort_values(["us", "place"])
-        for us, place, hit, ident in frame.itertuples(index=False):
-            last = [*last, (int(us), bool(hit), ident)][-self.recent :]
-            reason = self.reason(last, int(us))
-            if reason:
-                out.append((str(key[0]), int(place), reason))
+        us, place, hit, ident, names = compact(rows)
+        order = np.lexsort((place, us))
+        for at in range(0, len(order), PIECE):  # results leave in pieces, so only the numbers of a batch's rows are held
+            out = []
+            for i in order[at : at + PIECE].tolist():
+                last = [*last, (int(us[i]), bool(hit[i]), names[ident[i]])][-self.recent :]
+                reason = self.reason(last, last[-1][0])
+                if reason:
+                    out.append((str(key[0]), int(place[i]), reason))
+            if out:
+                yield pd.DataFrame(out, columns=["key", "place", "burst"])
         self.calls.put(last)
         self.remind(last[-1][0] // 1000 + self.forget)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "place", "burst"])
 
     def reason(self, last: list[tuple[int, bool, str]], now: int) -> str | None:
         hits = [x for x in last if x[1]]

@@ -93,3 +93,14 @@ def test_formats_of_one_layout_are_read_once_and_short_rows_are_dealt_out(spark)
     shared = agents.shared_layouts()
     assert sorted(k for keys in shared for k in keys) == sorted(agents.LAYOUTS) and len(shared) == len(set(agents.LAYOUTS.values())) < len(agents.LAYOUTS)
     assert dealt(spark.range(0, 95, 1, 1), "id", 10).rdd.getNumPartitions() == 10 and dealt(spark.range(0), "id").count() == 0
+
+
+def test_a_batch_of_calls_is_held_as_numbers():
+    import pandas as pd
+
+    from quillon.streaming import stateful
+
+    frames = [pd.DataFrame({"us": [3, 1], "place": [0, 1], "hit": [True, False], "ident": ["b", None]}), pd.DataFrame({"us": [2], "place": [2], "hit": [None], "ident": ["b"]})]
+    us, place, hit, ident, names = stateful.compact(iter(frames))
+    assert sum(x.itemsize for x in (us, place, hit, ident)) == 21
+    assert (us.tolist(), place.tolist(), hit.tolist(), [names[i] for i in ident]) == ([3, 1, 2], [0, 1, 2], [True, False, False], ["b", None, "b"])
