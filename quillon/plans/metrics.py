@@ -130,7 +130,8 @@ def doc_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3, M4: a text's first half against its second half."""
     a, b = halves("text")
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower(a).alias("a"), F.lower(b).alias("b"))
-    return d.select("doc_id", F.round(M.rouge_l("a", "b"), 6).alias("rouge_l"), M.text_scores("a", "b").alias("s")).select("doc_id", "rouge_l", "s.*")
+    s = d.select("doc_id", M.rouge_and_bleu("a", "b").alias("s"))
+    return s.select("doc_id", F.round("s.rouge_l", 6).alias("rouge_l"), *[f"s.{c}" for c in ("rouge1", "rouge2", "rougel", "bleu4")])
 
 
 _P = """p as (select vec_id // 2 pair, arg_min(embedding, vec_id)::double[] a, arg_max(embedding, vec_id)::double[] b, (min(label) = max(label))::int::double same from embeddings group by 1 having count(*) = 2)"""

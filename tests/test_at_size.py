@@ -104,3 +104,13 @@ def test_a_batch_of_calls_is_held_as_numbers():
     us, place, hit, ident, names = stateful.compact(iter(frames))
     assert sum(x.itemsize for x in (us, place, hit, ident)) == 21
     assert (us.tolist(), place.tolist(), hit.tolist(), [names[i] for i in ident]) == ([3, 1, 2], [0, 1, 2], [True, False, False], ["b", None, "b"])
+
+
+def test_rouge_takes_one_pass_of_python(spark):
+    from quillon import registry
+
+    assert _plan(registry.queries()["doc_rouge"](spark, "/root/testdata/sf0.001")).count("text_scores") == 0
+    from quillon.operators import metrics as M
+
+    got = spark.createDataFrame([("a b a c", "a b c c"), ("", "a"), ("a", "b")], "a string, b string").select(M.rouge_and_bleu("a", "b").alias("s"), M.rouge_l("a", "b").alias("l"), M.text_scores("a", "b").alias("t")).collect()
+    assert all(r["s"]["rouge_l"] == r["l"] and tuple(r["s"])[1:] == tuple(r["t"]) for r in got)
