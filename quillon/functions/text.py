@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 WS = r"[ \t\n\x0B\f\r]+"
 STRIP = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
+BLANKS = " \t\n\x0b\f\r"
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # Unicode's space separators, which SQL's trim takes
 
 
 def let(value: Column, body) -> Column:
@@ -73,21 +75,35 @@ def sentences(x: Column, ends: str = ".!?", lines: bool = False) -> Column:
     return F.split(x, f"(?<=[{ends}]){WS}" + (r"|\n+" if lines else ""))
 
 
+def strip(x: Column) -> Column:
+    """Without white space at either end; a run of it within the text is passed once."""
+    return F.btrim(x, F.lit(BLANKS))
+
+
 def clean_caption(x: Column) -> Column:
-    """struct<text, rules>: tags and exported paths removed, white space collapsed, repeated sentences dropped (H6)."""
-    original = F.regexp_replace(x, STRIP, "")
-    no_tags = F.regexp_replace(original, "<[^>]+>", " ")
-    no_paths = F.regexp_replace(no_tags, r"(?:[A-Za-z]:\\|/)(?:[^\s,;]+/)+[^\s,;]+", " ")
-    parts = sentences(squeeze(no_paths))
-    kept = F.array_distinct(F.filter(parts, lambda s: s != ""))
-    rules = F.array_compact(
-        F.array(
-            F.when(no_tags != original, F.lit("strip_html")),
-            F.when(no_paths != no_tags, F.lit("strip_export_path")),
-            F.when(F.size(kept) != F.size(parts), F.lit("dedupe_sentence")),
+    """struct<text, rules>: tags and exported paths removed, white space collapsed, repeated sentences dropped (H6). Each step runs once a row."""
+
+    def no_tags(o: Column) -> Column:
+        rest = F.substring_index(o, ">", -1)  # no tag ends in it, so each `<` before it finds its `>` nearby
+        return F.when(F.contains(o, F.lit("<")), F.concat(F.regexp_replace(F.substring(o, F.lit(1), F.length(o) - F.length(rest)), "<[^>]+>", " "), rest)).otherwise(o)
+
+    def no_paths(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("/")), F.regexp_replace(t, r"(?:[A-Za-z]:\\|/)(?:[^\s,;]+/)+[^\s,;]+", " ")).otherwise(t)
+
+    def told(original: Column, untagged: Column, bare: Column, parts: Column, kept: Column) -> Column:
+        rules = F.array_compact(
+            F.array(
+                F.when(untagged != original, F.lit("strip_html")),
+                F.when(bare != untagged, F.lit("strip_export_path")),
+                F.when(F.size(kept) != F.size(parts), F.lit("dedupe_sentence")),
+            )
         )
-    )
-    return F.struct(F.array_join(kept, " ").alias("text"), rules.alias("rules"))
+        return F.struct(F.array_join(kept, " ").alias("text"), rules.alias("rules"))
+
+    def distinct(o: Column, t: Column, p: Column) -> Column:
+        return let(sentences(F.btrim(squeeze(p), F.lit(SPACES))), lambda parts: let(F.array_remove(F.array_distinct(parts), ""), lambda kept: told(o, t, p, parts, kept)))
+
+    return let(strip(x), lambda o: let(no_tags(o), lambda t: let(no_paths(t), lambda p: distinct(o, t, p))))
 
 
 def strip_citations(x: Column) -> Column:

@@ -114,3 +114,15 @@ def test_rouge_takes_one_pass_of_python(spark):
 
     got = spark.createDataFrame([("a b a c", "a b c c"), ("", "a"), ("a", "b")], "a string, b string").select(M.rouge_and_bleu("a", "b").alias("s"), M.rouge_l("a", "b").alias("l"), M.text_scores("a", "b").alias("t")).collect()
     assert all(r["s"]["rouge_l"] == r["l"] and tuple(r["s"])[1:] == tuple(r["t"]) for r in got)
+
+
+def test_a_caption_is_cleaned_in_one_pass(spark):
+    from quillon import registry
+
+    assert _plan(registry.queries()["doc_sentence_dedup"](spark, "/root/testdata/sf0.001")).count("regexp_replace(") == 3  # tags, paths, white space
+    texts = [None, "", " \n", "<" * 300_000, "a < b <i>c</i> > d <", "see C:\\x/y.png, /a/b/c.png.\u00a0", "Hi. Hi.\n\nHo! <br>Hi. \u3000"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.clean_caption("t").alias("c")).collect()
+    assert [tuple(r["c"]) for r in sorted(got)] == [
+        (None, []), ("", ["dedupe_sentence"]), ("", ["dedupe_sentence"]), ("<" * 300_000, []),
+        ("a c > d <", ["strip_html"]), ("see ,", ["strip_export_path"]), ("Hi. Ho!", ["strip_html", "dedupe_sentence"]),
+    ]
