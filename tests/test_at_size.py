@@ -126,3 +126,16 @@ def test_a_caption_is_cleaned_in_one_pass(spark):
         (None, []), ("", ["dedupe_sentence"]), ("", ["dedupe_sentence"]), ("<" * 300_000, []),
         ("a c > d <", ["strip_html"]), ("see ,", ["strip_export_path"]), ("Hi. Ho!", ["strip_html", "dedupe_sentence"]),
     ]
+
+
+def test_facts_of_a_quality_score_are_found_once(spark):
+    from quillon import registry
+
+    plan = _plan(registry.queries()["doc_quality_score"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("lower(") == 1 and plan.count("regexp_extract_all(") == 4  # words and three counts
+    texts = [None, "", "License likely. left page", "tion token mail mail: \n", "a b a b a b a b;\u2028", "Mayhap may MIGHT? "]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.quality_score("t", "license|token|mail|tion", "page|left", "may|might|likely").alias("s"), T.quality_score("t", "tion|to.en", "zz", "h+").alias("u")).collect()
+    assert [(r["s"]["score"], ",".join(r["s"]["flags"])) for r in sorted(got)] == [
+        (8.0, ""), (46.0, "short,truncated"), (38.0, "artifact,hedging,short,truncated"), (60.0, "short"), (30.0, "repetitive,short,truncated"), (33.0, "hedging,short"),
+    ]
+    assert sorted(got)[3]["u"]["score"] == 54.0  # terms that are no plain letters
